@@ -74,7 +74,8 @@ def best_in_cells(
     left = _blocked(queries, "query_id", query_block, "_qb", "_ib", _block_counts(items, item_block))
     right = _blocked(items, "article_id", item_block, "_ib", "_qb", _block_counts(queries, query_block))
     left = left.select("cell", "_qb", "_ib", "query_id", "vector", "fetch")
-    right = right.select("cell", "_qb", "_ib", "article_id", "vector")
+    # Fresh column ids, since queries and items may come from one table.
+    right = right.select("cell", "_qb", "_ib", *[F.col(c).alias(c) for c in ("article_id", "vector")])
     kind = queries.schema["query_id"].dataType
     schema = StructType([StructField("query_id", kind), StructField("article_id", LongType())]).add("score", "double")
     keys = ["cell", "_qb", "_ib"]
@@ -138,7 +139,7 @@ def top_k_hashed(
     k: int,
     dim: int,
     exclude: DataFrame | None = None,
-    n_tables: int = 8,
+    n_tables: int = 4,
     bits: int = 6,
     seed: int = 0,
 ) -> DataFrame:

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import importlib
 
-from basketry.plans.registry import CHECKS, QUERIES
+from basketry.plans import registry
 
-PARTS = ("sources_and_scalars", "joins_and_reports")
+PARTS = (
+    "sources_and_scalars",
+    "joins_and_reports",
+    "sequences_and_vectors",
+    "recommenders",
+    "lists_and_people",
+    "models_and_streams",
+)
 
 
 def _load() -> None:
@@ -16,9 +23,9 @@ def _load() -> None:
 
 def queries():
     _load()
-    return dict(QUERIES)
+    return dict(registry.QUERIES)
 
 
 def checks():
     _load()
-    return dict(CHECKS)
+    return registry.checks()

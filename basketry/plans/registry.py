@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, tuple[str, str]] = {}
 
 # The canonical views in SQL; a check names the ones it reads.
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -93,7 +93,11 @@ def query(name: str, sql: str | None = None, needs: str = "") -> Callable[[Query
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            CHECKS[name] = with_views(tuple(needs.split()), sql)
+            CHECKS[name] = (sql, needs)
         return fn
 
     return register
+
+
+def checks() -> dict[str, str]:
+    return {name: with_views(tuple(needs.split()), sql) for name, (sql, needs) in CHECKS.items()}
