@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
@@ -21,17 +23,23 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` one time and use it in `body`; inside a lambda it would be computed again per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector is missing, empty or all zero."""
-    scale = norm(a) * norm(b)
-    empty = (F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(F.size(b), F.lit(0)) <= 0)
-    return F.when(empty | (scale == 0), F.lit(0.0)).otherwise(F.try_divide(dot(a, b), scale))
+    return once(norm(a) * norm(b), lambda scale: F.when(scale > 0, F.try_divide(dot(a, b), scale)).otherwise(F.lit(0.0)))
 
 
 def unit(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    length = norm(v)
-    return F.transform(as_double(v), lambda x: F.when(length > 0, F.try_divide(x, length)).otherwise(F.lit(0.0)))
+
+    def scaled(length: Column) -> Column:
+        return F.transform(as_double(v), lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+
+    return once(norm(v), scaled)
 
 
 def scaled_sum(a: Column, wa: Column, b: Column, wb: Column) -> Column:

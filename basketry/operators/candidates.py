@@ -10,6 +10,7 @@ from basketry.functions.vectors import mean_vector, unit
 from basketry.operators.retrieval import top_k
 from basketry.operators.sequences import HISTORY, last_rows
 from basketry.operators.skew import newest
+from basketry.session import durable
 
 # Fixed values
 K_PER_QUERY = 150
@@ -68,8 +69,8 @@ def seen_by(train: DataFrame, n: int = HISTORY) -> DataFrame:
 
 def vector_recommend(train: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     """Nearest unseen items to the pooled history vector."""
-    queries = pooled_vectors(train, vectors).select(
-        F.col("customer_id").alias("query_id"), F.col("user_vector").alias("vector")
+    queries = durable(
+        pooled_vectors(train, vectors).select(F.col("customer_id").alias("query_id"), F.col("user_vector").alias("vector"))
     )
     seen = seen_by(train).withColumnRenamed("customer_id", "query_id")
     return top_k(queries, vectors, k, seen).select(
@@ -98,7 +99,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def multi_intent_recommend(intents: DataFrame, vectors: DataFrame, seen: DataFrame, k: int = 20) -> DataFrame:
     """Score times intent weight, best over the intents, top k."""
-    found = intent_results(intents.filter(F.col("label") != COLD_START), vectors, seen, k)
+    found = intent_results(durable(intents.filter(F.col("label") != COLD_START)), vectors, seen, k)
     best = found.groupBy("list_id", "article_id").agg(F.max(F.round(F.col("score") * F.col("weight"), 9)).alias("score"))
     ranked = newest(best, ["list_id"], [F.desc("score"), F.asc("article_id")], k, "rank")
     return ranked.select(F.col("list_id").alias("user_id"), "article_id", "score", "rank")
@@ -117,7 +118,9 @@ def feed_candidates(
 
     A list whose one intent is cold takes its segment's best sellers, and vector search only where the segment has
     none. Other lists take the merged results of their intents; where that gives nothing, best sellers, marked degraded.
+    Intents and best sellers are read by several branches, so they are stored once.
     """
+    intents, popular = durable(intents), durable(popular)
     cold = intents.filter(F.col("label") == COLD_START).select("list_id").distinct()
     popular_cold = popular_for(contexts.join(cold, "list_id", "left_semi"), popular, merge_size, COLD_START)
     unserved = cold.join(popular_cold, "list_id", "left_anti")
