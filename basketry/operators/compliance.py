@@ -74,7 +74,7 @@ def access_export(session_events: DataFrame, consent: DataFrame, log: DataFrame,
         text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in detail])
         return df.select("customer_id", F.lit(name).alias("section"), F.col(at).alias("at"), text.alias("detail"))
 
-    recent = newest(log, ["customer_id"], [F.desc("served_at"), F.desc("request_id"), F.asc("rank_position")], latest)
+    recent = newest(log, ["customer_id"], [F.desc("served_at"), F.desc("request_id"), F.asc("rank_position"), F.asc("article_id")], latest)
     return (
         section("session_events", session_events, "ts", "article_id", "category_l1")
         .unionByName(section("consent", consent, "granted_at", "purpose", "granted"))

@@ -1 +1,455 @@
-"""To follow."""
+"""Guardrails, bundles, search, feed, and the consent and erasure jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from basketry.functions.columns import reason_code, reason_text
+from basketry.operators import compliance, covisit, guardrails
+from basketry.operators import items as I
+from basketry.plans import surfaces
+from basketry.plans.recommenders import catalogue_of, contexts, popular_items, session_intents, sessions
+from basketry.plans.registry import query, view
+from basketry.plans.sources_and_scalars import split
+from basketry.session import durable, scratch_path
+from basketry.sources import files
+from basketry.sources import tables as T
+
+SERVED_AT = "2024-02-01 00:00:00"
+MODEL = "dev"
+
+# ---- guardrails over the best sellers of every segment, one list per customer -----------------------------------
+
+view(
+    "g_cand",
+    ("keys", "popular", "articles"),
+    """SELECT k.list_id, k.age_band, p.article_id, round(p.n / 100.0::DOUBLE, 9) AS score, a.category_l1, a.in_stock,
+         a.age_restricted FROM keys k JOIN popular p USING (region, age_band) JOIN articles a USING (article_id) WHERE p.rank <= 60""",
+)
+view("bought", ("last20",), "SELECT DISTINCT customer_id AS list_id, article_id FROM last20")
+view(
+    "g_marked",
+    ("g_cand", "bought", "users"),
+    """SELECT g.*, CASE WHEN NOT g.in_stock THEN 'filter_availability'
+         WHEN g.age_band NOT IN ('18_25', '26_35', '36_50', 'over_50') AND g.age_restricted THEN 'filter_policy'
+         WHEN u.club_status = 'HOUSEHOLD' AND g.category_l1 = 'PROMO' THEN 'filter_sensitive'
+         WHEN b.article_id IS NOT NULL THEN 'filter_seen' END AS dropped_by
+       FROM g_cand g LEFT JOIN bought b ON b.list_id = g.list_id AND b.article_id = g.article_id
+       JOIN users u ON u.customer_id = g.list_id""",
+)
+
+
+def capped_sql(rows: str, limit: int) -> str:
+    """Largest feasible m per list, then the greedy pick by score."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, article_id) AS place FROM (
+        SELECT r.*, t.target, t.available FROM (SELECT *, row_number() OVER (PARTITION BY list_id, category_l1
+            ORDER BY score DESC, article_id) AS in_cat FROM {rows}) r
+        JOIN (SELECT list_id, max(m) AS target, any_value(available) AS available FROM (
+            SELECT s.list_id, m, any_value(available) AS available,
+              sum(least(n, floor(0.35::DOUBLE * m))) >= m OR m = 1 AS fits
+            FROM (SELECT list_id, category_l1, count(*) AS n, sum(count(*)) OVER (PARTITION BY list_id) AS available
+                  FROM {rows} GROUP BY 1, 2) s, (SELECT unnest(range(1, {limit} + 1)) AS m) ms
+            WHERE m <= available GROUP BY 1, 2) WHERE fits GROUP BY 1) t USING (list_id)
+        WHERE in_cat <= CASE WHEN target = 1 THEN 1 ELSE floor(0.35::DOUBLE * target) END)) WHERE place <= target"""
+
+
+view("g_left", ("g_marked",), "SELECT * FROM g_marked WHERE dropped_by IS NULL")
+view("g_final", ("g_left",), capped_sql("g_left", 20))
+
+
+def guarded_candidates(spark, sf):
+    from basketry.operators.candidates import popular_for
+
+    lists, popular = contexts(spark, sf), popular_items(spark, sf)
+    rows = popular_for(lists, popular, 60, "cold_start").select("list_id", "article_id", "rank")
+    segment = popular.select("region", "age_band", "article_id", "n")
+    scored = rows.join(lists, "list_id").join(segment, ["region", "age_band", "article_id"])
+    score = F.round(F.col("n") / 100.0, 9)
+    return surfaces.guardrail_rows(scored.select("list_id", "article_id", score.alias("score")), catalogue_of(spark, sf))
+
+
+def guardrail_inputs(spark, sf):
+    """Candidates, contexts, what each customer already bought, and the categories blocked for them."""
+    from basketry.operators.candidates import seen_by
+
+    train, _ = split(spark, sf)
+    seen = seen_by(train).withColumnRenamed("customer_id", "list_id")
+    blocked = T.users(spark, sf).filter(F.col("club_status") == "HOUSEHOLD").select(
+        F.col("customer_id").alias("list_id"), F.lit("PROMO").alias("category_l1")
+    )
+    return guarded_candidates(spark, sf), contexts(spark, sf), seen, blocked
+
+
+def marked(spark, sf):
+    rows, lists, seen, blocked = guardrail_inputs(spark, sf)
+    return guardrails.flagged(rows, lists, seen, blocked)
+
+
+def _dropped(step):
+    def run(spark, sf):
+        return marked(spark, sf).filter(F.col("dropped_by") == step).select("list_id", "article_id")
+
+    return run
+
+
+for _id, _step in (
+    ("N1_availability", "filter_availability"),
+    ("N2_age_policy", "filter_policy"),
+    ("N3_sensitive", "filter_sensitive"),
+    ("N4_seen", "filter_seen"),
+):
+    query(_id, f"SELECT list_id, article_id FROM g_marked WHERE dropped_by = '{_step}'", "g_marked")(_dropped(_step))
+
+
+@query("N5_category_cap", "SELECT list_id, article_id, category_l1, score FROM g_final", "g_final")
+def n5(spark, sf):
+    left = marked(spark, sf).filter(F.col("dropped_by").isNull()).drop("embedding", "dropped_by")
+    return guardrails.cap_category(left, 20).select("list_id", "article_id", "category_l1", "score")
+
+
+@query("N6_mmr_order")
+def n6(spark, sf):
+    left = marked(spark, sf).filter(F.col("dropped_by").isNull()).drop("dropped_by")
+    return guardrails.mmr_diversify(guardrails.cap_category(left, 20), 20).select("list_id", "article_id", "position")
+
+
+# Diversity only reorders what the cap leaves, so the final members are known; their places are not compared.
+@query("N7_guarded_lists", "SELECT list_id, article_id, score FROM g_final", "g_final")
+def n7(spark, sf):
+    rows, lists, seen, blocked = guardrail_inputs(spark, sf)
+    final, _ = guardrails.apply_all(rows, lists, 20, seen, blocked)
+    return final.select("list_id", "article_id", "score")
+
+
+view(
+    "g_report",
+    ("g_marked", "g_final"),
+    """SELECT list_id, step, dropped::BIGINT AS dropped FROM (
+         SELECT list_id, unnest(['filter_availability', 'filter_policy', 'filter_sensitive', 'filter_seen', 'cap_category',
+           'mmr_diversify']) AS step, unnest([a, p, s, e, rest - coalesce(kept, 0), 0]) AS dropped FROM (
+           SELECT list_id, count(*) FILTER (dropped_by = 'filter_availability') AS a,
+             count(*) FILTER (dropped_by = 'filter_policy') AS p, count(*) FILTER (dropped_by = 'filter_sensitive') AS s,
+             count(*) FILTER (dropped_by = 'filter_seen') AS e, count(*) FILTER (dropped_by IS NULL) AS rest
+           FROM g_marked GROUP BY 1) LEFT JOIN (SELECT list_id, count(*) AS kept FROM g_final GROUP BY 1) USING (list_id))""",
+)
+
+
+@query("N7_drop_report", "SELECT * FROM g_report", "g_report")
+def n7_report(spark, sf):
+    return guardrails.drop_report(marked(spark, sf), 20)
+
+
+@query(
+    "N9_guardrail_summary",
+    """SELECT list_id, max(step = 'cap_category' AND dropped > 0) AS diversity_cap_applied, sum(dropped)::BIGINT AS items_dropped,
+         coalesce(string_agg(step || '=' || dropped, ',' ORDER BY step) FILTER (dropped > 0), '') AS filters_fired
+       FROM g_report GROUP BY 1""",
+    "g_report",
+)
+def n9(spark, sf):
+    return guardrails.summary(n7_report(spark, sf))
+
+
+@query("N10_fail_closed", "SELECT count(*) AS lists, max(n) <= 20 AS within_limit, sum(n)::BIGINT AS items FROM (SELECT list_id, count(*) AS n FROM g_final GROUP BY 1)", "g_final")
+def n10(spark, sf):
+    path = scratch_path(spark, "guarded")
+    guardrails.write_guarded(n7(spark, sf), path)
+    sizes = spark.read.parquet(path).groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(
+        F.count(F.lit(1)).alias("lists"), (F.max("n") <= 20).alias("within_limit"), F.sum("n").alias("items")
+    )
+
+
+# ---- complements, bundles and search ------------------------------------------------------------------------------
+
+view(
+    "lift",
+    ("tx",),
+    """SELECT item, neighbour, together, lift, rk FROM (SELECT *, row_number() OVER (PARTITION BY item
+         ORDER BY lift DESC, neighbour) AS rk FROM (
+           SELECT p.item, p.neighbour, together, round(together * (SELECT count(DISTINCT order_id) FROM tx) / (a.n * b.n), 6) AS lift
+           FROM (SELECT x.article_id AS item, y.article_id AS neighbour, count(*) AS together
+             FROM (SELECT DISTINCT order_id, article_id FROM tx) x JOIN (SELECT DISTINCT order_id, article_id FROM tx) y
+             ON x.order_id = y.order_id AND x.article_id <> y.article_id GROUP BY 1, 2) p
+           JOIN (SELECT article_id, count(DISTINCT order_id) AS n FROM tx GROUP BY 1) a ON a.article_id = p.item
+           JOIN (SELECT article_id, count(DISTINCT order_id) AS n FROM tx GROUP BY 1) b ON b.article_id = p.neighbour))
+       WHERE rk <= 50""",
+)
+
+
+def edges(spark, sf):
+    return covisit.complements(T.transactions(spark, sf))
+
+
+@query("K7_complement_lift", "SELECT item, neighbour, together, lift, rk::INTEGER AS rk FROM lift", "lift")
+def k7(spark, sf):
+    return edges(spark, sf)
+
+
+view(
+    "bundle_cand",
+    ("lift", "vectors", "articles"),
+    """SELECT coalesce(c.item, s.seed) AS list_id, coalesce(c.neighbour, s.article_id) AS article_id,
+         round(0.6::DOUBLE * coalesce(lift, 0) + 0.4::DOUBLE * coalesce(sim, 0), 9) AS score,
+         CASE WHEN lift IS NOT NULL THEN 'COMPLEMENT' ELSE 'SIMILAR_STYLE' END AS reason_code
+       FROM lift c FULL OUTER JOIN (SELECT seed, article_id, score / coalesce(nullif(max(score) OVER (PARTITION BY seed), 0), 1) AS sim
+         FROM (SELECT a.article_id AS seed, b.article_id, round(list_dot_product(a.vector, b.vector), 9) AS score,
+           row_number() OVER (PARTITION BY a.article_id ORDER BY round(list_dot_product(a.vector, b.vector), 9) DESC, b.article_id) AS rk
+           FROM vectors a JOIN vectors b ON a.article_id <> b.article_id JOIN articles p ON p.article_id = a.article_id)
+         WHERE rk <= 50) s ON s.seed = c.item AND s.article_id = c.neighbour""",
+)
+view(
+    "bundle_left",
+    ("bundle_cand", "articles"),
+    """SELECT b.*, a.category_l1 FROM bundle_cand b JOIN articles a USING (article_id)
+       WHERE a.in_stock AND NOT a.age_restricted AND b.article_id <> b.list_id""",
+)
+
+
+@query("K8_bundles", f"SELECT list_id, article_id, score, reason_code, CASE WHEN reason_code = 'COMPLEMENT' THEN "
+       f"'Frequently bought with this item' ELSE 'Similar style' END AS reason_text FROM ({capped_sql('bundle_left', 10)})",
+       "bundle_left")
+def k8(spark, sf):
+    seeds = T.articles(spark, sf).select("article_id")
+    found = surfaces.bundles(seeds, durable(edges(spark, sf)), catalogue_of(spark, sf), 10)
+    return found["items"].select("list_id", "article_id", "score", "reason_code", "reason_text")
+
+
+view(
+    "search_left",
+    ("parsed", "centroids", "whole_centroid", "vectors", "articles"),
+    """SELECT query AS list_id, article_id, score, a.category_l1 FROM (SELECT *, row_number() OVER (PARTITION BY query
+         ORDER BY score DESC, article_id) AS rk FROM (SELECT p.query, v.article_id,
+           round(list_dot_product(coalesce(c.centroid, w.centroid), v.vector), 9) AS score
+           FROM parsed p LEFT JOIN centroids c ON c.category_l1 = p.category_l1, whole_centroid w, vectors v)) s
+       LEFT JOIN articles a USING (article_id) WHERE rk <= 100 AND coalesce(a.in_stock, true)
+         AND NOT coalesce(a.age_restricted, false)""",
+)
+
+
+@query(
+    "K9_search",
+    "SELECT list_id AS query, article_id, score, 'Matches your search for ''' || list_id || '''' AS reason_text "
+    f"FROM ({capped_sql('search_named', 20)})",
+    "search_named",
+)
+def k9(spark, sf):
+    cat = catalogue_of(spark, sf)
+    middles = durable(I.category_centroids(cat.stock, cat.vectors))
+    found = surfaces.search(T.search_queries(spark, sf), middles, I.global_centroid(cat.vectors), cat)
+    return found["items"].select("query", "article_id", "score", "reason_text")
+
+
+view("search_named", ("search_left",), "SELECT list_id, article_id, score, coalesce(category_l1, 'unknown') AS category_l1 FROM search_left")
+
+# ---- feed -----------------------------------------------------------------------------------------------------------
+
+view(
+    "feed_left",
+    ("routed", "keys", "articles", "events20"),
+    """SELECT r.list_id, r.article_id, r.score, r.label, coalesce(a.category_l1, 'unknown') AS category_l1
+       FROM routed r JOIN keys k USING (list_id) LEFT JOIN articles a USING (article_id)
+       WHERE coalesce(a.in_stock, true) AND (k.age_band IN ('18_25', '26_35', '36_50', 'over_50') OR NOT coalesce(a.age_restricted, false))
+         AND NOT EXISTS (SELECT 1 FROM events20 e WHERE e.list_id = r.list_id AND e.article_id = r.article_id)""",
+)
+view("feed_final", ("feed_left",), capped_sql("feed_left", 20))
+view(
+    "feed_items",
+    ("feed_final", "events20"),
+    """SELECT f.list_id, f.article_id, f.score, f.label AS intent, coalesce(m.n, 0) AS matches,
+         CASE WHEN f.label = 'cold_start' THEN 'POPULAR' WHEN m.n > 0 THEN 'SESSION_AFFINITY' ELSE 'INTENT_MATCH' END AS reason_code
+       FROM feed_final f LEFT JOIN (SELECT list_id, coalesce(category_l1, 'unknown') AS category_l1, count(*) AS n
+         FROM events20 GROUP BY 1, 2) m ON m.list_id = f.list_id AND m.category_l1 = f.category_l1""",
+)
+
+
+def feed_of(spark, sf, models=None):
+    return surfaces.feed(contexts(spark, sf), sessions(spark, sf), popular_items(spark, sf), catalogue_of(spark, sf), 20, models)
+
+
+@query("K10_feed", "SELECT list_id, article_id, score, intent, reason_code FROM feed_items", "feed_items")
+def k10(spark, sf):
+    return feed_of(spark, sf)["items"].select("list_id", "article_id", "score", "intent", "reason_code")
+
+
+@query(
+    "D11_intent_slots",
+    """SELECT i.list_id, i.label, round(i.weight, 4) AS confidence, coalesce(n, 0) AS slots FROM intents i
+       LEFT JOIN (SELECT list_id, intent AS label, count(*) AS n FROM feed_items GROUP BY 1, 2) u
+         ON u.list_id = i.list_id AND u.label = i.label""",
+    "intents feed_items",
+)
+def d11(spark, sf):
+    return feed_of(spark, sf)["slots"]
+
+
+@query(
+    "N8_reasons",
+    """SELECT list_id, article_id, reason_code, CASE reason_code WHEN 'POPULAR' THEN 'Trending with shoppers like you'
+         WHEN 'SESSION_AFFINITY' THEN 'Because you interacted with ' || matches || ' similar items'
+         ELSE 'Matches your ' || replace(label, '_', ' ') || ' intent' END AS reason_text
+       FROM (SELECT m.list_id, m.article_id, m.label, coalesce(s.n, 0) AS matches,
+         CASE WHEN m.label = 'cold_start' THEN 'POPULAR' WHEN s.n > 0 THEN 'SESSION_AFFINITY' ELSE 'INTENT_MATCH' END AS reason_code
+         FROM routed m JOIN articles a USING (article_id) LEFT JOIN (SELECT list_id, category_l1, count(*) AS n FROM events20 GROUP BY 1, 2) s
+         ON s.list_id = m.list_id AND s.category_l1 = a.category_l1)""",
+    "routed articles events20",
+)
+def n8(spark, sf):
+    from basketry.operators.candidates import feed_candidates
+
+    rows = sessions(spark, sf)
+    found = feed_candidates(
+        contexts(spark, sf), session_intents(spark, sf), T.vectors(spark, sf),
+        rows.select("list_id", "article_id").distinct(), popular_items(spark, sf),
+    ).join(T.articles(spark, sf).select("article_id", "category_l1"), "article_id")
+    matches = rows.groupBy("list_id", "category_l1").agg(F.count(F.lit(1)).alias("n"))
+    joined = found.join(matches, ["list_id", "category_l1"], "left")
+    n = F.coalesce("n", F.lit(0))
+    label = F.col("label")
+    return joined.select("list_id", "article_id", reason_code(label, n).alias("reason_code"), reason_text(label, n).alias("reason_text"))
+
+
+@query(
+    "A8_recommendation_log",
+    """SELECT list_id AS customer_id, count(*) AS items, min(place - 1)::INTEGER AS first_position,
+          max(place - 1)::INTEGER AS last_position, DATE '2024-02-01' AS served_date
+        FROM feed_final GROUP BY 1""",
+    "feed_final",
+)
+def a8(spark, sf):
+    path = scratch_path(spark, "recommendation-log")
+    items = feed_of(spark, sf)["items"]
+    files.append_log(surfaces.log_rows(items, F.lit(SERVED_AT).cast("timestamp_ntz"), MODEL), path)
+    return spark.read.parquet(path).groupBy("customer_id", "served_date").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.min("rank_position").alias("first_position"),
+        F.max("rank_position").alias("last_position"),
+    )
+
+
+# ---- consent, erasure, export ---------------------------------------------------------------------------------------
+
+
+@query(
+    "M1_consent_history",
+    """SELECT customer_id, purpose, granted, granted_at, event_id, lead(granted_at) OVER (PARTITION BY customer_id, purpose
+         ORDER BY granted_at, event_id) AS revoked_at FROM consent_ev""",
+    "consent_ev",
+)
+def m1(spark, sf):
+    return compliance.consent_history(T.consent_events(spark, sf))
+
+
+view(
+    "agreed",
+    ("consent_ev",),
+    """SELECT customer_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, purpose ORDER BY granted_at DESC,
+         event_id DESC) AS age FROM consent_ev) WHERE age = 1 AND granted AND purpose = 'personalization'""",
+)
+
+
+@query(
+    "M2_consent_gate",
+    "SELECT customer_id, a.customer_id IS NOT NULL AS consented FROM users LEFT JOIN agreed a USING (customer_id)",
+    "users agreed",
+)
+def m2(spark, sf):
+    return compliance.routes(T.users(spark, sf), T.consent_events(spark, sf)).select("customer_id", "consented")
+
+
+@query(
+    "M6_minors_route",
+    """SELECT customer_id, age_band, CASE WHEN a.customer_id IS NOT NULL AND age_band <> 'under_18' THEN 'personalized'
+         ELSE 'popular' END AS route FROM banded LEFT JOIN agreed a USING (customer_id)""",
+    "banded agreed",
+)
+def m6(spark, sf):
+    return compliance.routes(T.users(spark, sf), T.consent_events(spark, sf)).select("customer_id", "age_band", "route")
+
+
+view("gone", (), "SELECT DISTINCT user_id AS customer_id FROM events WHERE event_type = 'error' AND value > 120")
+view(
+    "served",
+    ("tx",),
+    """SELECT order_id AS request_id, customer_id, article_id, (line_no - 1)::INTEGER AS rank_position, t_dat::TIMESTAMP AS served_at,
+          line_no, paid, quantity FROM tx""",
+)
+
+
+def served_log(spark, sf):
+    """Purchases as a log of served items."""
+    return T.transactions(spark, sf).select(
+        F.col("order_id").alias("request_id"),
+        "customer_id",
+        "article_id",
+        (F.col("line_no") - 1).alias("rank_position"),
+        F.lit("POPULAR").alias("reason_code"),
+        F.lit(MODEL).alias("model_version"),
+        F.col("t_dat").cast("timestamp_ntz").alias("served_at"),
+    )
+
+
+def erased(spark, sf):
+    asked = T.table(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("value") > 120))
+    old = T.users(spark, sf).filter(F.col("club_status") == "MACHINERY").select("customer_id")
+    frames = {
+        "users": T.users(spark, sf),
+        "consent": T.consent_events(spark, sf),
+        "sessions": T.clicks(spark, sf).withColumnRenamed("user_id", "customer_id"),
+        "log": served_log(spark, sf),
+        "tombstones": old,
+    }
+    return compliance.erase(asked.select(F.col("user_id").alias("customer_id")), frames)
+
+
+@query(
+    "M3_erasure",
+    """SELECT 'users' AS frame, count(*) AS n_rows FROM users ANTI JOIN gone USING (customer_id)
+       UNION ALL SELECT 'consent', count(*) FROM consent_ev ANTI JOIN gone USING (customer_id)
+       UNION ALL SELECT 'sessions', count(*) FROM clicks WHERE user_id NOT IN (SELECT customer_id FROM gone)
+       UNION ALL SELECT 'log', count(*) FROM served
+       UNION ALL SELECT 'log_without_customer', count(*) FROM served SEMI JOIN gone USING (customer_id)
+       UNION ALL SELECT 'tombstones', count(*) FROM (SELECT customer_id FROM users WHERE club_status = 'MACHINERY'
+         UNION SELECT customer_id FROM gone)
+       UNION ALL SELECT 'receipts', count(*) FROM gone""",
+    "users consent_ev clicks served gone",
+)
+def m3(spark, sf):
+    frames = erased(spark, sf)
+    frames["log_without_customer"] = frames["log"].filter(F.col("customer_id").isNull())
+    rows = None
+    for name, frame in frames.items():
+        row = frame.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("frame"), "n_rows")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query("M3_receipts", "SELECT customer_id, md5('erase|' || customer_id) AS receipt_id FROM gone", "gone")
+def m3_receipts(spark, sf):
+    return erased(spark, sf)["receipts"]
+
+
+@query(
+    "M4_training_exclusion",
+    """SELECT customer_id, article_id, t_dat FROM train WHERE customer_id NOT IN (SELECT customer_id FROM users
+         WHERE club_status = 'MACHINERY' UNION SELECT customer_id FROM gone)""",
+    "train users gone",
+)
+def m4(spark, sf):
+    train, _ = split(spark, sf)
+    return compliance.without_erased(train, erased(spark, sf)["tombstones"]).select("customer_id", "article_id", "t_dat")
+
+
+@query(
+    "M5_access_export",
+    """SELECT user_id AS customer_id, 'session_events' AS section, ts AS at, article_id || '|' || coalesce(category_l1, '') AS detail
+       FROM sess
+       UNION ALL SELECT customer_id, 'consent', granted_at, purpose || '|' || granted FROM consent_ev
+       UNION ALL SELECT customer_id, 'recommendation_log', served_at, article_id || '|' || rank_position || '|POPULAR|dev'
+       FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY served_at DESC, request_id DESC, rank_position,
+         article_id) AS age FROM served) WHERE age <= 100""",
+    "sess consent_ev served",
+)
+def m5(spark, sf):
+    events = sessions(spark, sf).withColumnRenamed("list_id", "customer_id")
+    return compliance.access_export(events, T.consent_events(spark, sf), served_log(spark, sf))
