@@ -48,6 +48,35 @@ def training_examples(tx: DataFrame, n: int = HISTORY, hot_rows: int = HOT_ROWS)
     )
 
 
+def detailed_examples(tx: DataFrame, n: int = HISTORY, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Training examples whose history keeps day and price, with one id each: (example_id, customer_id, target, t_dat,
+    events)."""
+    event = F.struct("article_id", "t_dat", "price")
+    rows = ordered_window(
+        tx, ["customer_id"], TX_ORDER, lambda w: {"events": F.collect_list(event).over(w.rowsBetween(-n, -1))},
+        before=n, hot_rows=hot_rows,
+    )
+    key = F.concat_ws("-", F.col("customer_id").cast("string"), F.col("seq").cast("string"))
+    return rows.filter(F.col("seq") > 1).select(
+        key.alias("example_id"), "customer_id", F.col("article_id").alias("target"), "t_dat", "events"
+    )
+
+
+def detailed_validation(train: DataFrame, val: DataFrame, n: int = HISTORY, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same for every validation purchase of a customer with train history."""
+    rows = last_rows(train, n).select(
+        "customer_id", F.struct((-F.col("age")).alias("at"), "article_id", "t_dat", "price").alias("e")
+    )
+    histories = rows.groupBy("customer_id").agg(
+        F.transform(F.sort_array(F.collect_list("e")), lambda e: F.struct(e["article_id"].alias("article_id"), e["t_dat"].alias("t_dat"), e["price"].alias("price"))).alias("events")
+    )
+    numbered_val = ordered_window(val, ["customer_id"], TX_ORDER, lambda w: {}, hot_rows=hot_rows)
+    key = F.concat_ws("-v", F.col("customer_id").cast("string"), F.col("seq").cast("string"))
+    return numbered_val.join(histories, "customer_id").select(
+        key.alias("example_id"), "customer_id", F.col("article_id").alias("target"), "t_dat", "events"
+    )
+
+
 def validation_examples(train: DataFrame, val: DataFrame, n: int = HISTORY, known: DataFrame | None = None) -> DataFrame:
     """Newest train history against every validation purchase; customers without history, and articles not in
     `known`, give no example."""

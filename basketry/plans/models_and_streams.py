@@ -1 +1,402 @@
-"""To follow."""
+"""Training sets, rankers, embeddings and the event streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from basketry.functions import vectors as V
+from basketry.operators import items as I
+from basketry.operators import candidates, intents, learning, retrieval, sampling, sequences, vocab
+from basketry.operators.features import build_features
+from basketry.plans import surfaces
+from basketry.plans.lists_and_people import feed_of
+from basketry.plans.recommenders import DIM, UNIT, catalogue_of
+from basketry.plans.registry import query, view
+from basketry.plans.sequences_and_vectors import GAP
+from basketry.plans.sources_and_scalars import split
+from basketry.session import durable, scratch_path
+from basketry.sources import tables as T
+from basketry.streaming import events as S
+
+# ---- training set ---------------------------------------------------------------------------------------------------
+
+ORDER = "t_dat, order_id, line_no, article_id, paid, quantity"
+
+
+def draw(prefix: str, *parts: str) -> str:
+    key = " || '|' || ".join([f"'{prefix}'", *parts])
+    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+view(
+    "ex",
+    ("train",),
+    f"""SELECT * FROM (SELECT customer_id || '-' || row_number() OVER w AS example_id, customer_id, article_id AS target, t_dat,
+          row_number() OVER w AS seq, list({{'article_id': article_id, 't_dat': t_dat, 'price': price}}) OVER
+            (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS events
+        FROM train WINDOW w AS (PARTITION BY customer_id ORDER BY {ORDER})) WHERE seq > 1""",
+)
+view("ex8", ("ex",), "SELECT * FROM ex ORDER BY md5('0|' || example_id), example_id LIMIT 8000")
+
+
+def negatives_sql(examples: str) -> str:
+    return f"""SELECT example_id, article_id, row_number() OVER (PARTITION BY example_id ORDER BY first_i)::INTEGER AS draw
+        FROM (SELECT d.example_id, p.article_id, min(i) AS first_i FROM (
+            SELECT example_id, target, events, i, floor({draw("neg0", "example_id", "i")} * (SELECT count(*) FROM articles))::BIGINT AS position
+            FROM {examples}, (SELECT unnest(range(80)) AS i)) d
+          JOIN (SELECT article_id, row_number() OVER (ORDER BY article_id) - 1 AS position FROM articles) p USING (position)
+          WHERE p.article_id <> d.target AND NOT list_contains(list_transform(d.events, lambda e: e.article_id), p.article_id)
+          GROUP BY 1, 2) QUALIFY draw <= 4"""
+
+
+view("neg", ("ex", "articles"), negatives_sql("ex"))
+view("neg8", ("ex8", "articles"), negatives_sql("ex8"))
+LABELS_SQL = f"""SELECT *, (is_target OR in_session)::INTEGER AS click,
+         (is_target AND {draw("cart0", "example_id", "article_id")} < 0.4)::INTEGER AS cart, is_target::INTEGER AS purchase,
+         (is_target AND {draw("wishlist0", "example_id", "article_id")} < 0.2)::INTEGER AS wishlist FROM {{rows}}"""
+view(
+    "rows8",
+    ("ex8", "neg8"),
+    """SELECT example_id, target AS article_id, true AS is_target FROM ex8
+       UNION ALL SELECT example_id, article_id, false FROM neg8""",
+)
+view("hist8", ("ex8", "articles"), """SELECT example_id, e.article_id, e.t_dat, coalesce(category_l1, 'unknown') AS category_l1
+       FROM (SELECT example_id, unnest(events) AS e FROM ex8) h LEFT JOIN articles a ON a.article_id = h.e.article_id""")
+view(
+    "lab8",
+    ("rows8", "hist8", "articles"),
+    LABELS_SQL.format(
+        rows="""(SELECT r.*, a.category_l1, EXISTS (SELECT 1 FROM hist8 h WHERE h.example_id = r.example_id
+           AND h.category_l1 = a.category_l1) AS in_session FROM rows8 r JOIN articles a USING (article_id))"""
+    ),
+)
+
+
+def pool(spark, sf):
+    return vocab.dense_index(T.articles(spark, sf), "article_id")
+
+
+def train_examples(spark, sf):
+    train, _ = split(spark, sf)
+    return sequences.detailed_examples(train)
+
+
+def _history(examples):
+    return examples.withColumn("history", F.transform("events", lambda e: e["article_id"]))
+
+
+@query("J2_negative_sampling", "SELECT example_id, draw, article_id FROM neg", "neg")
+def j2(spark, sf):
+    return learning.negatives(_history(train_examples(spark, sf)), pool(spark, sf))
+
+
+def sampled_train(spark, sf):
+    return durable(sampling.subsample(train_examples(spark, sf), ["example_id"], learning.MAX_TRAIN_EXAMPLES))
+
+
+def sampled_val(spark, sf):
+    train, val = split(spark, sf)
+    return durable(sampling.subsample(sequences.detailed_validation(train, val), ["example_id"], learning.MAX_VAL_EXAMPLES))
+
+
+def example_sessions(examples, meta):
+    rows = examples.select("example_id", F.explode("events").alias("e")).select(
+        F.col("example_id").alias("list_id"), "e.article_id", "e.t_dat", "e.price"
+    )
+    return intents.session_rows(rows, meta)
+
+
+def labelled(spark, sf, examples, meta):
+    """Target and negatives of each example with their weak labels."""
+    drawn = learning.negatives(_history(examples), pool(spark, sf))
+    rows = learning.candidate_rows(examples, drawn).join(meta.select("article_id", "category_l1"), "article_id")
+    kinds = example_sessions(examples, meta).select(F.col("list_id").alias("example_id"), "category_l1").distinct()
+    marked = rows.join(kinds.withColumn("_known", F.lit(True)), ["example_id", "category_l1"], "left")
+    return learning.weak_labels(marked, F.col("_known").isNotNull()).drop("_known")
+
+
+def dataset(spark, sf, examples):
+    """Features and labels of every candidate of every example; candidates without a vector are left out."""
+    train, _ = split(spark, sf)
+    vecs = T.vectors(spark, sf)
+    meta = durable(I.item_meta(T.items(spark, sf), train))
+    rows = durable(labelled(spark, sf, examples, meta).withColumnRenamed("example_id", "list_id").drop("category_l1"))
+    session = durable(example_sessions(examples, meta))
+    heads = durable(intents.infer_intents(examples.select(F.col("example_id").alias("list_id")), session, vecs, DIM))
+    days = examples.select(F.col("example_id").alias("list_id"), "t_dat")
+    aged = rows.select("list_id", "article_id").join(days, "list_id").join(meta, "article_id")
+    aged = I.days_since_first_seen(aged, F.col("t_dat")).drop("t_dat", "first_seen")
+    keep = ("is_target", *learning.OBJECTIVES)
+    return build_features(rows, aged, vecs, surfaces.user_vectors(session, vecs), heads, session, keep)
+
+
+@query(
+    "J3_weak_labels",
+    """SELECT example_id, article_id, is_target, click, cart, purchase, wishlist FROM lab8""",
+    "lab8",
+)
+def j3(spark, sf):
+    train, _ = split(spark, sf)
+    meta = I.item_meta(T.items(spark, sf), train)
+    found = labelled(spark, sf, sampled_train(spark, sf), meta)
+    return found.select("example_id", "article_id", "is_target", *learning.OBJECTIVES)
+
+
+view(
+    "heads8",
+    ("hist8", "vectors"),
+    f"""SELECT example_id, vector, n / sum(n) OVER (PARTITION BY example_id) AS weight FROM (
+          SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY n DESC, category_l1) AS r FROM (
+            SELECT example_id, category_l1, n, {UNIT} AS vector FROM (
+              SELECT example_id, category_l1, any_value(n) AS n, list(x ORDER BY pos) AS m FROM (
+                SELECT example_id, category_l1, pos, avg(vector[pos]) AS x, count(*) AS n FROM (
+                  SELECT example_id, category_l1, vector, unnest(range(1, 65)) AS pos FROM hist8 JOIN vectors USING (article_id))
+                GROUP BY 1, 2, 3) GROUP BY 1, 2))) WHERE r <= 4""",
+)
+view(
+    "user8",
+    ("hist8", "vectors"),
+    f"""SELECT example_id, {UNIT} AS user_vector FROM (SELECT example_id, list(x ORDER BY pos) AS m FROM (
+          SELECT example_id, pos, avg(vector[pos]) AS x FROM (SELECT example_id, vector, unnest(range(1, 65)) AS pos
+            FROM hist8 JOIN vectors USING (article_id)) GROUP BY 1, 2) GROUP BY 1)""",
+)
+view(
+    "meta_train",
+    ("items", "train"),
+    """SELECT i.article_id, i.category_l1, coalesce(n_interactions, 0) / (SELECT max(n_interactions) FROM items) AS popularity,
+         coalesce(n_interactions, 0) / (coalesce(n_interactions, 0) + 20.0::DOUBLE) AS ctr,
+         coalesce(s.first_seen, DATE '1970-01-01') AS first_seen, coalesce(s.avg_price, 0) AS avg_price
+       FROM items i LEFT JOIN (SELECT article_id, min(t_dat) AS first_seen, avg(price) AS avg_price FROM train GROUP BY 1) s
+         USING (article_id)""",
+)
+
+
+@query(
+    "J4_training_set",
+    """SELECT c.example_id AS list_id, c.article_id, c.click, c.cart, c.purchase, c.wishlist,
+         round(coalesce(list_dot_product(u.user_vector, v.vector), 0), 6) AS two_tower_dot,
+         round(coalesce((SELECT sum(weight * list_dot_product(i.vector, v.vector)) FROM heads8 i WHERE i.example_id = c.example_id), 0), 6)
+           AS intent_dot,
+         round(m.popularity, 6) AS item_popularity, round(m.ctr, 6) AS item_ctr,
+         round(CASE WHEN count(*) OVER g = 1 THEN 0.5 ELSE percent_rank() OVER (g ORDER BY m.avg_price) END, 6)
+           AS price_percentile_in_category,
+         coalesce(s.n, 0)::DOUBLE AS category_match_count,
+         coalesce(((SELECT max(t_dat) FROM hist8 h WHERE h.example_id = c.example_id) - s.last_day) * 1440, -1)::DOUBLE
+           AS recency_same_category_minutes,
+         len(e.events)::DOUBLE AS session_length, (greatest(0, e.t_dat - m.first_seen) < 14)::INTEGER::DOUBLE AS is_new_item,
+         greatest(0, e.t_dat - m.first_seen)::DOUBLE AS days_since_first_seen
+       FROM lab8 c JOIN ex8 e USING (example_id) JOIN meta_train m ON m.article_id = c.article_id
+       JOIN vectors v ON v.article_id = c.article_id LEFT JOIN user8 u ON u.example_id = c.example_id
+       LEFT JOIN (SELECT example_id, category_l1, count(*) AS n, max(t_dat) AS last_day FROM hist8 GROUP BY 1, 2) s
+         ON s.example_id = c.example_id AND s.category_l1 = m.category_l1
+       WINDOW g AS (PARTITION BY c.example_id, m.category_l1)""",
+    "lab8 ex8 meta_train vectors user8 hist8 heads8",
+)
+def j4(spark, sf):
+    made = dataset(spark, sf, sampled_train(spark, sf)).drop("category_l1", "is_target")
+    exact = ("list_id", "article_id", *learning.OBJECTIVES)
+    return made.select(*[F.col(c) if c in exact else F.round(c, 6).alias(c) for c in made.columns])
+
+
+# ---- rankers --------------------------------------------------------------------------------------------------------
+
+_TRAINED: dict = {}
+
+
+def rankers(spark, sf):
+    """The four fitted models and the validation rows, fitted once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        train = durable(dataset(spark, sf, sampled_train(spark, sf)))
+        val = durable(dataset(spark, sf, sampled_val(spark, sf)))
+        _TRAINED[key] = (learning.train_rankers(train, val), val)
+    return _TRAINED[key]
+
+
+@query("J5_boosted_rankers")
+def j5(spark, sf):
+    models, val = rankers(spark, sf)
+    scored = learning.probabilities(models, val)
+    keep = [F.round(f"p_{o}", 6).alias(f"p_{o}") for o in learning.OBJECTIVES]
+    return scored.select("list_id", "article_id", *keep)
+
+
+@query("J6_validation_auc")
+def j6(spark, sf):
+    models, val = rankers(spark, sf)
+    return learning.auc(models, val)
+
+
+@query(
+    "J7_blended_score",
+    "SELECT article_id, round(0.2::DOUBLE * ctr + 0.3::DOUBLE * popularity + 0.5::DOUBLE * (1 - ctr), 6) AS score FROM meta",
+    "meta",
+)
+def j7(spark, sf):
+    from basketry.plans.joins_and_reports import serving_meta
+
+    meta = serving_meta(spark, sf)
+    score = learning.blended(F.col("ctr"), F.col("popularity"), 1 - F.col("ctr"))
+    return meta.select("article_id", F.round(score, 6).alias("score"))
+
+
+@query("J8_save_and_load")
+def j8(spark, sf):
+    models, val = rankers(spark, sf)
+    path = scratch_path(spark, "rankers")
+    learning.save_rankers(models, path)
+    before = learning.probabilities(models, val).select("list_id", "article_id", F.col("p_purchase").alias("before"))
+    after = learning.probabilities(learning.load_rankers(spark, path), val)
+    both = before.join(after.select("list_id", "article_id", F.col("p_purchase").alias("after")), ["list_id", "article_id"])
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("before") != F.col("after")).alias("differing"))
+
+
+@query(
+    "J9_item_embeddings",
+    """SELECT 'collaborative' AS kind, article_id, 64 AS dim, true AS unit_length FROM (SELECT DISTINCT article_id FROM train)
+       UNION ALL SELECT 'content', article_id, 64, true FROM articles""",
+    "train articles",
+)
+def j9(spark, sf):
+    train, _ = split(spark, sf)
+    titled = T.articles(spark, sf).withColumn("title", F.col("prod_name"))
+    found = {"collaborative": learning.collaborative_vectors(train, DIM), "content": learning.content_vectors(titled, DIM)}
+    rows = None
+    for kind, frame in found.items():
+        length = F.abs(V.norm(F.col("vector")) - 1) < 1e-6
+        row = frame.select(F.lit(kind).alias("kind"), "article_id", F.size("vector").alias("dim"), length.alias("unit_length"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query(
+    "J10_cold_item_blend",
+    """SELECT article_id, pos::INTEGER AS pos, round(CASE WHEN vector IS NULL THEN centroid[pos + 1]
+         ELSE n / (n + 10.0::DOUBLE) * vector[pos + 1] + (1 - n / (n + 10.0::DOUBLE)) * centroid[pos + 1] END, 6) AS x
+       FROM (SELECT i.article_id, coalesce(n_interactions, 0)::DOUBLE AS n, v.vector, c.centroid, unnest(range(0, 64)) AS pos
+         FROM items i JOIN centroids c USING (category_l1) LEFT JOIN vectors v USING (article_id))""",
+    "items centroids vectors",
+)
+def j10(spark, sf):
+    items, vecs = T.items(spark, sf), T.vectors(spark, sf)
+    middles = I.category_centroids(T.articles(spark, sf), vecs)
+    content = items.join(middles, "category_l1").select("article_id", F.col("centroid").alias("vector"))
+    mixed = learning.blend_cold_items(content, vecs, items)
+    rows = mixed.select("article_id", F.posexplode("vector").alias("pos", "x"))
+    return rows.withColumn("x", F.round("x", 6))
+
+
+@query("K4_retrieve_then_rank")
+def k4(spark, sf):
+    models, _ = rankers(spark, sf)
+    train, _ = split(spark, sf)
+    vecs = T.vectors(spark, sf)
+    now = sampling.last_day(train)
+    meta = durable(I.days_since_first_seen(I.item_meta(T.items(spark, sf), train), now).drop("first_seen"))
+    pooled = durable(candidates.pooled_vectors(train, vecs))
+    queries = pooled.select(F.col("customer_id").alias("query_id"), F.col("user_vector").alias("vector"))
+    recent = durable(sequences.last_rows(train).select(F.col("customer_id").alias("list_id"), "article_id"))
+    seen = recent.select(F.col("list_id").alias("query_id"), "article_id")
+    found = retrieval.top_k(queries, vecs, 150, seen).select(F.col("query_id").alias("list_id"), "article_id")
+    session = intents.session_rows(
+        recent.join(meta.select("article_id", F.col("avg_price").alias("price")), "article_id", "left").withColumn("t_dat", now), meta
+    )
+    session = durable(session)
+    heads = intents.infer_intents(recent.select("list_id").distinct(), session, vecs, DIM)
+    users = pooled.select(F.col("customer_id").alias("list_id"), "user_vector")
+    rows = build_features(found, meta, vecs, users, heads, session)
+    return learning.rank_by_models(models, rows, 20).select(F.col("list_id").alias("user_id"), "article_id", "score", "rank")
+
+
+@query("K10_feed_ranked")
+def k10_ranked(spark, sf):
+    return feed_of(spark, sf, rankers(spark, sf)[0])["items"]
+
+
+@query("K9_search_ranked")
+def k9_ranked(spark, sf):
+    cat = catalogue_of(spark, sf)
+    middles = durable(I.category_centroids(cat.stock, cat.vectors))
+    models, _ = rankers(spark, sf)
+    return surfaces.search(T.search_queries(spark, sf), middles, I.global_centroid(cat.vectors), cat, 20, models)["items"]
+
+
+# ---- streams --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "O1_session_state",
+    """SELECT 'sess:' || user_id AS session_key, count(*)::INTEGER AS events, min(ts) AS first_ts, max(ts) AS last_ts,
+         string_agg(article_id::VARCHAR, ',' ORDER BY age) AS articles FROM sess GROUP BY 1""",
+    "sess",
+)
+def o1(spark, sf):
+    stream = S.with_defaults(S.typed(S.event_stream(spark, sf)))
+    updates = S.update_to(S.session_state(stream, GAP), "sessions", S.SESSION)
+    last = S.latest(updates.filter(~F.col("expired")), ["session_key"])
+    return last.select(
+        "session_key",
+        "events",
+        F.col("first_ts").cast("timestamp_ntz").alias("first_ts"),
+        F.col("last_ts").cast("timestamp_ntz").alias("last_ts"),
+        F.concat_ws(",", F.col("article_ids").cast("array<string>")).alias("articles"),
+    )
+
+
+@query(
+    "O2_current_session",
+    "SELECT user_id, event_id, article_id, ts, age::INTEGER AS age FROM sess",
+    "sess",
+)
+def o2(spark, sf):
+    return intents.current_sessions(T.clicks(spark, sf), GAP).select("user_id", "event_id", "article_id", "ts", "age")
+
+
+@query(
+    "O2_all_sessions",
+    """SELECT user_id, session::BIGINT AS session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM (
+         SELECT *, sum(CASE WHEN gap > 43200000000 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+           AS session FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap
+             FROM clicks)) GROUP BY 1, 2""",
+    "clicks",
+)
+def o2_all(spark, sf):
+    return intents.sessions(T.clicks(spark, sf), GAP)
+
+
+@query(
+    "O3_event_defaults",
+    """SELECT event_id, 'sess:' || user_id AS session_key, article_id, ts, CASE WHEN event_type = 'view' THEN 0.0 ELSE price END AS price,
+         CASE WHEN event_type = 'view' THEN 'unknown' ELSE event_type END AS category_l1,
+         event_type <> 'view' AND discounted AS discounted FROM clicks""",
+    "clicks",
+)
+def o3(spark, sf):
+    path = S.append_to(S.with_defaults(S.typed(S.event_stream(spark, sf))), "event-defaults")
+    return spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("O4_event_log", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def o4(spark, sf):
+    return spark.read.parquet(S.append_to(S.event_stream(spark, sf), "event-log"))
+
+
+@query(
+    "O5_rolling_popularity",
+    "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, article_id, count(*) AS n FROM clicks GROUP BY 1, 2",
+    "clicks",
+)
+def o5(spark, sf):
+    stream = S.with_defaults(S.typed(S.event_stream(spark, sf)))
+    updates = S.update_to(S.rolling_popularity(stream), "popularity", "hour timestamp, article_id bigint, n bigint")
+    return S.latest(updates, ["hour", "article_id"]).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query(
+    "O6_latency_counters",
+    "SELECT event_type AS stage, count(*) AS latency_count, round(sum(value), 3) AS latency_sum FROM events GROUP BY 1",
+)
+def o6(spark, sf):
+    samples = S.event_stream(spark, sf).select(F.col("event_type").alias("stage"), F.col("value").alias("millis"))
+    updates = S.update_to(S.latency_counters(samples), "latency", "stage string, latency_count bigint, latency_sum double")
+    return S.latest(updates, ["stage"]).withColumn("latency_sum", F.round("latency_sum", 3))
