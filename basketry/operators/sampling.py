@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import age_band
+from basketry.operators.skew import first_n, running_total
 
 
 @dataclass(frozen=True)
@@ -34,8 +35,8 @@ def split(tx: DataFrame, val_days: int, until: DataFrame | None = None) -> tuple
 
 
 def top_by_count(df: DataFrame, key: str, n: int, min_support: int = 1) -> DataFrame:
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_tx"))
-    return counts.filter(F.col("n_tx") >= min_support).orderBy(F.desc("n_tx"), key).limit(n)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_tx")).filter(F.col("n_tx") >= min_support)
+    return first_n(counts.withColumn("_down", -F.col("n_tx")), ["_down", key], n).drop("_down")
 
 
 def build_samples(
@@ -80,15 +81,23 @@ def leakage_audit(train: DataFrame, val: DataFrame, items: DataFrame, users: Dat
 
 
 def subsample(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
-    """At most n rows without replacement, the same ones on every run."""
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    return df.orderBy(draw, *key).limit(n)
+    """At most n rows without replacement, the same ones on every run: those with the smallest hashes.
+
+    On large inputs rows far above the n-th hash are filtered out first, so the final sort sees about 2 n rows. Should
+    fewer than n be left, all rows are sorted.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    hashed = df.withColumn("_digest", digest)
+    total = df.count()
+    if total > 20 * n:
+        limit = f"{int(2 * n / total * 16**12):012x}"
+        low = hashed.filter(F.col("_digest") < F.lit(limit))
+        hashed = low if low.count() >= n else hashed
+    return hashed.orderBy("_digest", *key).limit(n).drop("_digest")
 
 
 def systematic(df: DataFrame, key: str, size: int) -> DataFrame:
     """Every (n/size)-th row in key order, at most `size` of them."""
-    from basketry.operators.skew import running_total
-
     total = df.select(F.count(F.lit(1))).scalar()
     step = F.greatest(F.lit(1), F.floor(total / F.lit(size)))
     # No key column: every row belongs to one group, so large catalogues take the range-partitioned path.
