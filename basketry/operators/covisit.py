@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from basketry.operators.sequences import last_rows
 from basketry.operators.skew import newest, paired
+from basketry.session import durable
 
 WINDOW_DAYS = 7
 MAX_NEIGHBOURS = 50
@@ -32,12 +33,9 @@ def covisit_counts(tx: DataFrame, window_days: int = WINDOW_DAYS, hot_rows: int
     buckets one window wide; a row meets only the same and the next bucket. The join's output goes straight into the
     partial aggregate, so what is shuffled is distinct pairs; only a < b is counted, then mirrored.
     """
-    daily = (
-        tx.groupBy("customer_id", "article_id", "t_dat")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("day", F.unix_date("t_dat"))
-        .drop("t_dat")
-    )
+    folded = tx.groupBy("customer_id", "article_id", "t_dat").agg(F.count(F.lit(1)).alias("n"))
+    # Both sides and the size check read these rows; stored, the purchase join behind them runs once.
+    daily = durable(folded.select("customer_id", "article_id", "n", F.unix_date("t_dat").alias("day")))
     width = window_days + 1
     bucket = F.floor(F.col("day") / width)
     early = daily.withColumn("bucket", bucket)
@@ -80,9 +78,9 @@ def covisit_recommend(near: DataFrame, train: DataFrame, k: int = 20, recent: in
 
 def complements(tx: DataFrame, limit: int = MAX_NEIGHBOURS, hot_rows: int = 50_000) -> DataFrame:
     """Lift of two items sharing a basket: baskets with both x all baskets / (baskets with one x with the other)."""
-    lines = tx.select("order_id", "article_id").distinct()
+    lines = durable(tx.select("order_id", "article_id").distinct())
     support = lines.groupBy("article_id").agg(F.count(F.lit(1)).alias("support"))
-    n_baskets = tx.select(F.count_distinct("order_id")).scalar()
+    n_baskets = lines.select(F.count_distinct("order_id")).scalar()
     ordered = F.col("l.article_id") < F.col("r.article_id")
     pairs = (
         paired(lines, lines, ["order_id"], ordered, "article_id", hot_rows)

@@ -170,12 +170,19 @@ def apply_all(
     blocked: DataFrame | None = None,
     max_share: float = MAX_SHARE,
     lam: float = LAMBDA,
+    embeddings: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(final lists with their position, drops per list and step). Lists leave only through here."""
+    """(final lists with their position, drops per list and step). Lists leave only through here.
+
+    With `embeddings` (article_id, embedding) the vectors join after the cap, so the filters and rankings move rows
+    without them.
+    """
     marked = flagged(candidates, contexts, seen, blocked)
     left = marked.filter(F.col("dropped_by").isNull()).drop("dropped_by")
-    final = mmr_diversify(cap_category(left, limit, max_share), limit, lam)
-    return final, drop_report(marked, limit, max_share)
+    capped = cap_category(left, limit, max_share)
+    if embeddings is not None:
+        capped = capped.join(embeddings, "article_id", "left")
+    return mmr_diversify(capped, limit, lam), drop_report(marked, limit, max_share)
 
 
 def write_guarded(final: DataFrame, path: str) -> None:

@@ -33,14 +33,11 @@ SENTENCE = 1000
 def negatives(examples: DataFrame, pool: DataFrame, n: int = N_NEGATIVES, seed: int = 0) -> DataFrame:
     """n distinct uniform items per example outside its history and target, at most 20 n draws.
 
-    examples (example_id, history, target); pool (article_id, position) with positions 0..size-1. What to leave out is
-    turned into positions first, so draws are filtered inside the row and only the n chosen ones are joined to ids.
+    examples (example_id, taken): the pool positions of the history and target; pool (article_id, position) with
+    positions 0..size-1. Draws are filtered inside the row and only the n chosen ones are joined to ids.
     """
     size = pool.select(F.count(F.lit(1))).scalar()
-    ids = examples.select("example_id", F.explode(F.array_union("history", F.array("target"))).alias("article_id"))
-    out = ids.join(pool, "article_id").groupBy("example_id").agg(F.collect_set("position").alias("_out"))
-    asked = examples.select("example_id").join(out, "example_id", "left").withColumn("_size", size)
-    asked = asked.withColumn("_out", F.coalesce("_out", F.array().cast("array<bigint>")))
+    asked = examples.select("example_id", F.col("taken").alias("_out")).withColumn("_size", size)
 
     def chosen(attempts: int) -> Column:
         draws = F.transform(
@@ -56,6 +53,16 @@ def negatives(examples: DataFrame, pool: DataFrame, n: int = N_NEGATIVES, seed:
     return rows.join(pool, "position").select("example_id", (F.col("draw") + 1).alias("draw"), "article_id")
 
 
+def with_positions(tx: DataFrame, pool: DataFrame) -> DataFrame:
+    """Purchases with the pool position of their article; null where the pool lacks it."""
+    return tx.join(pool, "article_id", "left")
+
+
+def taken(events: Column, target_position: Column) -> Column:
+    """Positions an example may not draw."""
+    return F.array_compact(F.array_union(F.transform(events, lambda e: e["position"]), F.array(target_position)))
+
+
 def weak_labels(rows: DataFrame, in_session: Column, seed: int = 0) -> DataFrame:
     """Labels of each candidate: a target was clicked and bought, and carted or wished for by chance; another item
     counts as clicked where its category is in the session."""

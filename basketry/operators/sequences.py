@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.sampling import subsample
 from basketry.operators.skew import HOT_ROWS, newest, ordered_window
+from basketry.session import durable
 from basketry.sources.tables import TX_ORDER
 
 HISTORY = 20
@@ -48,32 +50,57 @@ def training_examples(tx: DataFrame, n: int = HISTORY, hot_rows: int = HOT_ROWS)
     )
 
 
-def detailed_examples(tx: DataFrame, n: int = HISTORY, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Training examples whose history keeps day and price, with one id each: (example_id, customer_id, target, t_dat,
-    events)."""
-    event = F.struct("article_id", "t_dat", "price")
+DETAIL = ("article_id", "t_dat", "price", "position")
+
+
+def detailed_examples(tx: DataFrame, n: int = HISTORY, hot_rows: int = HOT_ROWS, detail: tuple[str, ...] = DETAIL) -> DataFrame:
+    """Training examples whose history keeps `detail` of each purchase: (example_id, customer_id, target, t_dat,
+    position of the target, events)."""
+    detail = tuple(c for c in detail if c in tx.columns)
     rows = ordered_window(
-        tx, ["customer_id"], TX_ORDER, lambda w: {"events": F.collect_list(event).over(w.rowsBetween(-n, -1))},
+        tx, ["customer_id"], TX_ORDER, lambda w: {"events": F.collect_list(F.struct(*detail)).over(w.rowsBetween(-n, -1))},
         before=n, hot_rows=hot_rows,
     )
-    key = F.concat_ws("-", F.col("customer_id").cast("string"), F.col("seq").cast("string"))
     return rows.filter(F.col("seq") > 1).select(
-        key.alias("example_id"), "customer_id", F.col("article_id").alias("target"), "t_dat", "events"
+        _example_id("-").alias("example_id"), "customer_id", F.col("article_id").alias("target"), "t_dat",
+        *[c for c in ("position",) if c in tx.columns], "events",
     )
 
 
+def _example_id(mark: str) -> Column:
+    return F.concat_ws(mark, F.col("customer_id").cast("string"), F.col("seq").cast("string"))
+
+
+def _events(pieces: DataFrame, keys: list[str], detail: list[str]) -> DataFrame:
+    """At most `HISTORY` pieces (at, detail...) per key as one array in order."""
+    packed = F.sort_array(F.collect_list(F.struct("at", *detail)))
+    return pieces.groupBy(*keys).agg(F.transform(packed, lambda e: F.struct(*[e[c].alias(c) for c in detail])).alias("events"))
+
+
+def chosen_examples(tx: DataFrame, max_examples: int, n: int = HISTORY, seed: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """At most `max_examples` of the detailed training examples.
+
+    Purchases are numbered once and the examples drawn by number; each asks for its n places ahead by (customer, seq),
+    so histories are built for the drawn examples only.
+    """
+    detail = [c for c in DETAIL if c in tx.columns]
+    placed = durable(numbered(tx, hot_rows).select("customer_id", "seq", *detail)).withColumn("example_id", _example_id("-"))
+    drawn = durable(subsample(placed.filter(F.col("seq") > 1), ["example_id"], max_examples, seed))
+    places = F.explode(F.sequence(F.greatest(F.lit(1), F.col("seq") - n), F.col("seq") - 1))
+    asked = drawn.select("example_id", "customer_id", places.alias("seq"))
+    pieces = placed.drop("example_id").join(asked, ["customer_id", "seq"]).withColumnRenamed("seq", "at")
+    rows = drawn.withColumnRenamed("article_id", "target").drop("seq", "price")
+    return rows.join(_events(pieces, ["example_id"], detail), "example_id")
+
+
 def detailed_validation(train: DataFrame, val: DataFrame, n: int = HISTORY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same for every validation purchase of a customer with train history."""
-    rows = last_rows(train, n).select(
-        "customer_id", F.struct((-F.col("age")).alias("at"), "article_id", "t_dat", "price").alias("e")
-    )
-    histories = rows.groupBy("customer_id").agg(
-        F.transform(F.sort_array(F.collect_list("e")), lambda e: F.struct(e["article_id"].alias("article_id"), e["t_dat"].alias("t_dat"), e["price"].alias("price"))).alias("events")
-    )
-    numbered_val = ordered_window(val, ["customer_id"], TX_ORDER, lambda w: {}, hot_rows=hot_rows)
-    key = F.concat_ws("-v", F.col("customer_id").cast("string"), F.col("seq").cast("string"))
-    return numbered_val.join(histories, "customer_id").select(
-        key.alias("example_id"), "customer_id", F.col("article_id").alias("target"), "t_dat", "events"
+    detail = [c for c in DETAIL if c in train.columns]
+    pieces = last_rows(train, n).withColumn("at", -F.col("age")).select("customer_id", "at", *detail)
+    rows = numbered(val, hot_rows).join(_events(pieces, ["customer_id"], detail), "customer_id")
+    return rows.select(
+        _example_id("-v").alias("example_id"), "customer_id", F.col("article_id").alias("target"), "t_dat",
+        *[c for c in ("position",) if c in val.columns], "events",
     )
 
 

@@ -58,14 +58,10 @@ view("g_final", ("g_left",), capped_sql("g_left", 20))
 
 
 def guarded_candidates(spark, sf):
-    from basketry.operators.candidates import popular_for
-
-    lists, popular = contexts(spark, sf), popular_items(spark, sf)
-    rows = popular_for(lists, popular, 60, "cold_start").select("list_id", "article_id", "rank")
-    segment = popular.select("region", "age_band", "article_id", "n")
-    scored = rows.join(lists, "list_id").join(segment, ["region", "age_band", "article_id"])
+    best = durable(popular_items(spark, sf)).filter(F.col("rank") <= 60)
     score = F.round(F.col("n") / 100.0, 9)
-    return surfaces.guardrail_rows(scored.select("list_id", "article_id", score.alias("score")), catalogue_of(spark, sf))
+    scored = contexts(spark, sf).join(best, ["region", "age_band"]).select("list_id", "article_id", score.alias("score"))
+    return surfaces.guardrail_rows(scored, catalogue_of(spark, sf))
 
 
 def guardrail_inputs(spark, sf):
@@ -103,21 +99,22 @@ for _id, _step in (
 
 @query("N5_category_cap", "SELECT list_id, article_id, category_l1, score FROM g_final", "g_final")
 def n5(spark, sf):
-    left = marked(spark, sf).filter(F.col("dropped_by").isNull()).drop("embedding", "dropped_by")
+    left = marked(spark, sf).filter(F.col("dropped_by").isNull()).drop("dropped_by")
     return guardrails.cap_category(left, 20).select("list_id", "article_id", "category_l1", "score")
 
 
 @query("N6_mmr_order")
 def n6(spark, sf):
     left = marked(spark, sf).filter(F.col("dropped_by").isNull()).drop("dropped_by")
-    return guardrails.mmr_diversify(guardrails.cap_category(left, 20), 20).select("list_id", "article_id", "position")
+    capped = guardrails.cap_category(left, 20).join(catalogue_of(spark, sf).embeddings, "article_id", "left")
+    return guardrails.mmr_diversify(capped, 20).select("list_id", "article_id", "position")
 
 
 # Diversity only reorders what the cap leaves, so the final members are known; their places are not compared.
 @query("N7_guarded_lists", "SELECT list_id, article_id, score FROM g_final", "g_final")
 def n7(spark, sf):
     rows, lists, seen, blocked = guardrail_inputs(spark, sf)
-    final, _ = guardrails.apply_all(rows, lists, 20, seen, blocked)
+    final, _ = guardrails.apply_all(rows, lists, 20, seen, blocked, embeddings=catalogue_of(spark, sf).embeddings)
     return final.select("list_id", "article_id", "score")
 
 

@@ -76,27 +76,31 @@ def pool(spark, sf):
     return vocab.dense_index(T.articles(spark, sf), "article_id")
 
 
-def train_examples(spark, sf):
-    train, _ = split(spark, sf)
-    return sequences.detailed_examples(train)
+def placed_split(spark, sf):
+    """Train and validation purchases with the pool position of their article."""
+    stock = pool(spark, sf)
+    return tuple(learning.with_positions(part, stock) for part in split(spark, sf))
 
 
-def _history(examples):
-    return examples.withColumn("history", F.transform("events", lambda e: e["article_id"]))
+def drawing(examples):
+    return examples.select("example_id", learning.taken(F.col("events"), F.col("position")).alias("taken"))
 
 
 @query("J2_negative_sampling", "SELECT example_id, draw, article_id FROM neg", "neg")
 def j2(spark, sf):
-    return learning.negatives(_history(train_examples(spark, sf)), pool(spark, sf))
+    train, _ = placed_split(spark, sf)
+    examples = sequences.detailed_examples(train, detail=("position",))
+    return learning.negatives(drawing(examples), pool(spark, sf))
 
 
 def sampled_train(spark, sf):
-    return durable(sampling.subsample(train_examples(spark, sf), ["example_id"], learning.MAX_TRAIN_EXAMPLES))
+    train, _ = placed_split(spark, sf)
+    return durable(sequences.chosen_examples(train, learning.MAX_TRAIN_EXAMPLES))
 
 
 def sampled_val(spark, sf):
-    train, val = split(spark, sf)
-    return durable(sampling.subsample(sequences.detailed_validation(train, val), ["example_id"], learning.MAX_VAL_EXAMPLES))
+    examples = sequences.detailed_validation(*placed_split(spark, sf))
+    return durable(sampling.subsample(examples, ["example_id"], learning.MAX_VAL_EXAMPLES))
 
 
 def example_sessions(examples, meta):
@@ -108,7 +112,7 @@ def example_sessions(examples, meta):
 
 def labelled(spark, sf, examples, meta):
     """Target and negatives of each example with their weak labels."""
-    drawn = learning.negatives(_history(examples), pool(spark, sf))
+    drawn = learning.negatives(drawing(examples), pool(spark, sf))
     rows = learning.candidate_rows(examples, drawn).join(meta.select("article_id", "category_l1"), "article_id")
     kinds = example_sessions(examples, meta).select(F.col("list_id").alias("example_id"), "category_l1").distinct()
     marked = rows.join(kinds.withColumn("_known", F.lit(True)), ["example_id", "category_l1"], "left")

@@ -12,6 +12,7 @@ from basketry.operators.skew import newest
 from basketry.plans.registry import query, view
 from basketry.plans.sources_and_scalars import split
 from basketry.plans.surfaces import parse_queries
+from basketry.session import durable
 from basketry.sources import tables as T
 
 ORDER = "t_dat, order_id, line_no, article_id, paid, quantity"
@@ -297,7 +298,7 @@ def _searched(spark, sf, k=20):
     train, _ = split(spark, sf)
     queries = _query_vectors(spark, sf).select(F.col("customer_id").alias("query_id"), F.col("user_vector").alias("vector"))
     seen = candidates.seen_by(train).withColumnRenamed("customer_id", "query_id")
-    return queries, T.vectors(spark, sf), seen
+    return durable(queries), T.vectors(spark, sf), durable(seen)
 
 
 @query(

@@ -15,6 +15,7 @@ from basketry.operators.features import build_features
 from basketry.operators.intents import infer_intents
 from basketry.operators.learning import rank_by_models
 from basketry.operators.retrieval import top_k
+from basketry.session import durable
 
 # Fixed values
 COMPLEMENT_WEIGHT = 0.6
@@ -31,17 +32,19 @@ class Catalogue:
     meta: DataFrame
     dim: int
 
+    @property
+    def embeddings(self) -> DataFrame:
+        return self.vectors.select("article_id", F.col("vector").alias("embedding"))
+
 
 def guardrail_rows(ranked: DataFrame, catalogue: Catalogue) -> DataFrame:
     """Candidates as the guardrails want them; items the catalogue lacks are in stock, unrestricted, 'unknown'."""
-    embeddings = catalogue.vectors.select("article_id", F.col("vector").alias("embedding"))
-    joined = ranked.join(catalogue.stock, "article_id", "left").join(embeddings, "article_id", "left")
+    joined = ranked.join(catalogue.stock, "article_id", "left")
     return joined.select(
         *ranked.columns,
         F.coalesce("category_l1", F.lit(UNKNOWN)).alias("category_l1"),
         F.coalesce("in_stock", F.lit(True)).alias("in_stock"),
         F.coalesce("age_restricted", F.lit(False)).alias("age_restricted"),
-        "embedding",
     )
 
 
@@ -75,21 +78,47 @@ def feed(
 
     Without `models` candidates keep their retrieval order. `personalized` (list_id) names the lists whose session may
     be used; the others are served as cold starts.
+
+    Without a session event a list depends on its region and age band alone. One list of each such segment is worked
+    out and its result handed to the others.
     """
     if personalized is not None:
         session = session.join(personalized, "list_id", "left_semi")
-    intents = infer_intents(contexts, session, catalogue.vectors, catalogue.dim)
+    session = durable(session)
+    active = session.select("list_id").distinct()
+    quiet = contexts.join(active, "list_id", "left_anti")
+    segments = quiet.groupBy("region", "age_band").agg(F.min("list_id").alias("served_as"))
+    members = quiet.join(segments, ["region", "age_band"]).select("served_as", "list_id")
+    asked = contexts.join(active, "list_id", "left_semi").select("list_id", "region", "age_band").unionByName(
+        segments.select(F.col("served_as").alias("list_id"), "region", "age_band")
+    )
+    found = {name: durable(df) for name, df in _feed_of(asked, session, popular, catalogue, limit, models).items()}
+
+    def handed_out(df: DataFrame) -> DataFrame:
+        own = df.join(segments, df["list_id"] == segments["served_as"], "left_anti")
+        shared = df.withColumnRenamed("list_id", "served_as").join(members, "served_as").select(*df.columns)
+        return own.unionByName(shared)
+
+    return {name: handed_out(df) for name, df in found.items()}
+
+
+def _feed_of(
+    contexts: DataFrame, session: DataFrame, popular: DataFrame, catalogue: Catalogue, limit: int, models
+) -> dict[str, DataFrame]:
+    intents = durable(infer_intents(contexts, session, catalogue.vectors, catalogue.dim))
     seen = session.select("list_id", "article_id").distinct()
-    candidates = feed_candidates(contexts, intents, catalogue.vectors, seen, popular).drop("rank")
+    candidates = durable(feed_candidates(contexts, intents, catalogue.vectors, seen, popular).drop("rank"))
     if models is not None:
-        candidates = model_order(candidates, session, intents, catalogue, models)
-    final, report = guardrails.apply_all(guardrail_rows(candidates, catalogue), contexts, limit, seen)
+        candidates = durable(model_order(candidates, session, intents, catalogue, models))
+    final, report = guardrails.apply_all(
+        guardrail_rows(candidates, catalogue), contexts, limit, seen, embeddings=catalogue.embeddings
+    )
     matches = session.groupBy("list_id", F.coalesce("category_l1", F.lit(UNKNOWN)).alias("category_l1")).agg(
         F.count(F.lit(1)).alias("_matches")
     )
-    found = final.join(matches, ["list_id", "category_l1"], "left")
+    joined = final.join(matches, ["list_id", "category_l1"], "left")
     n = F.coalesce("_matches", F.lit(0))
-    items = found.select(
+    items = joined.select(
         "list_id",
         "article_id",
         "position",
@@ -99,6 +128,7 @@ def feed(
         reason_text(F.col("label"), n).alias("reason_text"),
         "degraded",
     )
+    items = durable(items)
     return {"items": items, "intents": intents, "report": report, "slots": intent_slots(intents, items)}
 
 
@@ -134,7 +164,7 @@ def bundles(seeds: DataFrame, edges: DataFrame, catalogue: Catalogue, limit: int
     blended = bundle_candidates(seeds, edges, catalogue.vectors, limit)
     contexts = seeds.select(F.col("article_id").alias("list_id"), F.lit(UNKNOWN).alias("age_band"))
     itself = seeds.select(F.col("article_id").alias("list_id"), "article_id")
-    final, report = guardrails.apply_all(guardrail_rows(blended, catalogue), contexts, limit, itself)
+    final, report = guardrails.apply_all(guardrail_rows(blended, catalogue), contexts, limit, itself, embeddings=catalogue.embeddings)
     text = F.when(F.col("reason_code") == "COMPLEMENT", "Frequently bought with this item").otherwise("Similar style")
     return {"items": final.withColumn("reason_text", text), "report": report}
 
@@ -207,7 +237,7 @@ def search(
             F.lit("").alias("list_id"), "article_id", "category_l1", F.lit(None).cast("timestamp_ntz").alias("ts")
         ).filter(F.lit(False))
         candidates = model_order(candidates, empty, intents, catalogue, models, users)
-    final, report = guardrails.apply_all(guardrail_rows(candidates, catalogue), lists, limit)
+    final, report = guardrails.apply_all(guardrail_rows(candidates, catalogue), lists, limit, embeddings=catalogue.embeddings)
     named = final.join(parsed.select(F.col("cache_key").alias("list_id"), "query"), "list_id")
     text = F.format_string("Matches your search for '%s'", F.col("query"))
     items = named.select(

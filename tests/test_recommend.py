@@ -165,11 +165,11 @@ def test_merge(spark):
 
 def test_negatives(spark):
     pool = vocab.dense_index(spark.range(1, 6).withColumnRenamed("id", "article_id"), "article_id")
-    examples = spark.createDataFrame([("e", [1], 2)], "example_id string, history array<bigint>, target bigint")
+    examples = spark.createDataFrame([("e", [0, 1])], "example_id string, taken array<bigint>")
     got = [r.article_id for r in learning.negatives(examples, pool, 3).collect()]
     assert sorted(got) == [3, 4, 5]
     small = vocab.dense_index(spark.range(1, 3).withColumnRenamed("id", "article_id"), "article_id")
-    free = spark.createDataFrame([("e", [], 9)], "example_id string, history array<bigint>, target bigint")
+    free = spark.createDataFrame([("e", [])], "example_id string, taken array<bigint>")
     assert learning.negatives(free, small, 5).count() <= 2
 
 

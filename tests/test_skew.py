@@ -49,6 +49,10 @@ def test_training_examples(tx):
     assert rows(plain) == rows(hot)
     detailed = sequences.detailed_examples(tx, hot_rows=100)
     assert rows(sequences.detailed_examples(tx)) == rows(detailed)
+    # Drawing first and building histories for the drawn examples gives the same rows.
+    drawn = sampling.subsample(detailed, ["example_id"], 100)
+    for found in (sequences.chosen_examples(tx, 100), sequences.chosen_examples(tx, 100, hot_rows=100)):
+        assert rows(found.select(*drawn.columns)) == rows(drawn)
 
 
 def test_chunks_smaller_than_the_frame_are_widened(tx):
