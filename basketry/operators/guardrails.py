@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,43 +93,69 @@ def cap_category(rows: DataFrame, limit: int, max_share: float = MAX_SHARE) -> D
     return ranked.filter(F.col("_place") <= F.col("target")).drop("_in_category", "_place", "available", "target", "per_category")
 
 
+def _unit_rows(embeddings: pd.Series) -> np.ndarray:
+    """Unit-length rows; a missing, empty or zero vector is a zero row."""
+    width = max((len(e) for e in embeddings if e is not None), default=0)
+    out = np.zeros((len(embeddings), max(width, 1)))
+    for i, e in enumerate(embeddings):
+        if e is not None and len(e):
+            out[i, : len(e)] = e
+    lengths = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(lengths > 0, lengths, 1.0)
+
+
+def _greedy(scores: np.ndarray, unit: np.ndarray, limit: int, lam: float) -> np.ndarray:
+    """Place of each row of a list, -1 where it is not chosen."""
+    cosines = unit @ unit.T
+    places = np.full(len(scores), -1, dtype=np.int32)
+    closest = np.zeros(len(scores))
+    for place in range(min(limit, len(scores))):
+        # Rounded, so that equal trade-offs go to the earlier row whatever the order of the sums.
+        value = np.round(lam * scores - (1 - lam) * closest, 9)
+        value[places >= 0] = -np.inf
+        best = int(value.argmax())
+        places[best] = place
+        closest = np.maximum(closest, cosines[best]) if place else cosines[best]
+    return places
+
+
 def _mmr(limit: int, lam: float):
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "article_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        n = len(rows)
-        width = max((len(e) for e in rows["embedding"] if e is not None), default=0)
-        unit = np.zeros((n, max(width, 1)))
-        for i, e in enumerate(rows["embedding"]):
-            if e is not None and len(e):
-                length = np.linalg.norm(np.asarray(e, dtype=np.float64))
-                if length > 0:
-                    unit[i, : len(e)] = np.asarray(e, dtype=np.float64) / length
-        cosines = unit @ unit.T
-        scores = rows["score"].to_numpy(dtype=np.float64)
-        closest = np.full(n, -np.inf)
-        left = np.ones(n, dtype=bool)
-        picked = []
-        for _ in range(min(limit, n)):
-            value = lam * scores - (1 - lam) * (closest if picked else np.zeros(n))
-            # Rounded, so that equal trade-offs go to the earlier row whatever the order of the sums.
-            best = int(np.argmax(np.where(left, np.round(value, 9), -np.inf)))
-            picked.append(best)
-            left[best] = False
-            closest = np.maximum(closest, cosines[best])
-        out = rows.iloc[picked].drop(columns=["embedding"]).reset_index(drop=True)
-        out["position"] = np.arange(len(out), dtype=np.int32)
-        return out
-
-    return order
+    def placed(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["list_id"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        scores, unit = rows["score"].to_numpy(dtype=np.float64), _unit_rows(rows["embedding"])
+        bounds = zip(starts, np.r_[starts[1:], len(rows)])
+        places = np.concatenate([_greedy(scores[a:b], unit[a:b], limit, lam) for a, b in bounds])
+        return rows.drop(columns=["embedding"]).assign(position=places)[places >= 0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            # The last list may go on in the next batch.
+            ids = rows["list_id"].to_numpy()
+            cut = int(np.argmax(ids == ids[-1]))
+            held = rows.iloc[cut:]
+            if cut:
+                yield placed(rows.iloc[:cut])
+        if held is not None:
+            yield placed(held)
+
+    return run
 
 
 def mmr_diversify(rows: DataFrame, limit: int, lam: float = LAMBDA) -> DataFrame:
     """Greedy choice of lam x score - (1 - lam) x closest chosen cosine. Lists must be cut to a bounded size first;
-    `cap_category` leaves at most `limit` rows of each."""
+    `cap_category` leaves at most `limit` rows of each.
+
+    Tasks stream over whole lists side by side, since a Python call per list would cost more than the choice itself.
+    """
     if limit <= 0:
         return rows.filter(F.lit(False)).drop("embedding").withColumn("position", F.lit(0))
-    schema = rows.drop("embedding").withColumn("position", F.lit(0)).schema
-    return rows.groupBy("list_id").applyInPandas(_mmr(limit, lam), schema)
+    ordered = rows.repartition("list_id").sortWithinPartitions("list_id", *_by_score())
+    return ordered.mapInPandas(_mmr(limit, lam), rows.drop("embedding").withColumn("position", F.lit(0)).schema)
 
 
 def drop_report(marked: DataFrame, limit: int, max_share: float = MAX_SHARE) -> DataFrame:
