@@ -12,6 +12,7 @@ from basketry.plans.joins_and_reports import serving_meta
 from basketry.plans.registry import query, view
 from basketry.plans.sequences_and_vectors import tail_sessions
 from basketry.plans.sources_and_scalars import split
+from basketry.session import durable
 from basketry.sources import tables as T
 
 DIM = 64
@@ -78,11 +79,12 @@ def history_session(spark, sf):
 
 
 def session_intents(spark, sf):
-    return intents.infer_intents(contexts(spark, sf), sessions(spark, sf), T.vectors(spark, sf), DIM)
+    # Scores, vectors and keys all read the session rows, so they are stored once.
+    return intents.infer_intents(contexts(spark, sf), durable(sessions(spark, sf)), T.vectors(spark, sf), DIM)
 
 
 def history_intents(spark, sf):
-    rows = history_session(spark, sf)
+    rows = durable(history_session(spark, sf))
     return intents.infer_intents(rows.select("list_id").distinct(), rows, T.vectors(spark, sf), DIM)
 
 
