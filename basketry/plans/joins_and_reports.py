@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
-from basketry.functions.vectors import as_text
 from basketry.operators import covisit, reports, sampling, vocab
 from basketry.operators import items as I
 from basketry.operators.sequences import last_rows
@@ -109,14 +108,6 @@ def c6(spark, sf):
     return asked.join(meta, "article_id").join(T.vectors(spark, sf).select("article_id"), "article_id")
 
 
-view(
-    "region_vocab",
-    ("banded",),
-    """SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (
-         SELECT DISTINCT region AS value FROM banded WHERE age_band = 'over_50')""",
-)
-
-
 @query(
     "C7_vocabulary_lookup",
     """SELECT b.customer_id, a.code AS age_code, coalesce(r.code, 0) AS region_code FROM banded b
