@@ -57,9 +57,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return packed(docs, id_col, text_col, []).drop("_row")
 
 
-def unpacked(df: DataFrame, columns: Sequence[str], **made: Column) -> DataFrame:
-    """The carried columns again, with new ones added; a new one replaces a carried one of its name."""
-    old = [F.col("_row")[c].alias(c) for c in columns if c not in made]
+def movable(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """packed() for joins: the text is held once, as _raw (null where it was null), and not in _row."""
+    others = [c for c in (docs.columns if keep is None else keep) if c != text_col]
+    return packed(docs, id_col, text_col, others, _raw=column(text_col)).drop("_text")
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], raw: str | None = None, **made: Column) -> DataFrame:
+    """The carried columns again, with new ones added; a new one replaces a carried one of its name. `raw` names the
+    column that _raw holds."""
+    old = [(F.col("_raw") if c == raw else F.col("_row")[c]).alias(c) for c in columns if c not in made]
     return df.select(*old, *[c.alias(name) for name, c in made.items()])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import WHITE, ascii_lower, by_row, packed, unpacked
+from basketry.llm.common import WHITE, ascii_lower, by_row, movable, unpacked
 from basketry.session import durable
 
 MIN_DOCS = 10
@@ -29,8 +29,9 @@ def drop_common_lines(
     Only hashes of lines are shuffled by line. The table of common lines is stored, so that a line of a third of all
     documents meets it in a join whose large partitions Spark splits; the texts move once, by document.
     """
-    rows = packed(docs, id_col, text_col)
-    lines = F.split("_text", "\n")
+    rows = movable(docs, id_col, text_col)
+    text = F.coalesce("_raw", F.lit(""))
+    lines = F.split(text, "\n")
     hashed = F.transform(lines, lambda x: F.when(F.length(line_key(x)) >= min_chars, F.md5(line_key(x).cast("binary"))))
     seen = durable(rows.select("_id", "_h", hashed.alias("hashes")))
     counted = seen.select(F.explode(F.array_distinct(F.array_compact("hashes"))).alias("line")).groupBy("line").count()
@@ -40,12 +41,13 @@ def drop_common_lines(
     both = by_row(rows, dropped, "left").withColumn("_lines", lines)
     both = both.withColumn("_gone", F.coalesce("_gone", F.expr("cast(array() as array<int>)")))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.size("_gone") == 0, F.col("_text")).otherwise(
+    kept = F.when(F.size("_gone") == 0, text).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
     )
     return unpacked(
         both,
         docs.columns,
+        text_col,
         n_lines=F.size("_lines").cast("bigint"),
         n_dropped=F.size("_gone").cast("bigint"),
         kept_text=kept,

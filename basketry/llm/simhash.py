@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import WORD, by_row, keyed, packed, unpacked
+from basketry.llm.common import WORD, by_row, keyed, movable, unpacked
 from basketry.session import durable
 
 SHINGLE = 3
@@ -238,5 +238,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = durable(classes(docs, id_col, text_col, **how))
     first = F.min(F.struct(F.col("_id").isNull().alias("nameless"), "_id", "_h"))
     keep = durable(found.groupBy("root").agg(first.alias("first")).select("first._id", "first._h"))
-    rows = by_row(packed(docs, id_col, text_col), keep, "left_semi")
-    return unpacked(rows.dropDuplicates(["_id", "_h"]), docs.columns)
+    rows = by_row(movable(docs, id_col, text_col), keep, "left_semi")
+    return unpacked(rows.dropDuplicates(["_id", "_h"]), docs.columns, text_col)
