@@ -109,11 +109,11 @@ def host_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
         F.greatest(F.col("mean") * weight, F.lit(1e-6)).alias("_a"),
         F.greatest((1 - F.col("mean")) * weight, F.lit(1e-6)).alias("_b"),
     )
-    a, b = F.col("_a") + F.col("n_failed"), F.col("_b") + F.col("n_docs") - F.col("n_failed")
+    # Two numbers for all hosts, read as scalars: nothing is joined.
+    a = prior.select("_a").scalar() + F.col("n_failed")
+    b = prior.select("_b").scalar() + F.col("n_docs") - F.col("n_failed")
     spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    # The prior is one row, so this meets every host once and pairs nothing.
-    both = hosts.join(F.broadcast(prior), F.lit(True))
-    return both.select(
+    return hosts.select(
         "_host", "n_docs", "n_failed", (a / (a + b)).alias("rate"), ((a / (a + b) - 2 * spread) > max_rate).alias("host_rejected")
     )
 
