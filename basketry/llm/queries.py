@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from basketry.llm import bpe, line_dedup, packing, quality, sharding, simhash
+from basketry.llm import bpe, hmm, line_dedup, neighbours, packing, quality, sharding, simhash, substring_dedup, toxicity
 from basketry.llm.common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,28 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
+@query("op2_substring_dedup")
+def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeated(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return kept.select("doc_id", "n_words", "n_removed", sha256(F.col("kept_text")).alias("kept_sha256"))
+
+
+@query("op3_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
+@query("op5_nearest_neighbours")
+def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query("op8_hidden_markov_scores")
+def hmm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 @query("op6_simhash")
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
