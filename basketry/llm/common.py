@@ -112,6 +112,7 @@ def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.RandomState(seed).randint(0, 2**32, (n, 2), dtype=np.uint64) @ np.array([1, 2**32], np.uint64) | np.uint64(1)
 
 
+RUN_BYTES = 1 << 19
 _BYTE = _odd(11, 256)
 _BASE = _odd(12, 4)
 _POWERS: dict[int, np.ndarray] = {}
@@ -162,7 +163,16 @@ class Words:
             return np.zeros(0, np.uint64)
         stops = self.ends if ends is None else ends
         sizes = stops - self.starts
-        before = np.cumsum(sizes) - sizes
-        place = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
-        terms = _BYTE[self.raw[np.repeat(self.starts, sizes) + place]] * powers(0, int(sizes.max()))[place]
-        return mixed(np.add.reduceat(terms, before) + sizes.astype(np.uint64))
+        upto = np.cumsum(sizes)
+        scale, out = powers(0, int(sizes.max())), np.empty(len(sizes), np.uint64)
+        first = 0
+        while first < len(sizes):  # in runs, since each byte takes some dozen bytes here
+            done = int(upto[first] - sizes[first])
+            last = max(first + 1, int(np.searchsorted(upto, done + RUN_BYTES, "right")))
+            some = sizes[first:last]
+            before = np.cumsum(some) - some
+            place = np.arange(int(some.sum())) - np.repeat(before, some)
+            terms = _BYTE[self.raw[np.repeat(self.starts[first:last], some) + place]] * scale[place]
+            out[first:last] = np.add.reduceat(terms, before) + some.astype(np.uint64)
+            first = last
+        return mixed(out)

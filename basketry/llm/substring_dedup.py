@@ -24,8 +24,8 @@ from basketry.session import durable
 
 WINDOW = 35
 GRAM = 8
-SHARD_WORDS = 200_000
-SLICE_CHARS = 4_000_000
+SHARD_WORDS = 150_000
+SLICE_CHARS = 2_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -268,7 +268,7 @@ def repeated_spans(
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = grown(batch["_z"].tolist())
-            for start, stop in slices([len(t) for t in texts], SLICE_CHARS // 4):
+            for start, stop in slices([len(t) for t in texts], SLICE_CHARS // 2):
                 words = Words(texts[start:stop])
                 hashes = words.hashes()
                 runs, out = Ranges(hashes), []
