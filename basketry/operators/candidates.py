@@ -80,21 +80,11 @@ def vector_recommend(train: DataFrame, vectors: DataFrame, k: int = 20) -> DataF
 
 def intent_results(intents: DataFrame, vectors: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """Top k unseen items of every intent: (list_id, query_pos, label, weight, article_id, score)."""
-    key = F.struct("list_id", "intent_rank")
-    queries = intents.select(key.alias("query_id"), "vector")
-    exclude = intents.select("list_id", "intent_rank").join(seen, "list_id").select(key.alias("query_id"), "article_id")
-    found = top_k(_flat(queries), vectors, k, _flat(exclude))
-    split = F.split("query_id", "#")
-    back = found.select(split[0].alias("_list"), split[1].cast("int").alias("query_pos"), "article_id", "score")
-    named = intents.select(
-        F.col("list_id").cast("string").alias("_list"), "list_id", F.col("intent_rank").alias("query_pos"), "label", "weight"
-    )
-    return back.join(named, ["_list", "query_pos"]).drop("_list")
-
-
-def _flat(df: DataFrame) -> DataFrame:
-    joined = F.concat(F.col("query_id.list_id").cast("string"), F.lit("#"), F.col("query_id.intent_rank").cast("string"))
-    return df.withColumn("query_id", joined)
+    by = ("list_id", "intent_rank")
+    exclude = intents.select(*by).join(seen, "list_id").select(*by, "article_id")
+    found = top_k(intents.select(*by, "vector"), vectors, k, exclude, by=by).drop("rank")
+    named = intents.select(*by, "label", "weight")
+    return found.join(named, list(by)).withColumnRenamed("intent_rank", "query_pos")
 
 
 def multi_intent_recommend(intents: DataFrame, vectors: DataFrame, seen: DataFrame, k: int = 20) -> DataFrame:

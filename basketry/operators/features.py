@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from basketry.functions.columns import UNKNOWN
 from basketry.functions.vectors import dot
 from basketry.operators.intents import mixed_intents, recency
+from basketry.operators.items import with_meta
 from basketry.operators.skew import HOT_ROWS, running_total
 
 # Fixed values
@@ -28,15 +29,22 @@ NEW_ITEM_DAYS = 14.0
 
 
 def price_percentile(rows: DataFrame, keys: list[str], price: str = "price", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Share of strictly cheaper rows among the others of the group, 0.5 for a row alone; for groups of any size."""
-    counted = rows.groupBy(*keys, price).agg(F.count(F.lit(1)).alias("_n"))
+    """Share of strictly cheaper rows among the others of the group, 0.5 for a row alone; for groups of any size.
+
+    Rows without a price stay, with no percentile, and count for nobody else's; null keys are a group like others.
+    """
+    priced = rows.filter(F.col(price).isNotNull())
+    counted = priced.groupBy(*keys, price).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_total(counted, keys, [price], F.col("_n"), "_upto", hot_rows)
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     share = F.when(F.col("_total") == 1, F.lit(0.5)).otherwise(
         F.try_divide(F.col("_upto") - F.col("_n"), F.col("_total") - 1)
     )
-    scored = placed.join(totals, keys).select(*keys, price, share.alias("price_percentile"))
-    return rows.join(scored, [*keys, price])
+    totals = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_total")
+    both = placed.join(totals, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
+    scored = both.select(*[F.col(c).alias(f"_s_{c}") for c in (*keys, price)], share.alias("price_percentile"))
+    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in keys] + [F.col(price) == F.col(f"_s_{price}")]
+    return rows.join(scored, same, "left").select(*rows.columns, "price_percentile")
 
 
 def build_features(
@@ -49,13 +57,13 @@ def build_features(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """candidates (list_id, article_id, ...): lists are cut to a few hundred rows before they come here, so the
-    per-list window is bounded. Candidates without a vector or metadata are left out.
+    per-list window is bounded. Candidates without a vector are left out; those without metadata get the default row.
 
     meta (article_id, category_l1, popularity, ctr, avg_price, days_since_first_seen) may also carry list_id, where
     the age of an item depends on the list. session (list_id, category_l1, ts) is the list's events.
     """
     by = ["list_id", "article_id"] if "list_id" in meta.columns else ["article_id"]
-    rows = candidates.join(meta, by).join(vectors, "article_id")
+    rows = with_meta(candidates, meta, by).join(vectors, "article_id")
     named = session.withColumn("category_l1", F.coalesce("category_l1", F.lit(UNKNOWN)))
     per_category = named.groupBy("list_id", "category_l1").agg(F.count(F.lit(1)).alias("matches"), F.max("ts").alias("last_ts"))
     whole = per_category.groupBy("list_id").agg(F.sum("matches").alias("length"), F.max("last_ts").alias("now_ts"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.columns import ADULT_AGE_BANDS
 from basketry.operators.skew import newest
+from basketry.session import durable
 
 # Fixed values
 MAX_SHARE = 0.35
@@ -204,7 +205,8 @@ def apply_all(
     With `embeddings` (article_id, embedding) the vectors join after the cap, so the filters and rankings move rows
     without them.
     """
-    marked = flagged(candidates, contexts, seen, blocked)
+    # The cap, its targets and the report all read the marked rows.
+    marked = durable(flagged(candidates, contexts, seen, blocked))
     left = marked.filter(F.col("dropped_by").isNull()).drop("dropped_by")
     capped = cap_category(left, limit, max_share)
     if embeddings is not None:

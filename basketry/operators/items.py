@@ -40,9 +40,9 @@ def days_since_first_seen(meta: DataFrame, now: Column) -> DataFrame:
     return meta.withColumn("days_since_first_seen", days_between(now, F.col("first_seen")).cast("double"))
 
 
-def with_meta(rows: DataFrame, meta: DataFrame) -> DataFrame:
+def with_meta(rows: DataFrame, meta: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Item metadata, or the default row for items that have none."""
-    joined = rows.join(meta, "article_id", "left")
+    joined = rows.join(meta, by or ["article_id"], "left")
     return joined.select(
         *rows.columns,
         F.coalesce("category_l1", F.lit(UNKNOWN)).alias("category_l1"),

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, FeatureHasher, HashingTF, RegexTokenizer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import uniform
+from basketry.functions.columns import UNKNOWN, tokens, uniform
 from basketry.functions.vectors import scaled_sum, unit
+from basketry.operators.covisit import covisit_counts
 from basketry.operators.features import FEATURE_NAMES
-from basketry.operators.sequences import numbered
 from basketry.operators.skew import newest
 
 # Fixed values
@@ -24,10 +23,10 @@ WISHLIST_PROBABILITY = 0.2
 N_NEGATIVES = 4
 ATTEMPTS_PER_NEGATIVE = 20
 COLD_ITEM_SMOOTHING = 10.0
+# Bounds on the examples that the rankers are fitted on and judged by; arguments where examples are drawn.
 MAX_TRAIN_EXAMPLES = 8_000
 MAX_VAL_EXAMPLES = 2_000
 ROUNDS = 100
-SENTENCE = 1000
 
 
 def negatives(examples: DataFrame, pool: DataFrame, n: int = N_NEGATIVES, seed: int = 0) -> DataFrame:
@@ -94,15 +93,17 @@ def train_rankers(
     """One boosted-tree model per objective; stops early on the validation rows."""
     both = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
     data = assembled(both).select("features", "is_val", *objectives).persist()
-    models = {}
-    for objective in objectives:
-        booster = GBTClassifier(
-            labelCol=objective, featuresCol="features", maxDepth=4, maxIter=rounds, stepSize=0.05, minInstancesPerNode=20,
-            validationIndicatorCol="is_val", seed=0,
-        )
-        models[objective] = booster.fit(data)
-    data.unpersist()
-    return models
+    try:
+        return {objective: _booster(objective, rounds).fit(data) for objective in objectives}
+    finally:
+        data.unpersist()
+
+
+def _booster(objective: str, rounds: int) -> GBTClassifier:
+    return GBTClassifier(
+        labelCol=objective, featuresCol="features", maxDepth=4, maxIter=rounds, stepSize=0.05, minInstancesPerNode=20,
+        validationIndicatorCol="is_val", seed=0,
+    )
 
 
 def probabilities(models: dict[str, GBTClassificationModel], rows: DataFrame) -> DataFrame:
@@ -114,14 +115,20 @@ def probabilities(models: dict[str, GBTClassificationModel], rows: DataFrame) ->
     return out.drop("features")
 
 
+def auc_of(scored: DataFrame, score: str, objectives: tuple[str, ...] = OBJECTIVES) -> dict[str, float]:
+    """Area under the ROC curve of a score for each label; equal scores count half. One number each reaches the driver."""
+    judge = BinaryClassificationEvaluator(rawPredictionCol=score, numBins=0)
+    return {o: float(judge.setLabelCol(o).evaluate(scored.withColumn(o, F.col(o).cast("double")))) for o in objectives}
+
+
 def auc(models: dict[str, GBTClassificationModel], rows: DataFrame) -> DataFrame:
-    """Validation AUC and number of trees per objective; one small number each reaches the driver."""
+    """Validation AUC and number of trees per objective."""
     data = assembled(rows).persist()
-    out = []
-    for objective, model in models.items():
-        judge = BinaryClassificationEvaluator(labelCol=objective, rawPredictionCol="rawPrediction")
-        out.append((objective, float(judge.evaluate(model.transform(data))), int(model.getNumTrees)))
-    data.unpersist()
+    try:
+        found = {o: auc_of(m.transform(data), "rawPrediction", (o,))[o] for o, m in models.items()}
+    finally:
+        data.unpersist()
+    out = [(o, found[o], int(m.getNumTrees)) for o, m in models.items()]
     return rows.sparkSession.createDataFrame(out, "objective string, auc double, trees int")
 
 
@@ -147,39 +154,42 @@ def load_rankers(spark: SparkSession, path: str, objectives: tuple[str, ...] = O
     return {o: GBTClassificationModel.load(f"{path}/ranker_{o}") for o in objectives}
 
 
-def collaborative_vectors(tx: DataFrame, dim: int = 64, seed: int = 0, partitions: int = 4) -> DataFrame:
-    """Item vectors from purchase sequences. Sequences are cut every 1000 items, as the learner itself would."""
-    rows = numbered(tx).withColumn("part", F.floor((F.col("seq") - 1) / SENTENCE))
-    entry = F.struct("seq", F.col("article_id").cast("string").alias("a"))
-    sentences = rows.groupBy("customer_id", "part").agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["a"]).alias("sentence")
-    )
-    learner = Word2Vec(
-        vectorSize=dim, minCount=1, maxSentenceLength=SENTENCE, seed=seed, numPartitions=partitions,
-        inputCol="sentence", outputCol="v",
-    )
-    found = learner.fit(sentences).getVectors()
-    return found.select(
-        F.col("word").cast("bigint").alias("article_id"), unit(vector_to_array("vector")).alias("vector")
-    )
+def _bucket(token: Column, dim: int) -> tuple[Column, Column]:
+    """Component and sign that a token adds to."""
+    digest = F.md5(token.cast("string").cast("binary"))
+    at = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    return at, F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
+
+
+def projected(rows: DataFrame, key: str, token: str, weight: str, dim: int = 64) -> DataFrame:
+    """(key, token, weight) -> (key, vector): tokens hashed to signed components, added up, scaled to length 1.
+
+    The sums combine map-side, and a vector holds `dim` numbers whatever the number of tokens.
+    """
+    at, sign = _bucket(F.col(token), dim)
+    sums = rows.select(key, at.alias("_at"), (sign * F.col(weight)).alias("_x")).groupBy(key, "_at").agg(F.sum("_x").alias("_x"))
+    held = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_x"))).alias("_m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
+    return held.select(key, unit(filled).alias("vector"))
+
+
+def collaborative_vectors(tx: DataFrame, dim: int = 64) -> DataFrame:
+    """Item vectors from what is bought near each item: its co-visitation counts, projected. Items without any have none."""
+    counts = covisit_counts(tx).select(F.col("item").alias("article_id"), "neighbour", F.col("cnt").cast("double").alias("cnt"))
+    return projected(counts, "article_id", "neighbour", "cnt", dim)
 
 
 def content_vectors(items: DataFrame, dim: int = 64) -> DataFrame:
-    """Item vectors from title words and attributes; needs no purchases, so new items have one."""
+    """Item vectors from title words, weighed by rarity, and attributes; needs no purchases, so new items have one."""
     attributes = ["category_l1", "category_l2", "colour", "dept"]
-    stages = Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="title", outputCol="_words", pattern="[^a-z0-9]+"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
-            IDF(inputCol="_tf", outputCol="_text"),
-            FeatureHasher(inputCols=attributes, outputCol="_attributes", numFeatures=dim),
-        ]
-    )
-    filled = items.fillna("unknown", attributes).fillna("", ["title"])
-    model: PipelineModel = stages.fit(filled)
-    made = model.transform(filled)
-    both = scaled_sum(vector_to_array("_text"), F.lit(1.0), vector_to_array("_attributes"), F.lit(1.0))
-    return made.select("article_id", unit(both).alias("vector"))
+    words = items.select("article_id", F.explode(F.array_distinct(tokens(F.coalesce("title", F.lit(""))))).alias("token"))
+    held = words.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    total = items.select(F.count(F.lit(1))).scalar()
+    rare = F.log((total + 1) / (F.col("_n") + 1)) + 1.0
+    named = [F.concat(F.lit(f"{a}="), F.coalesce(F.col(a).cast("string"), F.lit(UNKNOWN))) for a in attributes]
+    kinds = items.select("article_id", F.explode(F.array(*named)).alias("token"), F.lit(1.0).alias("weight"))
+    weighed = words.join(held, "token").select("article_id", "token", rare.alias("weight"))
+    return projected(weighed.unionByName(kinds), "article_id", "token", "weight", dim)
 
 
 def blend_cold_items(content: DataFrame, collaborative: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,98 +6,100 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructType
 
 from basketry.operators.skew import newest
 
-QUERY_BLOCK = 512
+QUERY_BLOCK = 8192
 ITEM_BLOCK = 8192
 SCORE_PLACES = 9
-
-
-def _best_of_block(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-    """For each query of the block, its best `fetch` items of the block (score, then smaller id)."""
-    out_q, out_i, out_s = [], [], []
-    if len(queries) and len(items):
+# Of the hashed form: items per cell, about; tables; and the most bits a cell has.
+ROWS_PER_CELL = 64
+TABLES = 4
+MAX_BITS = 16
+PLANE_PLACES = 6
+
+
+def _best_of_block(by: list[str]):
+    def best(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        """For each query of the block, its best `fetch` items of the block (score, then smaller id)."""
+        names = [*by, "article_id", "score"]
+        if not len(queries) or not len(items):
+            return pd.DataFrame({n: [] for n in names})
         items = items.sort_values("article_id")
         ids = items["article_id"].to_numpy()
         matrix = np.stack(items["vector"].to_list()).astype(np.float64)
         wanted = np.stack(queries["vector"].to_list()).astype(np.float64)
+        asked = queries["fetch"].to_numpy()
+        out = []
         for start in range(0, len(queries), 128):
-            scores = np.round(wanted[start : start + 128] @ matrix.T, SCORE_PLACES)
-            for row, (qid, fetch) in enumerate(
-                zip(queries["query_id"].iloc[start : start + 128], queries["fetch"].iloc[start : start + 128])
-            ):
-                s = scores[row]
-                if fetch < len(s):
-                    floor = np.partition(s, len(s) - int(fetch))[len(s) - int(fetch)]
-                    at = np.flatnonzero(s >= floor)
-                else:
-                    at = np.arange(len(s))
-                at = at[np.argsort(-s[at], kind="stable")][: int(fetch)]
-                out_q.append(np.full(len(at), qid))
-                out_i.append(ids[at])
-                out_s.append(s[at])
-    if not out_q:
-        return pd.DataFrame({"query_id": [], "article_id": [], "score": []})
-    return pd.DataFrame(
-        {"query_id": np.concatenate(out_q), "article_id": np.concatenate(out_i), "score": np.concatenate(out_s)}
-    )
+            scores, fetch = np.round(wanted[start : start + 128] @ matrix.T, SCORE_PLACES), asked[start : start + 128]
+            most = min(int(fetch.max()), scores.shape[1])
+            floor = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
+            row, col = np.nonzero(scores >= floor[:, None])
+            order = np.lexsort((col, -scores[row, col], row))
+            row, col = row[order], col[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < fetch[row]
+            row, col = row[keep], col[keep]
+            part = {n: queries[n].to_numpy()[start + row] for n in by}
+            out.append(pd.DataFrame({**part, "article_id": ids[col], "score": scores[row, col]}))
+        return pd.concat(out)
 
-
-def _blocked(df: DataFrame, key: str, block: int, mine: str, other: str, other_blocks: DataFrame) -> DataFrame:
-    """Number this side's blocks inside each cell by hash, and repeat its rows for every block of the other side."""
-    own = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("_own"))
-    return (
-        df.join(own, "cell")
-        .join(other_blocks, "cell")
-        .withColumn(mine, F.pmod(F.xxhash64(key), F.col("_own")))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_other") - 1)))
-        .drop("_own", "_other")
-    )
+    return best
 
 
-def _block_counts(df: DataFrame, block: int) -> DataFrame:
-    return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("_other"))
+def _blocks(df: DataFrame, block: int) -> Column:
+    """How many blocks of `block` rows, at least 1; worked out once, when the plan runs."""
+    return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1))).scalar()
 
 
-def best_in_cells(
-    queries: DataFrame, items: DataFrame, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK
-) -> DataFrame:
-    """queries (cell, query_id, vector, fetch) x items (cell, article_id, vector) -> best `fetch` per block.
-
-    A task sees one block of queries and one block of items, whatever the size of the cell: both sides are cut to a
-    set number of rows, so a cell holding most items becomes many tasks.
-    """
-    left = _blocked(queries, "query_id", query_block, "_qb", "_ib", _block_counts(items, item_block))
-    right = _blocked(items, "article_id", item_block, "_ib", "_qb", _block_counts(queries, query_block))
-    left = left.select("cell", "_qb", "_ib", "query_id", "vector", "fetch")
+def _met(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    left = left.select(*keys, *by, "vector", "fetch")
     # Fresh column ids, since queries and items may come from one table.
-    right = right.select("cell", "_qb", "_ib", *[F.col(c).alias(c) for c in ("article_id", "vector")])
-    kind = queries.schema["query_id"].dataType
-    schema = StructType([StructField("query_id", kind), StructField("article_id", LongType())]).add("score", "double")
-    keys = ["cell", "_qb", "_ib"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best_of_block, schema)
+    right = right.select(*keys, *[F.col(c).alias(c) for c in ("article_id", "vector")])
+    schema = StructType([left.schema[c] for c in by]).add("article_id", LongType()).add("score", "double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best_of_block(by), schema)
+
+
+def _best_of_all(queries: DataFrame, items: DataFrame, by: list[str], query_block: int, item_block: int) -> DataFrame:
+    """Every query meets every item: both sides are cut to blocks by hash, and each pair of blocks is one task."""
+    n_query, n_item = _blocks(queries, query_block), _blocks(items, item_block)
+    left = queries.withColumn("_qb", F.pmod(F.xxhash64(*by), n_query))
+    left = left.withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("bigint"), n_item - 1)))
+    right = items.withColumn("_ib", F.pmod(F.xxhash64("article_id"), n_item))
+    right = right.withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), n_query - 1)))
+    return _met(left, right, ["_qb", "_ib"], by)
 
 
-def _with_fetch(queries: DataFrame, exclude: DataFrame | None, k: int) -> DataFrame:
+def _best_in_cells(queries: DataFrame, items: DataFrame, by: list[str], query_block: int, item_block: int) -> DataFrame:
+    """The same inside each cell, so that a crowded cell becomes many tasks."""
+    sizes = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("_nq")).join(
+        items.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / item_block).alias("_ni")), "cell"
+    )
+    first = F.lit(0).cast("bigint")
+    left = queries.join(sizes, "cell").withColumn("_qb", F.pmod(F.xxhash64(*by), F.col("_nq")))
+    left = left.withColumn("_ib", F.explode(F.sequence(first, F.col("_ni") - 1)))
+    right = items.join(sizes, "cell").withColumn("_ib", F.pmod(F.xxhash64("article_id"), F.col("_ni")))
+    right = right.withColumn("_qb", F.explode(F.sequence(first, F.col("_nq") - 1)))
+    return _met(left, right, ["cell", "_qb", "_ib"], by)
+
+
+def _with_fetch(queries: DataFrame, exclude: DataFrame | None, k: int, by: list[str]) -> DataFrame:
     """Each query asks for k plus as many as it excludes, so dropping those still leaves k."""
     if exclude is None:
         return queries.withColumn("fetch", F.lit(k))
-    dropped = exclude.groupBy("query_id").agg(F.count_distinct("article_id").alias("_x"))
+    dropped = exclude.groupBy(*by).agg(F.count_distinct("article_id").alias("_x"))
     return (
-        queries.join(dropped, "query_id", "left")
-        .withColumn("fetch", (F.lit(k) + F.coalesce("_x", F.lit(0))).cast("int"))
-        .drop("_x")
+        queries.join(dropped, by, "left").withColumn("fetch", (F.lit(k) + F.coalesce("_x", F.lit(0))).cast("int")).drop("_x")
     )
 
 
-def _keep_best(found: DataFrame, exclude: DataFrame | None, k: int) -> DataFrame:
+def _keep_best(found: DataFrame, exclude: DataFrame | None, k: int, by: list[str]) -> DataFrame:
     if exclude is not None:
-        found = found.join(exclude.select("query_id", "article_id").distinct(), ["query_id", "article_id"], "left_anti")
-    return newest(found, ["query_id"], [F.desc("score"), F.asc("article_id")], k, "rank")
+        found = found.join(exclude.select(*by, "article_id").distinct(), [*by, "article_id"], "left_anti")
+    return newest(found, by, [F.desc("score"), F.asc("article_id")], k, "rank")
 
 
 def top_k(
@@ -107,30 +109,50 @@ def top_k(
     exclude: DataFrame | None = None,
     query_block: int = QUERY_BLOCK,
     item_block: int = ITEM_BLOCK,
+    by: tuple[str, ...] = ("query_id",),
 ) -> DataFrame:
-    """Exact: queries (query_id, vector), items (article_id, vector), exclude (query_id, article_id)."""
-    asked = _with_fetch(queries.select("query_id", "vector"), exclude, k).withColumn("cell", F.lit(0))
-    stock = items.select("article_id", "vector").withColumn("cell", F.lit(0))
-    return _keep_best(best_in_cells(asked, stock, query_block, item_block), exclude, k)
+    """Exact: queries (by..., vector), items (article_id, vector), exclude (by..., article_id)."""
+    names = list(by)
+    asked = _with_fetch(queries.select(*names, "vector"), exclude, k, names)
+    found = _best_of_all(asked, items.select("article_id", "vector"), names, query_block, item_block)
+    return _keep_best(found, exclude, k, names)
+
+
+def planes(dim: int, tables: int = TABLES, bits: int = MAX_BITS, seed: int = 0) -> np.ndarray:
+    """Random hyperplanes (table, bit, component); the first bits are the same whatever their number."""
+    return np.round(np.random.RandomState(seed).normal(size=(tables, bits, dim)), PLANE_PLACES)
+
+
+def bits_for(items: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> Column:
+    """Enough bits that a cell holds about `rows_per_cell` items, so a query's work does not grow with the catalogue."""
+    wanted = F.ceil(F.log2(F.count(F.lit(1)) / rows_per_cell)).cast("int")
+    return items.agg(F.greatest(F.lit(1), F.least(F.lit(MAX_BITS), F.coalesce(wanted, F.lit(1))))).scalar()
 
 
-def _cells(dim: int, n_tables: int, bits: int, seed: int, probes: bool):
-    planes = np.random.RandomState(seed).normal(size=(n_tables, bits, dim))
-    weights = 1 << np.arange(bits)
+def _cells(sides: np.ndarray, probes: bool):
+    """Of each vector: its cell in each table and, as a query, those one bit away."""
 
-    def assign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
+    def assign(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for vectors, bits in batches:
+            if not len(vectors):
+                yield pd.Series([], dtype=object)
+                continue
+            used = int(bits.iloc[0])
+            weights = 1 << np.arange(used)
             m = np.stack(vectors.to_list()).astype(np.float64)
-            out = [[] for _ in range(len(m))]
-            for t in range(n_tables):
-                sides = (m @ planes[t].T > 0).astype(np.int64)
-                home = sides @ weights
-                for row, cell in enumerate(home):
-                    ids = [cell, *(cell ^ w for w in weights)] if probes else [cell]
-                    out[row].extend(int(t * (1 << bits) + c) for c in ids)
-            yield pd.Series(out)
+            home = np.stack([(m @ sides[t, :used].T > 0) @ weights for t in range(len(sides))], axis=1)
+            steps = np.concatenate([[0], weights]) if probes else np.zeros(1, np.int64)
+            near = home[:, :, None] ^ steps[None, None, :]
+            near = near + (np.arange(len(sides)) << MAX_BITS)[None, :, None]
+            yield pd.Series(list(near.reshape(len(m), -1)))
 
-    return F.pandas_udf(assign, "array<int>")
+    return F.pandas_udf(assign, "array<bigint>")
+
+
+def in_cells(df: DataFrame, bits: Column, dim: int, probes: bool, tables: int = TABLES, seed: int = 0) -> DataFrame:
+    assign = _cells(planes(dim, tables, seed=seed), probes)
+    vector = F.col("vector").cast("array<double>")
+    return df.withColumn("_bits", bits).withColumn("cell", F.explode(assign(vector, F.col("_bits")))).drop("_bits")
 
 
 def top_k_hashed(
@@ -139,17 +161,30 @@ def top_k_hashed(
     k: int,
     dim: int,
     exclude: DataFrame | None = None,
-    n_tables: int = 4,
-    bits: int = 6,
+    rows_per_cell: int = ROWS_PER_CELL,
+    tables: int = TABLES,
     seed: int = 0,
 ) -> DataFrame:
-    """Approximate: sign hashes on random hyperplanes; a query looks in its own cell and those one bit away."""
-    asked = _with_fetch(queries.select("query_id", "vector"), exclude, k)
-    asked = asked.withColumn("cell", F.explode(_cells(dim, n_tables, bits, seed, True)(F.col("vector").cast("array<double>"))))
+    """Approximate: sign hashes on random hyperplanes; a query looks in its own cell and those one bit away. Cells hold
+    about `rows_per_cell` items however large the catalogue is."""
+    names = ["query_id"]
     stock = items.select("article_id", "vector")
-    stock = stock.withColumn("cell", F.explode(_cells(dim, n_tables, bits, seed, False)(F.col("vector").cast("array<double>"))))
-    found = best_in_cells(asked, stock).groupBy("query_id", "article_id").agg(F.max("score").alias("score"))
-    return _keep_best(found, exclude, k)
+    bits = bits_for(stock, rows_per_cell)
+    asked = in_cells(_with_fetch(queries.select("query_id", "vector"), exclude, k, names), bits, dim, True, tables, seed)
+    found = _best_in_cells(asked, in_cells(stock, bits, dim, False, tables, seed), names, QUERY_BLOCK, ITEM_BLOCK)
+    return _keep_best(found.groupBy("query_id", "article_id").agg(F.max("score").alias("score")), exclude, k, names)
+
+
+def compared_share(
+    queries: DataFrame, items: DataFrame, dim: int, rows_per_cell: int = ROWS_PER_CELL, tables: int = TABLES, seed: int = 0
+) -> DataFrame:
+    """Pairs that the hashed form compares (a pair counts in each table where it meets) over all pairs."""
+    bits = bits_for(items, rows_per_cell)
+    looks = in_cells(queries.select("vector"), bits, dim, True, tables, seed).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
+    held = in_cells(items.select("vector"), bits, dim, False, tables, seed).groupBy("cell").agg(F.count(F.lit(1)).alias("i"))
+    everything = queries.select(F.count(F.lit(1))).scalar() * items.select(F.count(F.lit(1))).scalar()
+    pairs = looks.join(held, "cell").agg(F.coalesce(F.sum(F.col("q") * F.col("i")), F.lit(0)).alias("pairs"))
+    return pairs.select(F.try_divide(F.col("pairs"), everything).alias("share_compared"))
 
 
 def recall_against(found: DataFrame, truth: DataFrame) -> DataFrame:

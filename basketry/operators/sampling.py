@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.columns import age_band
 from basketry.operators.skew import first_n, running_total
+from basketry.session import durable
 
 
 @dataclass(frozen=True)
@@ -42,12 +43,13 @@ def top_by_count(df: DataFrame, key: str, n: int, min_support: int = 1) -> DataF
 def build_samples(
     tx: DataFrame, articles: DataFrame, customers: DataFrame, spec: SampleSpec = SampleSpec()
 ) -> dict[str, DataFrame]:
-    windowed = recent(tx, spec.weeks)
-    top_customers = top_by_count(windowed, "customer_id", spec.n_customers)
+    # Each of these is read by several of the frames below.
+    windowed = durable(recent(tx, spec.weeks))
+    top_customers = durable(top_by_count(windowed, "customer_id", spec.n_customers))
     by_customers = windowed.join(top_customers, "customer_id", "left_semi")
-    top_articles = top_by_count(by_customers, "article_id", spec.n_articles, spec.min_support)
-    sampled = by_customers.join(top_articles, "article_id", "left_semi")
-    train, val = split(sampled, spec.val_days, until=tx)
+    top_articles = durable(top_by_count(by_customers, "article_id", spec.n_articles, spec.min_support))
+    sampled = durable(by_customers.join(top_articles, "article_id", "left_semi"))
+    train, val = split(sampled, spec.val_days, until=windowed)
     counts = top_articles.withColumnRenamed("n_tx", "n_interactions")
     return {
         "train": train,
@@ -87,8 +89,8 @@ def subsample(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame
     fewer than n be left, all rows are sorted.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    hashed = df.withColumn("_digest", digest)
-    total = df.count()
+    hashed = durable(df.withColumn("_digest", digest))
+    total = hashed.count()
     if total > 20 * n:
         limit = f"{int(2 * n / total * 16**12):012x}"
         low = hashed.filter(F.col("_digest") < F.lit(limit))

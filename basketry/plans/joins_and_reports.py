@@ -9,8 +9,8 @@ from basketry.operators import covisit, reports, sampling, vocab
 from basketry.operators import items as I
 from basketry.operators.sequences import last_rows
 from basketry.operators.skew import newest
-from basketry.plans.registry import query, view
-from basketry.plans.sources_and_scalars import SPEC, samples, split
+from basketry.plans.registry import query, shared, view
+from basketry.plans.sources_and_scalars import SPEC, purchases, samples, split
 from basketry.sources import tables as T
 
 view(
@@ -49,9 +49,14 @@ view(
 
 
 def serving_meta(spark, sf):
-    train, _ = split(spark, sf)
-    meta = I.item_meta(T.items(spark, sf), train, first_seen="reference")
-    return I.days_since_first_seen(meta, sampling.last_day(train))
+    def made():
+        train, _ = split(spark, sf)
+        counts = purchases(spark, sf).groupBy("article_id").agg(F.count(F.lit(1)).alias("n_interactions"))
+        stock = T.articles(spark, sf).join(counts, "article_id", "left")
+        meta = I.item_meta(stock, train, first_seen="reference")
+        return I.days_since_first_seen(meta, sampling.last_day(train))
+
+    return shared("serving meta", sf, made)
 
 
 @query("C1_semi_join_top", "SELECT customer_id, article_id, t_dat, price FROM sampled", "sampled")

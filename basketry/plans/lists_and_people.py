@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import reason_code, reason_text
 from basketry.operators import compliance, covisit, guardrails
 from basketry.operators import items as I
+from basketry.operators.candidates import MERGE_SIZE, seen_by
 from basketry.plans import surfaces
 from basketry.plans.recommenders import catalogue_of, contexts, popular_items, session_intents, sessions
-from basketry.plans.registry import query, view
+from basketry.plans.registry import VIEWS, query, shared, view
 from basketry.plans.sources_and_scalars import split
 from basketry.session import durable, scratch_path
 from basketry.sources import files
@@ -24,7 +27,7 @@ view(
     "g_cand",
     ("keys", "popular", "articles"),
     """SELECT k.list_id, k.age_band, p.article_id, round(p.n / 100.0::DOUBLE, 9) AS score, a.category_l1, a.in_stock,
-         a.age_restricted FROM keys k JOIN popular p USING (region, age_band) JOIN articles a USING (article_id) WHERE p.rank <= 60""",
+         a.age_restricted FROM keys k JOIN popular p USING (region, age_band) JOIN articles a USING (article_id) WHERE p.rank <= 500""",
 )
 view("bought", ("last20",), "SELECT DISTINCT customer_id AS list_id, article_id FROM last20")
 view(
@@ -53,12 +56,38 @@ def capped_sql(rows: str, limit: int) -> str:
         WHERE in_cat <= CASE WHEN target = 1 THEN 1 ELSE floor(0.35::DOUBLE * target) END)) WHERE place <= target"""
 
 
+def placed_views(name: str, rows: str) -> None:
+    """Views {name}_near, _steps and _placed: the greedy diversity order of `rows` (list_id, article_id, score), at most 20
+    a list. A step takes the row with the best trade-off of score and closest item chosen, rounded as the job rounds it."""
+    view(
+        f"{name}_near",
+        (rows, "vectors"),
+        f"""SELECT a.list_id, a.article_id, any_value(a.score) AS score, list({{'b': b.article_id, 'c': CASE WHEN x.vector IS NULL OR
+              y.vector IS NULL THEN 0 ELSE coalesce(list_cosine_similarity(x.vector, y.vector), 0) END}}) AS near
+            FROM {rows} a JOIN {rows} b USING (list_id) LEFT JOIN vectors x ON x.article_id = a.article_id
+            LEFT JOIN vectors y ON y.article_id = b.article_id GROUP BY 1, 2""",
+    )
+    view(
+        f"{name}_steps",
+        (f"{name}_near",),
+        f"""SELECT list_id, 0 AS place, [article_id] AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY list_id
+              ORDER BY round(0.7::DOUBLE * score, 9) DESC, score DESC, article_id) AS r FROM {name}_near) WHERE r = 1
+            UNION ALL SELECT list_id, place + 1, list_append(chosen, article_id) FROM (SELECT s.list_id, place, chosen, article_id,
+              row_number() OVER (PARTITION BY s.list_id ORDER BY round(0.7::DOUBLE * score - 0.3::DOUBLE * list_max(list_transform(
+                list_filter(near, lambda x: list_contains(chosen, x.b)), lambda x: x.c)), 9) DESC, score DESC, article_id) AS r
+              FROM {name}_steps s JOIN {name}_near m ON m.list_id = s.list_id AND NOT list_contains(s.chosen, m.article_id))
+            WHERE r = 1""",
+    )
+    view(f"{name}_placed", (f"{name}_steps",), f"SELECT list_id, chosen[place + 1] AS article_id, place::INTEGER AS position FROM {name}_steps")
+
+
 view("g_left", ("g_marked",), "SELECT * FROM g_marked WHERE dropped_by IS NULL")
 view("g_final", ("g_left",), capped_sql("g_left", 20))
+placed_views("g", "g_final")
 
 
 def guarded_candidates(spark, sf):
-    best = durable(popular_items(spark, sf)).filter(F.col("rank") <= 60)
+    best = durable(popular_items(spark, sf)).filter(F.col("rank") <= MERGE_SIZE)
     score = F.round(F.col("n") / 100.0, 9)
     scored = contexts(spark, sf).join(best, ["region", "age_band"]).select("list_id", "article_id", score.alias("score"))
     return surfaces.guardrail_rows(scored, catalogue_of(spark, sf))
@@ -66,8 +95,6 @@ def guarded_candidates(spark, sf):
 
 def guardrail_inputs(spark, sf):
     """Candidates, contexts, what each customer already bought, and the categories blocked for them."""
-    from basketry.operators.candidates import seen_by
-
     train, _ = split(spark, sf)
     seen = seen_by(train).withColumnRenamed("customer_id", "list_id")
     blocked = T.users(spark, sf).filter(F.col("club_status") == "HOUSEHOLD").select(
@@ -97,25 +124,31 @@ for _id, _step in (
     query(_id, f"SELECT list_id, article_id FROM g_marked WHERE dropped_by = '{_step}'", "g_marked")(_dropped(_step))
 
 
+def passed(spark, sf):
+    """What the filters leave; the cap reads it twice."""
+    return durable(marked(spark, sf).filter(F.col("dropped_by").isNull()).drop("dropped_by"))
+
+
 @query("N5_category_cap", "SELECT list_id, article_id, category_l1, score FROM g_final", "g_final")
 def n5(spark, sf):
-    left = marked(spark, sf).filter(F.col("dropped_by").isNull()).drop("dropped_by")
-    return guardrails.cap_category(left, 20).select("list_id", "article_id", "category_l1", "score")
+    return guardrails.cap_category(passed(spark, sf), 20).select("list_id", "article_id", "category_l1", "score")
 
 
-@query("N6_mmr_order")
+@query("N6_mmr_order", "SELECT list_id, article_id, position FROM g_placed", "g_placed")
 def n6(spark, sf):
-    left = marked(spark, sf).filter(F.col("dropped_by").isNull()).drop("dropped_by")
-    capped = guardrails.cap_category(left, 20).join(catalogue_of(spark, sf).embeddings, "article_id", "left")
+    capped = guardrails.cap_category(passed(spark, sf), 20).join(catalogue_of(spark, sf).embeddings, "article_id", "left")
     return guardrails.mmr_diversify(capped, 20).select("list_id", "article_id", "position")
 
 
-# Diversity only reorders what the cap leaves, so the final members are known; their places are not compared.
-@query("N7_guarded_lists", "SELECT list_id, article_id, score FROM g_final", "g_final")
+@query(
+    "N7_guarded_lists",
+    "SELECT list_id, article_id, score, position FROM g_final JOIN g_placed USING (list_id, article_id)",
+    "g_final g_placed",
+)
 def n7(spark, sf):
     rows, lists, seen, blocked = guardrail_inputs(spark, sf)
     final, _ = guardrails.apply_all(rows, lists, 20, seen, blocked, embeddings=catalogue_of(spark, sf).embeddings)
-    return final.select("list_id", "article_id", "score")
+    return final.select("list_id", "article_id", "score", "position")
 
 
 view(
@@ -133,7 +166,7 @@ view(
 
 @query("N7_drop_report", "SELECT * FROM g_report", "g_report")
 def n7_report(spark, sf):
-    return guardrails.drop_report(marked(spark, sf), 20)
+    return guardrails.drop_report(durable(marked(spark, sf)), 20)
 
 
 @query(
@@ -203,13 +236,24 @@ view(
 )
 
 
-@query("K8_bundles", f"SELECT list_id, article_id, score, reason_code, CASE WHEN reason_code = 'COMPLEMENT' THEN "
-       f"'Frequently bought with this item' ELSE 'Similar style' END AS reason_text FROM ({capped_sql('bundle_left', 10)})",
-       "bundle_left")
-def k8(spark, sf):
+view("bundle_final", ("bundle_left",), capped_sql("bundle_left", 10))
+placed_views("bundle", "bundle_final")
+
+
+def bundles_of(spark, sf):
     seeds = T.articles(spark, sf).select("article_id")
-    found = surfaces.bundles(seeds, durable(edges(spark, sf)), catalogue_of(spark, sf), 10)
-    return found["items"].select("list_id", "article_id", "score", "reason_code", "reason_text")
+    return surfaces.bundles(seeds, durable(edges(spark, sf)), catalogue_of(spark, sf), 10)["items"]
+
+
+@query(
+    "K8_bundles",
+    """SELECT list_id, article_id, score, position, reason_code, CASE WHEN reason_code = 'COMPLEMENT' THEN
+         'Frequently bought with this item' ELSE 'Similar style' END AS reason_text
+       FROM bundle_final JOIN bundle_placed USING (list_id, article_id)""",
+    "bundle_final bundle_placed",
+)
+def k8(spark, sf):
+    return bundles_of(spark, sf).select("list_id", "article_id", "score", "position", "reason_code", "reason_text")
 
 
 view(
@@ -224,20 +268,65 @@ view(
 )
 
 
+view("search_named", ("search_left",), "SELECT list_id, article_id, score, coalesce(category_l1, 'unknown') AS category_l1 FROM search_left")
+view("search_final", ("search_named",), capped_sql("search_named", 20))
+placed_views("search", "search_final")
+
+
 @query(
     "K9_search",
-    "SELECT list_id AS query, article_id, score, 'Matches your search for ''' || list_id || '''' AS reason_text "
-    f"FROM ({capped_sql('search_named', 20)})",
-    "search_named",
+    """SELECT list_id AS query, article_id, score, position, 'Matches your search for \'\'' || list_id || '\'\'' AS reason_text
+       FROM search_final JOIN search_placed USING (list_id, article_id)""".replace("\\'", "'"),
+    "search_final search_placed",
 )
 def k9(spark, sf):
     cat = catalogue_of(spark, sf)
     middles = durable(I.category_centroids(cat.stock, cat.vectors))
     found = surfaces.search(T.search_queries(spark, sf), middles, I.global_centroid(cat.vectors), cat)
-    return found["items"].select("query", "article_id", "score", "reason_text")
+    return found["items"].select("query", "article_id", "score", "position", "reason_text")
 
 
-view("search_named", ("search_left",), "SELECT list_id, article_id, score, coalesce(category_l1, 'unknown') AS category_l1 FROM search_left")
+# Every customer with a session asks for the name of its newest item; what the session holds is left out of the results.
+view(
+    "asked",
+    ("events20", "articles"),
+    """SELECT list_id, prod_name AS query FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY age) AS r FROM events20
+         JOIN articles USING (article_id)) WHERE r = 1""",
+)
+view(
+    "asked_left",
+    ("asked", "parsed", "centroids", "whole_centroid", "vectors", "articles", "events20"),
+    """SELECT s.list_id, s.article_id, s.score, coalesce(a.category_l1, 'unknown') AS category_l1 FROM (
+         SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, article_id) AS rk FROM (
+           SELECT q.list_id, v.article_id, round(list_dot_product(coalesce(c.centroid, w.centroid), v.vector), 9) AS score
+           FROM asked q JOIN parsed p ON p.query = q.query LEFT JOIN centroids c ON c.category_l1 = p.category_l1, whole_centroid w, vectors v
+           WHERE NOT EXISTS (SELECT 1 FROM events20 e WHERE e.list_id = q.list_id AND e.article_id = v.article_id))) s
+       LEFT JOIN articles a USING (article_id) WHERE rk <= 100 AND coalesce(a.in_stock, true) AND NOT coalesce(a.age_restricted, false)""",
+)
+view("asked_final", ("asked_left",), capped_sql("asked_left", 20))
+placed_views("asked", "asked_final")
+
+
+def session_search_of(spark, sf):
+    rows, cat = sessions(spark, sf), catalogue_of(spark, sf)
+    names = T.articles(spark, sf).select("article_id", F.col("prod_name").alias("query"))
+    newest_named = F.min_by("query", "age").alias("query")
+    asked = rows.select("list_id", "article_id", "age").join(names, "article_id").groupBy("list_id").agg(newest_named)
+    middles = durable(I.category_centroids(cat.stock, cat.vectors))
+    return surfaces.session_search(
+        asked, rows.select("list_id", "article_id"), popular_items(spark, sf), middles, I.global_centroid(cat.vectors), cat
+    )
+
+
+@query(
+    "K9_session_search",
+    """SELECT list_id, query, article_id, score, position, NULL::VARCHAR AS degraded FROM asked_final
+       JOIN asked_placed USING (list_id, article_id) JOIN asked USING (list_id)""",
+    "asked_final asked_placed asked",
+)
+def k9_session(spark, sf):
+    return session_search_of(spark, sf)["items"].select("list_id", "query", "article_id", "score", "position", "degraded")
+
 
 # ---- feed -----------------------------------------------------------------------------------------------------------
 
@@ -250,6 +339,7 @@ view(
          AND NOT EXISTS (SELECT 1 FROM events20 e WHERE e.list_id = r.list_id AND e.article_id = r.article_id)""",
 )
 view("feed_final", ("feed_left",), capped_sql("feed_left", 20))
+placed_views("feed", "feed_final")
 view(
     "feed_items",
     ("feed_final", "events20"),
@@ -260,13 +350,58 @@ view(
 )
 
 
-def feed_of(spark, sf, models=None):
-    return surfaces.feed(contexts(spark, sf), sessions(spark, sf), popular_items(spark, sf), catalogue_of(spark, sf), 20, models)
+def feed_of(spark, sf, models=None, personalized=None):
+    cat, rows = catalogue_of(spark, sf), sessions(spark, sf)
+    return surfaces.feed(contexts(spark, sf), rows, popular_items(spark, sf), cat, 20, models, personalized)
 
 
-@query("K10_feed", "SELECT list_id, article_id, score, intent, reason_code FROM feed_items", "feed_items")
+@query(
+    "K10_feed",
+    "SELECT list_id, article_id, score, position, intent, reason_code FROM feed_items JOIN feed_placed USING (list_id, article_id)",
+    "feed_items feed_placed",
+)
 def k10(spark, sf):
-    return feed_of(spark, sf)["items"].select("list_id", "article_id", "score", "intent", "reason_code")
+    return feed_of(spark, sf)["items"].select("list_id", "article_id", "score", "position", "intent", "reason_code")
+
+
+# The feed as it is served: only customers who agreed, and no minors, have their session used.
+view(
+    "c_events20",
+    ("events20", "agreed", "banded"),
+    """SELECT * FROM events20 SEMI JOIN (SELECT customer_id AS list_id FROM banded SEMI JOIN agreed USING (customer_id)
+         WHERE age_band <> 'under_18') a USING (list_id)""",
+)
+
+
+def _behind_consent(names: list[str]) -> None:
+    """The same views over the sessions of those who agreed, each under its name with c_ before it."""
+    swaps = {n: f"c_{n}" for n in ("events20", *names)}
+    for name in names:
+        needs, body = VIEWS[name]
+        for old, new in swaps.items():
+            body = re.sub(rf"\b{old}\b", new, body)
+        view(swaps[name], tuple(swaps.get(n, n) for n in needs), body)
+
+
+_behind_consent(
+    ["scores", "labels_ranked", "heads", "intents", "intent_hits", "merged", "routed", "feed_left", "feed_final", "feed_near",
+     "feed_steps", "feed_placed", "feed_items"]
+)
+
+
+def consented_feed(spark, sf):
+    routes = compliance.routes(T.users(spark, sf), shared("consent", sf, lambda: T.consent_events(spark, sf)))
+    agreed = routes.filter(F.col("route") == "personalized").select(F.col("customer_id").alias("list_id"))
+    return feed_of(spark, sf, personalized=durable(agreed))
+
+
+@query(
+    "K10_consented_feed",
+    "SELECT list_id, article_id, score, position, intent, reason_code FROM c_feed_items JOIN c_feed_placed USING (list_id, article_id)",
+    "c_feed_items c_feed_placed",
+)
+def k10_consented(spark, sf):
+    return consented_feed(spark, sf)["items"].select("list_id", "article_id", "score", "position", "intent", "reason_code")
 
 
 @query(
@@ -308,19 +443,24 @@ def n8(spark, sf):
 
 @query(
     "A8_recommendation_log",
-    """SELECT list_id AS customer_id, count(*) AS items, min(place - 1)::INTEGER AS first_position,
-          max(place - 1)::INTEGER AS last_position, DATE '2024-02-01' AS served_date
-        FROM feed_final GROUP BY 1""",
-    "feed_final",
+    """SELECT *, 'dev' AS model_version, DATE '2024-02-01' AS served_date FROM (
+         SELECT 'feed' AS surface, list_id AS customer_id, 'sess:' || list_id AS session_id, article_id, position AS rank_position,
+           score, reason_code FROM feed_items JOIN feed_placed USING (list_id, article_id)
+         UNION ALL SELECT 'bundles', NULL, NULL, article_id, position, score, reason_code
+           FROM bundle_final JOIN bundle_placed USING (list_id, article_id)
+         UNION ALL SELECT 'search', list_id, 'sess:' || list_id, article_id, position, score, 'SEARCH_MATCH'
+           FROM asked_final JOIN asked_placed USING (list_id, article_id))""",
+    "feed_items feed_placed bundle_final bundle_placed asked_final asked_placed",
 )
 def a8(spark, sf):
     path = scratch_path(spark, "recommendation-log")
-    items = feed_of(spark, sf)["items"]
-    files.append_log(surfaces.log_rows(items, F.lit(SERVED_AT).cast("timestamp_ntz"), MODEL), path)
-    return spark.read.parquet(path).groupBy("customer_id", "served_date").agg(
-        F.count(F.lit(1)).alias("items"),
-        F.min("rank_position").alias("first_position"),
-        F.max("rank_position").alias("last_position"),
+    at, who = F.lit(SERVED_AT).cast("timestamp_ntz"), F.col("list_id")
+    session = F.concat(F.lit("sess:"), who.cast("string"))
+    files.append_log(surfaces.log_rows(feed_of(spark, sf)["items"], "feed", at, MODEL, who, session), path)
+    files.append_log(surfaces.log_rows(bundles_of(spark, sf), "bundles", at, MODEL), path)
+    files.append_log(surfaces.log_rows(session_search_of(spark, sf)["items"], "search", at, MODEL, who, session), path)
+    return spark.read.parquet(path).select(
+        "surface", "customer_id", "session_id", "article_id", "rank_position", "score", "reason_code", "model_version", "served_date"
     )
 
 
@@ -334,7 +474,7 @@ def a8(spark, sf):
     "consent_ev",
 )
 def m1(spark, sf):
-    return compliance.consent_history(T.consent_events(spark, sf))
+    return compliance.consent_history(shared("consent", sf, lambda: T.consent_events(spark, sf)))
 
 
 view(
@@ -401,22 +541,31 @@ def erased(spark, sf):
 
 @query(
     "M3_erasure",
-    """SELECT 'users' AS frame, count(*) AS n_rows FROM users ANTI JOIN gone USING (customer_id)
-       UNION ALL SELECT 'consent', count(*) FROM consent_ev ANTI JOIN gone USING (customer_id)
-       UNION ALL SELECT 'sessions', count(*) FROM clicks WHERE user_id NOT IN (SELECT customer_id FROM gone)
-       UNION ALL SELECT 'log', count(*) FROM served
-       UNION ALL SELECT 'log_without_customer', count(*) FROM served SEMI JOIN gone USING (customer_id)
-       UNION ALL SELECT 'tombstones', count(*) FROM (SELECT customer_id FROM users WHERE club_status = 'MACHINERY'
+    """SELECT 'users' AS frame, customer_id, region || '|' || club_status AS detail FROM users ANTI JOIN gone USING (customer_id)
+       UNION ALL SELECT 'consent', customer_id, event_id || '|' || purpose FROM consent_ev ANTI JOIN gone USING (customer_id)
+       UNION ALL SELECT 'sessions', user_id, event_id || '|' || event_type FROM clicks WHERE user_id NOT IN (SELECT customer_id FROM gone)
+       UNION ALL SELECT 'log', CASE WHEN g.customer_id IS NULL THEN s.customer_id END, request_id || '|' || article_id || '|' || rank_position
+         FROM served s LEFT JOIN gone g ON g.customer_id = s.customer_id
+       UNION ALL SELECT 'tombstones', customer_id, '' FROM (SELECT customer_id FROM users WHERE club_status = 'MACHINERY'
          UNION SELECT customer_id FROM gone)
-       UNION ALL SELECT 'receipts', count(*) FROM gone""",
+       UNION ALL SELECT 'receipts', customer_id, md5('erase|' || customer_id) FROM gone""",
     "users consent_ev clicks served gone",
 )
 def m3(spark, sf):
+    """The erased frames themselves, row by row."""
     frames = erased(spark, sf)
-    frames["log_without_customer"] = frames["log"].filter(F.col("customer_id").isNull())
+    details = {
+        "users": ("region", "club_status"),
+        "consent": ("event_id", "purpose"),
+        "sessions": ("event_id", "event_type"),
+        "log": ("request_id", "article_id", "rank_position"),
+        "tombstones": (),
+        "receipts": ("receipt_id",),
+    }
     rows = None
-    for name, frame in frames.items():
-        row = frame.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("frame"), "n_rows")
+    for name, names in details.items():
+        detail = F.concat_ws("|", *[F.col(c).cast("string") for c in names]) if names else F.lit("")
+        row = frames[name].select(F.lit(name).alias("frame"), "customer_id", detail.alias("detail"))
         rows = row if rows is None else rows.unionByName(row)
     return rows
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from basketry.functions import vectors as V
+from basketry.functions.columns import UNKNOWN
 from basketry.operators import items as I
-from basketry.operators import candidates, intents, learning, retrieval, sampling, sequences, vocab
+from basketry.operators import candidates, guardrails, intents, learning, retrieval, sampling, sequences, vocab
 from basketry.operators.features import build_features
 from basketry.plans import surfaces
-from basketry.plans.lists_and_people import feed_of
-from basketry.plans.recommenders import DIM, UNIT, catalogue_of
-from basketry.plans.registry import query, view
+from basketry.plans.lists_and_people import capped_sql, feed_of
+from basketry.plans.recommenders import DIM, UNIT, catalogue_of, contexts, sessions
+from basketry.plans.registry import VIEWS, query, remembered, shared, view
 from basketry.plans.sequences_and_vectors import GAP
-from basketry.plans.sources_and_scalars import split
+from basketry.plans.sources_and_scalars import SPEC, first_val_day, purchases, split
 from basketry.session import durable, scratch_path
 from basketry.sources import tables as T
 from basketry.streaming import events as S
@@ -72,14 +75,23 @@ view(
 )
 
 
+for _all, _few in (("rows_all", "rows8"), ("hist_all", "hist8"), ("lab_all", "lab8")):
+    _needs, _body = VIEWS[_few]
+    _wide = {"ex8": "ex", "neg8": "neg", "rows8": "rows_all", "hist8": "hist_all"}
+    for _a, _b in _wide.items():
+        _body = re.sub(rf"\b{_a}\b", _b, _body)
+    view(_all, tuple(_wide.get(n, n) for n in _needs), _body)
+
+
 def pool(spark, sf):
-    return vocab.dense_index(T.articles(spark, sf), "article_id")
+    return shared("pool", sf, lambda: vocab.dense_index(T.articles(spark, sf), "article_id"))
 
 
 def placed_split(spark, sf):
     """Train and validation purchases with the pool position of their article."""
-    stock = pool(spark, sf)
-    return tuple(learning.with_positions(part, stock) for part in split(spark, sf))
+    tx = shared("placed", sf, lambda: learning.with_positions(purchases(spark, sf), pool(spark, sf)))
+    start = first_val_day(spark, sf, SPEC.val_days)
+    return tx.filter(F.col("t_dat") < start), tx.filter(F.col("t_dat") >= start)
 
 
 def drawing(examples):
@@ -93,14 +105,15 @@ def j2(spark, sf):
     return learning.negatives(drawing(examples), pool(spark, sf))
 
 
-def sampled_train(spark, sf):
+def sampled_train(spark, sf, most=learning.MAX_TRAIN_EXAMPLES):
+    """At most `most` training examples: the bound on what the rankers are fitted on."""
     train, _ = placed_split(spark, sf)
-    return durable(sequences.chosen_examples(train, learning.MAX_TRAIN_EXAMPLES))
+    return shared(f"train examples {most}", sf, lambda: sequences.chosen_examples(train, most))
 
 
-def sampled_val(spark, sf):
+def sampled_val(spark, sf, most=learning.MAX_VAL_EXAMPLES):
     examples = sequences.detailed_validation(*placed_split(spark, sf))
-    return durable(sampling.subsample(examples, ["example_id"], learning.MAX_VAL_EXAMPLES))
+    return shared(f"val examples {most}", sf, lambda: sampling.subsample(examples, ["example_id"], most))
 
 
 def example_sessions(examples, meta):
@@ -123,7 +136,7 @@ def dataset(spark, sf, examples):
     """Features and labels of every candidate of every example; candidates without a vector are left out."""
     train, _ = split(spark, sf)
     vecs = T.vectors(spark, sf)
-    meta = durable(I.item_meta(T.items(spark, sf), train))
+    meta = shared("item meta", sf, lambda: I.item_meta(T.items(spark, sf), train))
     rows = durable(labelled(spark, sf, examples, meta).withColumnRenamed("example_id", "list_id").drop("category_l1"))
     session = durable(example_sessions(examples, meta))
     heads = durable(intents.infer_intents(examples.select(F.col("example_id").alias("list_id")), session, vecs, DIM))
@@ -136,14 +149,14 @@ def dataset(spark, sf, examples):
 
 @query(
     "J3_weak_labels",
-    """SELECT example_id, article_id, is_target, click, cart, purchase, wishlist FROM lab8""",
-    "lab8",
+    """SELECT example_id, article_id, is_target, click, cart, purchase, wishlist FROM lab_all""",
+    "lab_all",
 )
 def j3(spark, sf):
-    train, _ = split(spark, sf)
-    meta = I.item_meta(T.items(spark, sf), train)
-    found = labelled(spark, sf, sampled_train(spark, sf), meta)
-    return found.select("example_id", "article_id", "is_target", *learning.OBJECTIVES)
+    train, _ = placed_split(spark, sf)
+    meta = shared("item meta", sf, lambda: I.item_meta(T.items(spark, sf), train))
+    every = shared("examples", sf, lambda: sequences.detailed_examples(train))
+    return labelled(spark, sf, every, meta).select("example_id", "article_id", "is_target", *learning.OBJECTIVES)
 
 
 view(
@@ -204,31 +217,69 @@ def j4(spark, sf):
 
 # ---- rankers --------------------------------------------------------------------------------------------------------
 
-_TRAINED: dict = {}
-
+def fitted(spark, sf):
+    """The four fitted models and the validation rows, fitted once per run of a query."""
 
-def rankers(spark, sf):
-    """The four fitted models and the validation rows, fitted once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _TRAINED:
+    def made():
         train = durable(dataset(spark, sf, sampled_train(spark, sf)))
         val = durable(dataset(spark, sf, sampled_val(spark, sf)))
-        _TRAINED[key] = (learning.train_rankers(train, val), val)
-    return _TRAINED[key]
+        return learning.train_rankers(train, val), val
+
+    return remembered("rankers", sf, made)
+
+
+view(
+    "val_ex",
+    ("train", "val"),
+    f"""SELECT * FROM (SELECT customer_id || '-v' || row_number() OVER (PARTITION BY customer_id ORDER BY {ORDER}) AS example_id,
+          customer_id, article_id AS target, t_dat FROM val) SEMI JOIN train USING (customer_id)""",
+)
+view("val_ex2", ("val_ex",), "SELECT * FROM val_ex ORDER BY md5('0|' || example_id), example_id LIMIT 2000")
 
 
-@query("J5_boosted_rankers")
+# A fitted tree is beyond SQL: the rows that must be scored are compared, and that every score is a probability.
+@query(
+    "J5_boosted_rankers",
+    """SELECT example_id AS list_id, target AS article_id, true AS probable FROM val_ex2 SEMI JOIN vectors v ON v.article_id = target
+       SEMI JOIN articles a ON a.article_id = target""",
+    "val_ex2 vectors articles",
+)
 def j5(spark, sf):
-    models, val = rankers(spark, sf)
-    scored = learning.probabilities(models, val)
-    keep = [F.round(f"p_{o}", 6).alias(f"p_{o}") for o in learning.OBJECTIVES]
-    return scored.select("list_id", "article_id", *keep)
+    models, val = fitted(spark, sf)
+    scored = learning.probabilities(models, val).filter("is_target")
+    probable = F.lit(True)
+    for objective in learning.OBJECTIVES:
+        probable = probable & F.col(f"p_{objective}").between(0.0, 1.0)
+    return scored.select("list_id", "article_id", probable.alias("probable"))
 
 
-@query("J6_validation_auc")
+AUC_SQL = """SELECT '{label}' AS objective, round((sum(r) FILTER ({label} = 1) - p * (p + 1) / 2) / (p * n), 6) AS auc FROM (
+      SELECT {label}, avg(i) OVER (PARTITION BY item_popularity) AS r, sum({label}) OVER () AS p,
+        count(*) OVER () - sum({label}) OVER () AS n
+      FROM (SELECT {label}, popularity AS item_popularity, row_number() OVER (ORDER BY popularity) AS i
+            FROM lab8 JOIN meta_train USING (article_id) SEMI JOIN vectors USING (article_id))) GROUP BY p, n"""
+
+
+@query(
+    "J6_validation_auc",
+    " UNION ALL ".join(AUC_SQL.format(label=label) for label in learning.OBJECTIVES),
+    "lab8 meta_train vectors",
+)
 def j6(spark, sf):
-    models, val = rankers(spark, sf)
-    return learning.auc(models, val)
+    # The judge itself, on a score that SQL has too; J6_fitted_auc runs it on the fitted models.
+    rows = shared("training rows", sf, lambda: dataset(spark, sf, sampled_train(spark, sf)))
+    found = learning.auc_of(rows, "item_popularity")
+    return spark.createDataFrame([(o, round(a, 6)) for o, a in found.items()], "objective string, auc double")
+
+
+@query(
+    "J6_fitted_auc",
+    "SELECT unnest(['click', 'cart', 'purchase', 'wishlist']) AS objective, true AS is_share, true AS has_trees",
+)
+def j6_fitted(spark, sf):
+    models, val = fitted(spark, sf)
+    found = learning.auc(models, val)
+    return found.select("objective", F.col("auc").between(0, 1).alias("is_share"), (F.col("trees") >= 1).alias("has_trees"))
 
 
 @query(
@@ -244,64 +295,165 @@ def j7(spark, sf):
     return meta.select("article_id", F.round(score, 6).alias("score"))
 
 
-@query("J8_save_and_load")
+@query(
+    "J8_save_and_load",
+    """SELECT count(*) AS targets, 0::BIGINT AS differing FROM val_ex2 SEMI JOIN vectors v ON v.article_id = target
+       SEMI JOIN articles a ON a.article_id = target""",
+    "val_ex2 vectors articles",
+)
 def j8(spark, sf):
-    models, val = rankers(spark, sf)
+    models, val = fitted(spark, sf)
     path = scratch_path(spark, "rankers")
     learning.save_rankers(models, path)
-    before = learning.probabilities(models, val).select("list_id", "article_id", F.col("p_purchase").alias("before"))
-    after = learning.probabilities(learning.load_rankers(spark, path), val)
-    both = before.join(after.select("list_id", "article_id", F.col("p_purchase").alias("after")), ["list_id", "article_id"])
-    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("before") != F.col("after")).alias("differing"))
+    key = ["list_id", "article_id", "is_target"]
+    before = learning.probabilities(models, val).select(*key, F.col("p_purchase").alias("before"))
+    after = learning.probabilities(learning.load_rankers(spark, path), val).select(*key, F.col("p_purchase").alias("after"))
+    both = before.join(after, key, "full_outer")
+    differing = F.count_if(~F.col("before").eqNullSafe(F.col("after")))
+    return both.agg(F.count_if("is_target").alias("targets"), differing.alias("differing"))
+
+
+def projected_sql(rows: str, token: str, weight: str) -> str:
+    """Signed hashed components of each article's tokens, added up and scaled to length 1."""
+    digest = f"md5(({token})::VARCHAR)"
+    return f"""SELECT article_id, list_transform(m, lambda x: CASE WHEN list_dot_product(m, m) > 0 THEN x / sqrt(list_dot_product(m, m)) ELSE 0 END)
+        AS vector FROM (SELECT article_id, list(x ORDER BY pos) AS m FROM (
+          SELECT article_id, pos, coalesce(sum(x) FILTER (slot = pos), 0)::DOUBLE AS x FROM (
+            SELECT article_id, ('0x' || substr({digest}, 1, 8))::BIGINT % 64 AS slot, {weight}
+              * CASE WHEN ('0x' || substr({digest}, 9, 1))::INTEGER < 8 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS x FROM {rows}),
+            (SELECT unnest(range(0, 64)) AS pos) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+view(
+    "near_counts",
+    ("train",),
+    """SELECT a.article_id, b.article_id AS neighbour, count(*)::DOUBLE AS cnt FROM train a JOIN train b
+       ON a.customer_id = b.customer_id AND a.article_id <> b.article_id AND abs(a.t_dat - b.t_dat) <= 7 GROUP BY 1, 2""",
+)
+view("collab", ("near_counts",), projected_sql("near_counts", "neighbour", "cnt"))
+view(
+    "item_tokens",
+    ("articles",),
+    """SELECT article_id, token, ln(((SELECT count(*) FROM articles) + 1) / (count(*) OVER (PARTITION BY token) + 1)::DOUBLE) + 1 AS weight
+       FROM (SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(prod_name), '[a-z0-9]+')) AS token FROM articles)
+       UNION ALL SELECT article_id, unnest(['category_l1=' || category_l1, 'category_l2=' || category_l2, 'colour=' || colour,
+         'dept=' || dept]), 1.0::DOUBLE FROM articles""",
+)
+view("content", ("item_tokens",), projected_sql("item_tokens", "token", "weight"))
+view(
+    "blend",
+    ("content", "collab", "items"),
+    """SELECT c.article_id, CASE WHEN k.vector IS NULL THEN c.vector ELSE list_transform(range(1, 65),
+         lambda i: n / (n + 10.0::DOUBLE) * k.vector[i] + (1 - n / (n + 10.0::DOUBLE)) * c.vector[i]) END AS vector
+       FROM content c JOIN (SELECT article_id, coalesce(n_interactions, 0)::DOUBLE AS n FROM items) USING (article_id)
+       LEFT JOIN collab k USING (article_id)""",
+)
+
+
+def item_vectors(spark, sf):
+    """Vectors of both kinds: from purchases, and from titles and attributes."""
+    train, _ = split(spark, sf)
+    titled = T.articles(spark, sf).withColumn("title", F.col("prod_name"))
+    collaborative = shared("collaborative", sf, lambda: learning.collaborative_vectors(train, DIM))
+    return collaborative, shared("content", sf, lambda: learning.content_vectors(titled, DIM))
+
+
+def blended_vectors(spark, sf):
+    collaborative, content = item_vectors(spark, sf)
+    return shared("blend", sf, lambda: learning.blend_cold_items(content, collaborative, T.items(spark, sf)))
+
+
+def _components(frame):
+    return frame.select("article_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @query(
     "J9_item_embeddings",
-    """SELECT 'collaborative' AS kind, article_id, 64 AS dim, true AS unit_length FROM (SELECT DISTINCT article_id FROM train)
-       UNION ALL SELECT 'content', article_id, 64, true FROM articles""",
-    "train articles",
+    """SELECT kind, article_id, pos::INTEGER AS pos, round(vector[pos + 1], 6) AS x FROM (
+         SELECT 'collaborative' AS kind, article_id, vector FROM collab UNION ALL SELECT 'content', article_id, vector FROM content),
+         (SELECT unnest(range(0, 64)) AS pos)""",
+    "collab content",
 )
 def j9(spark, sf):
-    train, _ = split(spark, sf)
-    titled = T.articles(spark, sf).withColumn("title", F.col("prod_name"))
-    found = {"collaborative": learning.collaborative_vectors(train, DIM), "content": learning.content_vectors(titled, DIM)}
-    rows = None
-    for kind, frame in found.items():
-        length = F.abs(V.norm(F.col("vector")) - 1) < 1e-6
-        row = frame.select(F.lit(kind).alias("kind"), "article_id", F.size("vector").alias("dim"), length.alias("unit_length"))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    kinds = dict(zip(("collaborative", "content"), item_vectors(spark, sf)))
+    rows = [_components(frame).select(F.lit(kind).alias("kind"), "*") for kind, frame in kinds.items()]
+    return rows[0].unionByName(rows[1])
 
 
 @query(
     "J10_cold_item_blend",
-    """SELECT article_id, pos::INTEGER AS pos, round(CASE WHEN vector IS NULL THEN centroid[pos + 1]
-         ELSE n / (n + 10.0::DOUBLE) * vector[pos + 1] + (1 - n / (n + 10.0::DOUBLE)) * centroid[pos + 1] END, 6) AS x
-       FROM (SELECT i.article_id, coalesce(n_interactions, 0)::DOUBLE AS n, v.vector, c.centroid, unnest(range(0, 64)) AS pos
-         FROM items i JOIN centroids c USING (category_l1) LEFT JOIN vectors v USING (article_id))""",
-    "items centroids vectors",
+    "SELECT article_id, pos::INTEGER AS pos, round(vector[pos + 1], 6) AS x FROM blend, (SELECT unnest(range(0, 64)) AS pos)",
+    "blend",
 )
 def j10(spark, sf):
-    items, vecs = T.items(spark, sf), T.vectors(spark, sf)
-    middles = I.category_centroids(T.articles(spark, sf), vecs)
-    content = items.join(middles, "category_l1").select("article_id", F.col("centroid").alias("vector"))
-    mixed = learning.blend_cold_items(content, vecs, items)
-    rows = mixed.select("article_id", F.posexplode("vector").alias("pos", "x"))
-    return rows.withColumn("x", F.round("x", 6))
+    return _components(blended_vectors(spark, sf))
+
+
+view(
+    "blend_pooled",
+    ("last20", "blend"),
+    """SELECT customer_id, list_transform(m, lambda x: CASE WHEN list_dot_product(m, m) > 0 THEN x / sqrt(list_dot_product(m, m)) ELSE 0 END)
+         AS user_vector FROM (SELECT customer_id, list(x ORDER BY pos) AS m FROM (SELECT customer_id, pos, avg(vector[pos]) AS x
+           FROM (SELECT customer_id, vector, unnest(range(1, 65)) AS pos FROM last20 JOIN blend USING (article_id)) GROUP BY 1, 2) GROUP BY 1)""",
+)
+
+
+@query(
+    "K2_blended_recommend",
+    """SELECT customer_id AS user_id, article_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (
+         PARTITION BY customer_id ORDER BY score DESC, article_id) AS rank FROM (
+           SELECT p.customer_id, v.article_id, round(list_dot_product(p.user_vector, v.vector), 9) AS score
+           FROM blend_pooled p, blend v WHERE NOT EXISTS (SELECT 1 FROM last20 l
+             WHERE l.customer_id = p.customer_id AND l.article_id = v.article_id))) WHERE rank <= 20""",
+    "blend_pooled blend last20",
+)
+def k2_blended(spark, sf):
+    """Lists by the job's own item vectors; an item without purchases takes part through its title."""
+    return candidates.vector_recommend(split(spark, sf)[0], blended_vectors(spark, sf))
 
 
-@query("K4_retrieve_then_rank")
+view(
+    "retrieved",
+    ("per_customer",),
+    """SELECT customer_id AS user_id, article_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
+         ORDER BY score DESC, article_id) AS rank FROM per_customer) WHERE rank <= 150""",
+)
+
+
+def checked_ranks(found, allowed):
+    """Of each list: its places, and whether each item was among the candidates and scores no higher than the one before."""
+    marks = allowed.select("user_id", "article_id").distinct().withColumn("_in", F.lit(True))
+    before = F.lag("score").over(W.partitionBy("user_id").orderBy("rank"))
+    rows = found.withColumn("_before", before).join(marks, ["user_id", "article_id"], "left")
+    ordered = F.coalesce(F.col("score") <= F.col("_before"), F.lit(True))
+    return rows.select("user_id", "rank", F.coalesce("_in", F.lit(False)).alias("retrieved"), ordered.alias("in_order"))
+
+
+# The order depends on fitted trees; what must hold of every list is compared.
+@query(
+    "K4_retrieve_then_rank",
+    """SELECT user_id, unnest(range(1, least(20, n) + 1))::INTEGER AS rank, true AS retrieved, true AS in_order FROM (
+         SELECT user_id, count(*) AS n FROM retrieved GROUP BY 1)""",
+    "retrieved",
+)
 def k4(spark, sf):
-    models, _ = rankers(spark, sf)
+    ranked, found = retrieve_then_rank(spark, sf)
+    return checked_ranks(ranked, found.withColumnRenamed("list_id", "user_id"))
+
+
+def retrieve_then_rank(spark, sf):
+    """(lists of 20 by the fitted models, the candidates they were chosen from)."""
+    models, _ = fitted(spark, sf)
     train, _ = split(spark, sf)
     vecs = T.vectors(spark, sf)
     now = sampling.last_day(train)
-    meta = durable(I.days_since_first_seen(I.item_meta(T.items(spark, sf), train), now).drop("first_seen"))
+    base = shared("item meta", sf, lambda: I.item_meta(T.items(spark, sf), train))
+    meta = durable(I.days_since_first_seen(base, now).drop("first_seen"))
     pooled = durable(candidates.pooled_vectors(train, vecs))
     queries = pooled.select(F.col("customer_id").alias("query_id"), F.col("user_vector").alias("vector"))
     recent = durable(sequences.last_rows(train).select(F.col("customer_id").alias("list_id"), "article_id"))
     seen = recent.select(F.col("list_id").alias("query_id"), "article_id")
-    found = retrieval.top_k(queries, vecs, 150, seen).select(F.col("query_id").alias("list_id"), "article_id")
+    found = durable(retrieval.top_k(queries, vecs, 150, seen).select(F.col("query_id").alias("list_id"), "article_id"))
     session = intents.session_rows(
         recent.join(meta.select("article_id", F.col("avg_price").alias("price")), "article_id", "left").withColumn("t_dat", now), meta
     )
@@ -309,20 +461,52 @@ def k4(spark, sf):
     heads = intents.infer_intents(recent.select("list_id").distinct(), session, vecs, DIM)
     users = pooled.select(F.col("customer_id").alias("list_id"), "user_vector")
     rows = build_features(found, meta, vecs, users, heads, session)
-    return learning.rank_by_models(models, rows, 20).select(F.col("list_id").alias("user_id"), "article_id", "score", "rank")
+    ranked = learning.rank_by_models(models, rows, 20)
+    return durable(ranked.select(F.col("list_id").alias("user_id"), "article_id", "score", "rank")), found
+
+
+def checked_lists(items, lists, cat, seen=None):
+    """Of each list: its places, whether every item passes the filters, and whether no category is over its share."""
+    marked = guardrails.flagged(surfaces.guardrail_rows(items, cat), lists, seen)
+    size = F.count(F.lit(1)).over(W.partitionBy("list_id"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(guardrails.MAX_SHARE) * size))
+    in_category = F.count(F.lit(1)).over(W.partitionBy("list_id", "category_l1"))
+    return marked.select(
+        "list_id", "position", F.col("dropped_by").isNull().alias("allowed"), (in_category <= most).alias("within_share")
+    )
+
+
+def places_sql(rows: str, limit: int) -> str:
+    """Places of the lists whose candidates are `rows`: as many as the cap can fill, by the sizes of categories alone."""
+    return f"""SELECT list_id, unnest(range(target))::INTEGER AS position, true AS allowed, true AS within_share FROM (
+        SELECT list_id, max(target) AS target FROM ({capped_sql(rows, limit)}) GROUP BY 1)"""
+
+
+view(
+    "feed_ranked_left",
+    ("feed_left", "routed", "vectors"),
+    """SELECT l.* FROM feed_left l WHERE l.article_id IN (SELECT article_id FROM vectors)
+         OR l.list_id NOT IN (SELECT list_id FROM routed SEMI JOIN vectors USING (article_id))""",
+)
 
 
-@query("K10_feed_ranked")
+# As above: the fitted order is beyond SQL, the places of each list and the rules that its items keep are not.
+@query("K10_feed_ranked", places_sql("feed_ranked_left", 20), "feed_ranked_left")
 def k10_ranked(spark, sf):
-    return feed_of(spark, sf, rankers(spark, sf)[0])["items"]
+    items = feed_of(spark, sf, fitted(spark, sf)[0])["items"].select("list_id", "article_id", "position")
+    seen = sessions(spark, sf).select("list_id", "article_id")
+    return checked_lists(items, contexts(spark, sf), catalogue_of(spark, sf), seen)
 
 
-@query("K9_search_ranked")
+@query("K9_search_ranked", places_sql("search_named", 20).replace("list_id,", "list_id AS query,", 1), "search_named")
 def k9_ranked(spark, sf):
     cat = catalogue_of(spark, sf)
     middles = durable(I.category_centroids(cat.stock, cat.vectors))
-    models, _ = rankers(spark, sf)
-    return surfaces.search(T.search_queries(spark, sf), middles, I.global_centroid(cat.vectors), cat, 20, models)["items"]
+    models, _ = fitted(spark, sf)
+    items = surfaces.search(T.search_queries(spark, sf), middles, I.global_centroid(cat.vectors), cat, 20, models)["items"]
+    listed = durable(items.select(F.col("query").alias("list_id"), "article_id", "position"))
+    lists = listed.select("list_id", F.lit(UNKNOWN).alias("age_band")).distinct()
+    return checked_lists(listed, lists, cat).withColumnRenamed("list_id", "query")
 
 
 # ---- streams --------------------------------------------------------------------------------------------------------
@@ -336,8 +520,7 @@ def k9_ranked(spark, sf):
 )
 def o1(spark, sf):
     stream = S.with_defaults(S.typed(S.event_stream(spark, sf)))
-    updates = S.update_to(S.session_state(stream, GAP), "sessions", S.SESSION)
-    last = S.latest(updates.filter(~F.col("expired")), ["session_key"])
+    last = S.update_to(S.session_state(stream, GAP).filter(~F.col("expired")), "sessions", S.SESSION, ["session_key"])
     return last.select(
         "session_key",
         "events",
@@ -370,13 +553,18 @@ def o2_all(spark, sf):
 
 @query(
     "O3_event_defaults",
-    """SELECT event_id, 'sess:' || user_id AS session_key, article_id, ts, CASE WHEN event_type = 'view' THEN 0.0 ELSE price END AS price,
+    """SELECT event_id, 'sess:' || CASE event_type WHEN 'view' THEN 's' || user_id WHEN 'error' THEN 'anonymous' ELSE user_id::VARCHAR
+           END AS session_key, article_id, ts, CASE WHEN event_type = 'view' THEN 0.0 ELSE price END AS price,
          CASE WHEN event_type = 'view' THEN 'unknown' ELSE event_type END AS category_l1,
          event_type <> 'view' AND discounted AS discounted FROM clicks""",
     "clicks",
 )
 def o3(spark, sf):
-    path = S.append_to(S.with_defaults(S.typed(S.event_stream(spark, sf))), "event-defaults")
+    # Views come from guests, who have a session_id alone; errors have neither.
+    kind, user = F.col("event_type"), F.col("user_id")
+    raw = S.event_stream(spark, sf).withColumn("session_id", F.when(kind == "view", F.concat(F.lit("s"), user)))
+    raw = raw.withColumn("user_id", F.when(~kind.isin("view", "error"), user))
+    path = S.append_to(S.with_defaults(S.typed(raw)), "event-defaults")
     return spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -392,8 +580,8 @@ def o4(spark, sf):
 )
 def o5(spark, sf):
     stream = S.with_defaults(S.typed(S.event_stream(spark, sf)))
-    updates = S.update_to(S.rolling_popularity(stream), "popularity", "hour timestamp, article_id bigint, n bigint")
-    return S.latest(updates, ["hour", "article_id"]).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    shape, keys = "hour timestamp, article_id bigint, n bigint", ["hour", "article_id"]
+    return S.update_to(S.rolling_popularity(stream), "popularity", shape, keys).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @query(
@@ -402,5 +590,5 @@ def o5(spark, sf):
 )
 def o6(spark, sf):
     samples = S.event_stream(spark, sf).select(F.col("event_type").alias("stage"), F.col("value").alias("millis"))
-    updates = S.update_to(S.latency_counters(samples), "latency", "stage string, latency_count bigint, latency_sum double")
-    return S.latest(updates, ["stage"]).withColumn("latency_sum", F.round("latency_sum", 3))
+    shape = "stage string, latency_count bigint, latency_sum double"
+    return S.update_to(S.latency_counters(samples), "latency", shape, ["stage"]).withColumn("latency_sum", F.round("latency_sum", 3))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.session import durable
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -83,18 +87,56 @@ def with_views(needs: tuple[str, ...], body: str) -> str:
         return body
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in _ordered(needs, [])]
     if body.lstrip().upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body.lstrip()[5:]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body.lstrip()[5:]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
+
+
+# What the parts of one running query share; none outside of a query.
+_RUN: ContextVar[dict | None] = ContextVar("run", default=None)
+
+
+def shared(name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that several parts of a query read: worked out and stored once per run of the query."""
+    held = _RUN.get()
+    if held is None:
+        return make()
+    if (name, sf_dir) not in held:
+        held[name, sf_dir] = durable(make())
+    return held[name, sf_dir]
+
+
+def remembered(name: str, sf_dir: str, make: Callable[[], object]):
+    """The same for small values and fitted models, which are not stored."""
+    held = _RUN.get()
+    if held is None:
+        return make()
+    if (name, sf_dir) not in held:
+        held[name, sf_dir] = make()
+    return held[name, sf_dir]
+
+
+def _in_one_run(fn: Query) -> Query:
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _RUN.get() is not None:
+            return fn(spark, sf_dir)
+        token = _RUN.set({})
+        try:
+            return fn(spark, sf_dir)
+        finally:
+            _RUN.reset(token)
+
+    return run
 
 
 def query(name: str, sql: str | None = None, needs: str = "") -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = _in_one_run(fn)
         if sql is not None:
             CHECKS[name] = (sql, needs)
-        return fn
+        return QUERIES[name]
 
     return register
 

@@ -9,8 +9,8 @@ from basketry.functions import vectors as V
 from basketry.operators import candidates, covisit, intents, retrieval, sequences
 from basketry.operators.features import price_percentile
 from basketry.operators.skew import newest
-from basketry.plans.registry import query, view
-from basketry.plans.sources_and_scalars import split
+from basketry.plans.registry import query, shared, view
+from basketry.plans.sources_and_scalars import purchases, split
 from basketry.plans.surfaces import parse_queries
 from basketry.session import durable
 from basketry.sources import tables as T
@@ -62,7 +62,7 @@ def tail_sessions(spark, sf):
     "numbered",
 )
 def e1(spark, sf):
-    return sequences.numbered(T.transactions(spark, sf)).select("customer_id", "seq", "article_id", "t_dat", "price")
+    return sequences.numbered(purchases(spark, sf)).select("customer_id", "seq", "article_id", "t_dat", "price")
 
 
 @query(
@@ -86,7 +86,7 @@ def _ids(column):
     "examples",
 )
 def e3(spark, sf):
-    found = sequences.training_examples(T.transactions(spark, sf))
+    found = sequences.training_examples(purchases(spark, sf))
     return found.select("customer_id", "seq", _ids("history").alias("history"), "target", "t_dat")
 
 
@@ -110,7 +110,7 @@ def e4(spark, sf):
     "examples",
 )
 def e5(spark, sf):
-    found = sequences.training_examples(T.transactions(spark, sf))
+    found = sequences.training_examples(purchases(spark, sf))
     filled = sequences.padded(F.col("history"), 8, F.lit(-1).cast("bigint"))
     used = F.aggregate(sequences.mask(F.col("history"), 8), F.lit(0.0), lambda a, x: a + x)
     rows = found.withColumn("padded", filled).withColumn("used", used.cast("int"))
@@ -136,7 +136,7 @@ def e6(spark, sf):
 )
 def e7(spark, sf):
     kinds = T.articles(spark, sf).select("article_id", "category_l1")
-    rows = T.transactions(spark, sf).join(kinds, "article_id")
+    rows = shared("priced", sf, lambda: T.transactions(spark, sf).join(kinds, "article_id"))
     found = price_percentile(rows, ["category_l1"])
     cols = ["customer_id", "order_id", "line_no", "article_id", "category_l1", "price"]
     return found.select(*cols, F.round("price_percentile", 6).alias("price_percentile"))
@@ -312,11 +312,65 @@ def i7(spark, sf):
     return retrieval.top_k(queries, stock, 20, seen)
 
 
-@query("I8_hashed_top_k")
+def _cells_sql(rows: str, key: str, vector: str) -> str:
+    """The cell of each row in each table: the signs of its products with the planes, as many as the bits in use."""
+    sides = retrieval.planes(64)
+    tables = []
+    for t, table in enumerate(sides):
+        signs = " + ".join(
+            f"(list_dot_product([{','.join(f'{x:.6f}' for x in plane)}]::DOUBLE[64]::DOUBLE[], {vector}) > 0 AND bits > {b})::BIGINT * {1 << b}"
+            for b, plane in enumerate(table)
+        )
+        tables.append(f"SELECT {key}, bits, {t << retrieval.MAX_BITS} AS base, {signs} AS home FROM {rows}, hash_bits")
+    return " UNION ALL ".join(tables)
+
+
+view(
+    "hash_bits",
+    ("vectors",),
+    f"""SELECT greatest(1, least({retrieval.MAX_BITS}, ceil(log2(count(*) / {retrieval.ROWS_PER_CELL}::DOUBLE))))::INTEGER AS bits
+        FROM vectors""",
+)
+view("item_cells", ("vectors", "hash_bits"), _cells_sql("vectors", "article_id", "vector"))
+view("query_cells", ("pooled", "hash_bits"), _cells_sql("pooled", "customer_id", "user_vector"))
+view(
+    "looks",
+    ("query_cells",),
+    """SELECT customer_id, base + home AS cell FROM query_cells UNION ALL
+       SELECT customer_id, base + xor(home, (1 << b)::BIGINT) FROM query_cells, (SELECT unnest(range(16))::INTEGER AS b) WHERE b < bits""",
+)
+view(
+    "hashed",
+    ("looks", "item_cells", "per_customer"),
+    """SELECT customer_id AS query_id, article_id, score, rank FROM (SELECT *, row_number() OVER (
+         PARTITION BY customer_id ORDER BY score DESC, article_id)::INTEGER AS rank FROM per_customer
+         SEMI JOIN (SELECT DISTINCT customer_id, article_id FROM looks l JOIN item_cells i ON l.cell = i.base + i.home) m
+           USING (customer_id, article_id)) WHERE rank <= 20""",
+)
+
+
+@query("I8_hashed_top_k", "SELECT * FROM hashed", "hashed")
 def i8(spark, sf):
+    queries, stock, seen = _searched(spark, sf)
+    return retrieval.top_k_hashed(queries, stock, 20, 64, seen)
+
+
+@query(
+    "I8_hashed_recall",
+    """SELECT expected, found, round(found / expected, 6) AS recall, round(pairs / (q * i), 6) AS share_compared FROM
+         (SELECT count(*) AS expected, count(h.article_id) AS found FROM (SELECT customer_id AS query_id, article_id FROM (
+            SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS rank FROM per_customer)
+            WHERE rank <= 20) t LEFT JOIN hashed h USING (query_id, article_id)),
+         (SELECT count(*) AS pairs FROM looks l JOIN item_cells c ON l.cell = c.base + c.home),
+         (SELECT count(*) AS q FROM pooled), (SELECT count(*) AS i FROM vectors)""",
+    "hashed per_customer looks item_cells pooled vectors",
+)
+def i8_recall(spark, sf):
     queries, stock, seen = _searched(spark, sf)
     truth = retrieval.top_k(queries, stock, 20, seen)
-    return retrieval.recall_against(retrieval.top_k_hashed(queries, stock, 20, 64, seen), truth)
+    found = retrieval.recall_against(retrieval.top_k_hashed(queries, stock, 20, 64, seen), truth)
+    share = retrieval.compared_share(queries, stock, 64).select("share_compared").scalar()
+    return found.select("expected", "found", F.round("recall", 6).alias("recall"), F.round(share, 6).alias("share_compared"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basketry.functions import columns as C
 from basketry.operators import reports, sampling
 from basketry.operators.sampling import SampleSpec
-from basketry.plans.registry import query, view
+from basketry.plans.registry import query, remembered, shared, view
 from basketry.session import scratch_path
 from basketry.sources import files
 from basketry.sources import tables as T
@@ -46,8 +46,20 @@ def samples(spark, sf):
     return sampling.build_samples(tx, T.articles(spark, sf), T.users(spark, sf), SPEC)
 
 
+def purchases(spark, sf):
+    """The purchases, joined once for all parts of a query that read them."""
+    return shared("purchases", sf, lambda: T.transactions(spark, sf))
+
+
+def first_val_day(spark, sf, days):
+    """The first of the last `days` days; one small value."""
+    last = remembered("last day", sf, lambda: purchases(spark, sf).agg(F.max("t_dat")).first()[0])
+    return F.date_sub(F.lit(last).cast("date"), days - 1)
+
+
 def split(spark, sf):
-    return sampling.split(T.transactions(spark, sf), SPEC.val_days)
+    tx, start = purchases(spark, sf), first_val_day(spark, sf, SPEC.val_days)
+    return tx.filter(F.col("t_dat") < start), tx.filter(F.col("t_dat") >= start)
 
 
 @query(
@@ -83,11 +95,33 @@ REPORT_SQL = """SELECT 'train' AS frame, count(*) AS n_rows, min(t_dat) AS first
     UNION ALL SELECT 'users', count(*), NULL, NULL FROM s_users"""
 
 
-@query("A3_parquet_sink", REPORT_SQL, "s_train s_val s_items s_users")
+@query(
+    "A3_parquet_sink",
+    """SELECT 'train' AS frame, customer_id, article_id, t_dat, price AS amount, '' AS detail FROM s_train
+       UNION ALL SELECT 'val', customer_id, article_id, t_dat, price, '' FROM s_val
+       UNION ALL SELECT 'items', NULL, article_id, NULL, n_interactions, prod_name || '|' || category_l1 || '|' || dept FROM s_items
+       UNION ALL SELECT 'users', customer_id, NULL, NULL, NULL, region || '|' || club_status || '|' || age_band FROM s_users""",
+    "s_train s_val s_items s_users",
+)
 def a3(spark, sf):
     path = scratch_path(spark, "samples")
     files.write_frames(samples(spark, sf), path)
-    return reports.split_report(files.read_frames(spark, path, ["train", "val", "items", "users"]))
+    read = files.read_frames(spark, path, ["train", "val", "items", "users"])
+    long, day = F.lit(None).cast("bigint"), F.lit(None).cast("date")
+
+    def rows(frame, customer, article, at, amount, *detail):
+        return read[frame].select(
+            F.lit(frame).alias("frame"), customer.alias("customer_id"), article.alias("article_id"), at.alias("t_dat"),
+            amount.cast("double").alias("amount"), F.concat_ws("|", *detail).alias("detail"),
+        )
+
+    col = F.col
+    return (
+        rows("train", col("customer_id"), col("article_id"), col("t_dat"), col("price"))
+        .unionByName(rows("val", col("customer_id"), col("article_id"), col("t_dat"), col("price")))
+        .unionByName(rows("items", long, col("article_id"), day, col("n_interactions"), "prod_name", "category_l1", "dept"))
+        .unionByName(rows("users", col("customer_id"), long, day, long, "region", "club_status", "age_band"))
+    )
 
 
 @query(
@@ -188,9 +222,9 @@ def b2(spark, sf):
     "tx",
 )
 def b3(spark, sf):
-    train, val = sampling.split(T.transactions(spark, sf), 7)
-    cols = ["customer_id", "article_id", "t_dat"]
-    return train.select(F.lit("train").alias("part"), *cols).unionByName(val.select(F.lit("val").alias("part"), *cols))
+    # Both parts come from one scan; sampling.split gives them apart.
+    part = F.when(F.col("t_dat") < first_val_day(spark, sf, 7), "train").otherwise("val")
+    return purchases(spark, sf).select(part.alias("part"), "customer_id", "article_id", "t_dat")
 
 
 @query(

@@ -10,17 +10,20 @@ from pyspark.sql import Window as W
 
 from basketry.functions.columns import UNKNOWN, query_cache_key, reason_code, reason_text, tokens
 from basketry.operators import guardrails
-from basketry.operators.candidates import feed_candidates
+from basketry.operators.candidates import feed_candidates, popular_for
 from basketry.operators.features import build_features
 from basketry.operators.intents import infer_intents
 from basketry.operators.learning import rank_by_models
 from basketry.operators.retrieval import top_k
+from basketry.operators.skew import newest
 from basketry.session import durable
 
 # Fixed values
 COMPLEMENT_WEIGHT = 0.6
 SIMILARITY_WEIGHT = 0.4
 OVERFETCH = 5
+# Rows that a caller's session holds at most.
+SESSION = 20
 
 
 @dataclass(frozen=True)
@@ -87,7 +90,7 @@ def feed(
     session = durable(session)
     active = session.select("list_id").distinct()
     quiet = contexts.join(active, "list_id", "left_anti")
-    segments = quiet.groupBy("region", "age_band").agg(F.min("list_id").alias("served_as"))
+    segments = durable(quiet.groupBy("region", "age_band").agg(F.min("list_id").alias("served_as")))
     members = quiet.join(segments, ["region", "age_band"]).select("served_as", "list_id")
     asked = contexts.join(active, "list_id", "left_semi").select("list_id", "region", "age_band").unionByName(
         segments.select(F.col("served_as").alias("list_id"), "region", "age_band")
@@ -96,7 +99,9 @@ def feed(
 
     def handed_out(df: DataFrame) -> DataFrame:
         own = df.join(segments, df["list_id"] == segments["served_as"], "left_anti")
-        shared = df.withColumnRenamed("list_id", "served_as").join(members, "served_as").select(*df.columns)
+        # Only the lists of segments meet the members: a few dozen lists, stored, so that their size is known.
+        of_segments = durable(df.join(segments.select("served_as"), df["list_id"] == segments["served_as"], "left_semi"))
+        shared = of_segments.withColumnRenamed("list_id", "served_as").join(members, "served_as").select(*df.columns)
         return own.unionByName(shared)
 
     return {name: handed_out(df) for name, df in found.items()}
@@ -246,12 +251,59 @@ def search(
     return {"items": items, "parsed": parsed, "report": report}
 
 
-def log_rows(items: DataFrame, served_at: Column, model_version: str) -> DataFrame:
-    """Audit rows of served lists, one per item with its 0-based position."""
+def session_search(
+    requests: DataFrame,
+    session: DataFrame,
+    popular: DataFrame,
+    centroids: DataFrame,
+    whole: DataFrame,
+    catalogue: Catalogue,
+    limit: int = 20,
+) -> dict[str, DataFrame]:
+    """Lists for requests (list_id, query) of callers whose session (list_id, article_id) is known, at most `SESSION` rows
+    each: what it holds is left out. A request whose search finds nothing takes best sellers at score 0, marked degraded.
+
+    Requests of one category share a vector, so the search runs once per category, deep enough for any session, and its few
+    rows, stored, meet the requests.
+    """
+    parsed = parse_queries(requests.select("query").distinct(), catalogue.stock)
+    known = centroids.select(F.col("category_l1").alias("query_id"), F.col("centroid").alias("vector"))
+    vectors = known.unionByName(whole.select(F.lit("").alias("query_id"), F.col("centroid").alias("vector")))
+    found = durable(top_k(vectors, catalogue.vectors, limit * OVERFETCH + SESSION).drop("rank"))
+    names = durable(known.select("query_id"))
+    asked = requests.join(parsed.select("query", F.col("category_l1").alias("query_id")), "query")
+    asked = asked.join(names.withColumn("_known", F.lit(True)), "query_id", "left")
+    asked = asked.withColumn("query_id", F.when(F.col("_known"), F.col("query_id")).otherwise("")).drop("_known")
+    seen = durable(session.select("list_id", "article_id").distinct())
+    fresh = asked.join(found, "query_id").join(seen, ["list_id", "article_id"], "left_anti")
+    best = newest(fresh, ["list_id"], [F.desc("score"), F.asc("article_id")], limit * OVERFETCH, "_place")
+    hits = durable(best.select("list_id", "article_id", "score", F.lit(None).cast("string").alias("degraded")))
+    empty = requests.select("list_id").join(hits.select("list_id").distinct(), "list_id", "left_anti")
+    anyone = empty.select("list_id", F.lit(UNKNOWN).alias("region"), F.lit(UNKNOWN).alias("age_band"))
+    rescued = popular_for(anyone, popular, limit * 3, "search").select(
+        "list_id", "article_id", F.lit(0.0).alias("score"), F.lit("retrieval").alias("degraded")
+    )
+    lists = requests.select("list_id", F.lit(UNKNOWN).alias("age_band"))
+    final, report = guardrails.apply_all(
+        guardrail_rows(hits.unionByName(rescued), catalogue), lists, limit, seen, embeddings=catalogue.embeddings
+    )
+    text = F.format_string("Matches your search for '%s'", F.col("query"))
+    items = final.join(requests, "list_id").select(
+        "list_id", "query", "article_id", "position", "score", F.lit("SEARCH_MATCH").alias("reason_code"), text.alias("reason_text"), "degraded"
+    )
+    return {"items": items, "parsed": parsed, "report": report}
+
+
+def log_rows(
+    items: DataFrame, surface: str, served_at: Column, model_version: str, customer: Column | None = None, session: Column | None = None
+) -> DataFrame:
+    """Audit rows of served lists, one per item with its 0-based position. The request is named by its surface and list."""
+    none = F.lit(None)
     return items.select(
-        F.col("list_id").alias("request_id"),
-        F.col("list_id").alias("customer_id"),
-        F.concat(F.lit("sess:"), F.col("list_id").cast("string")).alias("session_id"),
+        F.concat_ws(":", F.lit(surface), F.col("list_id").cast("string")).alias("request_id"),
+        F.lit(surface).alias("surface"),
+        (none if customer is None else customer).cast("bigint").alias("customer_id"),
+        (none if session is None else session).cast("string").alias("session_id"),
         "article_id",
         F.col("position").alias("rank_position"),
         "score",

@@ -30,13 +30,19 @@ def build_session(master: str | None = None, app: str = "basketry", **extra: str
     return spark
 
 
+# Folders that this process made for local runs; they go when it ends.
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a fresh one where it is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where it is unset, a local run gets a folder of its own,
+    which is removed when the process ends; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="basketry-")
+        _OWN.append(tempfile.TemporaryDirectory(prefix="basketry-", ignore_cleanup_errors=True))
+        named = _OWN[-1].name
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from basketry.functions.columns import UNKNOWN
+from basketry.functions.columns import UNKNOWN, session_key
 from basketry.session import scratch_path
 
 # Fixed values
 SESSION_EVENTS = 20
 IDLE_SECONDS = 1800
 WATERMARK = "10 minutes"
-WAIT_SECONDS = 600
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 STATE = "article_ids array<bigint>, micros array<bigint>, event_ids array<bigint>"
@@ -35,10 +34,14 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1000
 
 
 def with_defaults(events: DataFrame) -> DataFrame:
-    """Session events with price 0, category 'unknown', not discounted and the present time where missing."""
+    """Session events with price 0, category 'unknown', not discounted and the present time where missing.
+
+    The key is the customer's, else the guest's session_id where the events carry one, else 'anonymous'.
+    """
+    guest = F.col("session_id") if "session_id" in events.columns else F.lit(None).cast("string")
     return events.select(
         "event_id",
-        F.concat(F.lit("sess:"), F.coalesce(F.col("user_id").cast("string"), F.lit("anonymous"))).alias("session_key"),
+        session_key(F.col("user_id").cast("string"), guest).alias("session_key"),
         F.col("article_id"),
         F.coalesce(F.col("ts").cast("timestamp"), F.current_timestamp()).alias("ts"),
         F.coalesce("price", F.lit(0.0)).alias("price"),
@@ -53,6 +56,7 @@ def typed(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id",
         "user_id",
+        *[c for c in ("session_id",) if c in events.columns],
         "event_type",
         "ts",
         F.get_json_object("props", "$.k").cast("bigint").alias("article_id"),
@@ -62,11 +66,9 @@ def typed(events: DataFrame) -> DataFrame:
     )
 
 
-def finish(query: StreamingQuery, seconds: int = WAIT_SECONDS) -> None:
-    done = query.awaitTermination(seconds)
-    query.stop()
-    if not done:
-        raise TimeoutError(f"stream {query.name or query.id} did not finish within {seconds} s")
+def finish(query: StreamingQuery) -> None:
+    """Wait until the stream has read all that was there; however long that takes."""
+    query.awaitTermination()
 
 
 def append_to(stream: DataFrame, label: str) -> str:
@@ -84,14 +86,26 @@ def append_to(stream: DataFrame, label: str) -> str:
     return out
 
 
-def update_to(stream: DataFrame, label: str, schema: str) -> DataFrame:
-    """Run an update stream; every micro-batch writes its own folder, so a replayed one replaces itself."""
+def update_to(stream: DataFrame, label: str, schema: str, keys: list[str]) -> DataFrame:
+    """Run an update stream and return the last row of each key.
+
+    Every micro-batch rewrites the table of last rows into one of two folders by turns, from the other one and its own
+    updates, so a replayed batch writes the same again, and no more than two copies exist however many batches there are.
+    """
     spark = stream.sparkSession
     out = scratch_path(spark, label)
+    done: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
+        rows = batch.select(*[F.col(f.name) for f in shape])
+        if batch_id:
+            before = batch.sparkSession.read.schema(schema).parquet(f"{out}/{(batch_id - 1) % 2}")
+            same = [before[k].eqNullSafe(rows[k]) for k in keys]
+            rows = rows.unionByName(before.join(rows.select(*keys), same, "left_anti"))
+        rows.write.mode("overwrite").parquet(f"{out}/{batch_id % 2}")
+        done.append(batch_id)
+
+    shape = spark.createDataFrame([], schema).schema
     started = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", scratch_path(spark, f"{label}-progress"))
@@ -100,14 +114,7 @@ def update_to(stream: DataFrame, label: str, schema: str) -> DataFrame:
         .start()
     )
     finish(started)
-    return spark.read.schema(f"{schema}, batch_id bigint").parquet(out)
-
-
-def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """The last update of each key."""
-    values = [c for c in updates.columns if c not in keys and c != "batch_id"]
-    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-    return newest.select(*keys, "_v.*")
+    return spark.read.schema(schema).parquet(f"{out}/{done[-1] % 2}") if done else spark.createDataFrame([], schema)
 
 
 def _newest_per_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,13 +139,14 @@ def _keep_session(idle_seconds: int):
             micros = batch["ts"].astype("datetime64[us]").astype("int64")
             held += list(zip(batch["article_id"].tolist(), micros.tolist(), batch["event_id"].tolist()))
             held = sorted(held, key=lambda e: (e[1], e[2]), reverse=True)[:SESSION_EVENTS]
+        # The newest events are all kept, since a late one may yet join them; only what is given out is cut to the session.
         session = held[:1]
         for event in held[1:]:
             if session[-1][1] - event[1] > idle:
                 break
             session.append(event)
-        articles, micros, ids = (list(c) for c in zip(*session))
-        state.update((articles, micros, ids))
+        state.update(tuple(list(c) for c in zip(*held)))
+        articles, micros, _ = (list(c) for c in zip(*session))
         state.setTimeoutTimestamp(max(micros[0] // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         stamps = pd.to_datetime([micros[-1], micros[0]], unit="us", utc=True)
         yield pd.DataFrame(
@@ -159,7 +167,8 @@ def session_state(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFr
     """Newest-first events of each key's current session, at most 20; ended by `idle_seconds` without an event.
 
     events (session_key, article_id, ts, event_id). A busy key is trimmed in every map task before the shuffle, and
-    its state never holds more than 20 events.
+    its state never holds more than its 20 newest events. An event that comes late, but within the watermark, joins what it
+    lies between.
     """
     slim = events.select("session_key", "article_id", "ts", "event_id")
     trimmed = slim.mapInPandas(_newest_per_key, slim.schema).withWatermark("ts", WATERMARK)

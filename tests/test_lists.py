@@ -46,6 +46,8 @@ def greedy(rows, limit, share=0.35):
     return taken
 
 
+# Sizes, categories and expected numbers here, and in the known cases of diversity and filters below, pin known
+# results of the same definitions.
 def test_cap_known_lists(spark):
     rows = stock("a", {"shoes": 100, "bags": 5, "hats": 5}) + stock("b", {"shoes": 100})
     got = guardrails.cap_category(lists(spark, rows), 20).collect()
@@ -181,12 +183,13 @@ def test_features(spark):
         [(11, "a", 0.5, 0.1, 10.0, 13.0), (12, "a", 0.5, 0.1, 20.0, 14.0), (13, "a", 0.5, 0.1, 30.0, 0.0), (14, "z", 0.5, 0.1, 5.0, 99.0)],
         "article_id bigint, category_l1 string, popularity double, ctr double, avg_price double, days_since_first_seen double",
     )
-    stock = spark.createDataFrame([(i, [1.0, float(i)]) for i in (11, 12, 13, 14)], "article_id bigint, vector array<double>")
+    stock = spark.createDataFrame([(i, [1.0, float(i)]) for i in (11, 12, 13, 14, 16)], "article_id bigint, vector array<double>")
     users = spark.createDataFrame([("l", [1.0, 0.0])], "list_id string, user_vector array<double>")
     heads = spark.createDataFrame([("l", 1, 1.0, [0.0, 1.0])], "list_id string, intent_rank int, weight double, vector array<double>")
-    asked = spark.createDataFrame([("l", i) for i in (11, 12, 13, 14, 15)], "list_id string, article_id bigint")
+    asked = spark.createDataFrame([("l", i) for i in (11, 12, 13, 14, 15, 16)], "list_id string, article_id bigint")
     got = {r.article_id: r for r in features.build_features(asked, meta, stock, users, heads, session).collect()}
-    assert sorted(got) == [11, 12, 13, 14]
+    assert sorted(got) == [11, 12, 13, 14, 16]  # without a vector no row; without metadata the default one
+    assert (got[16].category_l1, got[16].item_popularity, got[16].days_since_first_seen) == ("unknown", 0.0, 9999.0)
     assert [got[i].price_percentile_in_category for i in (11, 12, 13, 14)] == [0.0, 0.5, 1.0, 0.5]
     assert [got[i].is_new_item for i in (11, 12)] == [1.0, 0.0]
     assert (got[11].two_tower_dot, got[11].intent_dot, got[11].category_match_count, got[11].session_length) == (1.0, 11.0, 2.0, 3.0)

@@ -1,6 +1,8 @@
 """Reports, compliance, streams, sources and the registry."""
 
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,16 +111,68 @@ def test_stream_sessions_over_many_batches(spark):
             part = events.filter((F.col("ts") >= F.lit(cut).cast("timestamp_ntz")) & (F.col("ts") < F.lit(upto).cast("timestamp_ntz")))
             part.coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(S.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    updates = S.update_to(S.session_state(S.with_defaults(S.typed(stream)), gap), "sessions", S.SESSION)
-    assert updates.select("batch_id").distinct().count() > 1
-    last = S.latest(updates.filter(~F.col("expired")), ["session_key"])
+    state = S.session_state(S.with_defaults(S.typed(stream)), gap)
+    last = S.update_to(state.filter(~F.col("expired")), "sessions", S.SESSION, ["session_key"])
     clicks = events.select("event_id", "user_id", "ts", F.get_json_object("props", "$.k").cast("bigint").alias("article_id"))
     tail = intents.current_sessions(clicks, gap).groupBy("user_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("age", "article_id"))), lambda e: e["article_id"]).alias("article_ids")
     )
     want = tail.select(F.concat(F.lit("sess:"), F.col("user_id")).alias("session_key"), "article_ids")
     assert session_rows(last) == session_rows(want)
-    assert updates.filter("expired").count() > 0
+    everything = S.update_to(state, "sessions", S.SESSION, ["session_key"])
+    assert everything.filter("expired").count() > 0
+
+
+def stream_of(spark, batches):
+    """A stream that reads each list of (minute, event_id, user_id) as a batch of its own."""
+    src, start = scratch_path(spark, "late-source"), dt.datetime(2024, 1, 1)
+    for rows in batches:
+        made = [(e, start + dt.timedelta(minutes=m), u, "click", 1.0, f'{{"k": {e}}}') for m, e, u in rows]
+        spark.createDataFrame(made, S.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)  # files are read in the order of their times
+    return spark.readStream.schema(S.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def test_late_event_joins_two_sessions(spark):
+    stream = stream_of(spark, [[(0, 1, 7)], [(35, 2, 7)], [(26, 3, 7)]])
+    state = S.session_state(S.with_defaults(S.typed(stream)), 1800)
+    (row,) = S.update_to(state.filter(~F.col("expired")), "late", S.SESSION, ["session_key"]).collect()
+    assert row.article_ids == [2, 3, 1] and row.events == 3
+
+
+def test_shuffled_arrival_inside_the_watermark_equals_the_batch_job(spark):
+    r = random.Random(2)
+    rows = [(r.randint(0, 2000), e, r.randint(1, 6)) for e in range(150)]
+    arrivals = sorted(rows, key=lambda x: x[0] + r.uniform(0, 9))  # at most nine minutes late
+    batches = [arrivals[i : i + 30] for i in range(0, 150, 30)]
+    state = S.session_state(S.with_defaults(S.typed(stream_of(spark, batches))), 1800)
+    last = S.update_to(state.filter(~F.col("expired")), "late", S.SESSION, ["session_key"])
+    got = {x.session_key: x.article_ids for x in last.collect()}
+    want = {}
+    for user in {u for _, _, u in rows}:
+        newest = sorted(((m, e) for m, e, u in rows if u == user), reverse=True)
+        kept = newest[:1]
+        for event in newest[1:20]:
+            if kept[-1][0] - event[0] > 30:
+                break
+            kept.append(event)
+        want[f"sess:{user}"] = [e for _, e in kept]
+    assert got == want
+
+
+def test_empty_stream_gives_no_rows(spark):
+    stream = stream_of(spark, [[]])
+    state = S.session_state(S.with_defaults(S.typed(stream)), 1800)
+    assert S.update_to(state, "none", S.SESSION, ["session_key"]).count() == 0
+
+
+def test_guests_have_keys_of_their_own(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, 5, "s1", at), (2, None, "s1", at), (3, None, "", at), (4, None, None, at)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, session_id string, ts timestamp_ntz")
+    filled = events.selectExpr("*", "1L AS article_id", "1.0D AS price", "'c' AS category_l1", "true AS discounted")
+    got = {r.event_id: r.session_key for r in S.with_defaults(filled).collect()}
+    assert got == {1: "sess:5", 2: "sess:s1", 3: "sess:anonymous", 4: "sess:anonymous"}
 
 
 def test_registry_and_names():

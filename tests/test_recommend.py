@@ -1,12 +1,14 @@
 """Co-visitation, evaluation, sequences, retrieval and merging on small known inputs."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from basketry.operators import candidates, covisit, evaluation, learning, retrieval, sequences, vocab
 from basketry.operators import items as I
+from basketry.operators.features import price_percentile
 
 TX = "customer_id string, article_id bigint, t_dat date"
 
@@ -23,6 +25,8 @@ def purchases(spark, rows):
     )
 
 
+# The purchases, scores and expected numbers of the tests up to test_metrics_without_eligible_users pin known
+# results of the same definitions.
 def test_covisit_window(spark):
     tx = purchases(spark, [("u1", 1, "01-01"), ("u1", 2, "01-02"), ("u1", 3, "01-11"), ("u2", 2, "01-01"), ("u2", 3, "01-03")])
     got = {(r.item, r.neighbour): r.cnt for r in covisit.covisit_counts(tx).collect()}
@@ -152,10 +156,69 @@ def test_hashed_top_k_finds_most(spark):
     stock = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(items)], "article_id bigint, vector array<double>")
     asked = stock.filter("article_id < 30").withColumnRenamed("article_id", "query_id")
     truth = retrieval.top_k(asked, stock, 10)
-    found = retrieval.top_k_hashed(asked, stock, 10, 16, n_tables=4, bits=4)
+    found = retrieval.top_k_hashed(asked, stock, 10, 16, rows_per_cell=25)
     assert retrieval.recall_against(found, truth).first().recall > 0.8
 
 
+def test_hashed_work_falls_with_the_catalogue(spark):
+    rng = np.random.RandomState(0)
+    shares = []
+    for n in (400, 6400):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 16)))], "article_id bigint, vector array<double>")
+        asked = rows.limit(50).withColumnRenamed("article_id", "query_id")
+        shares.append(retrieval.compared_share(asked, rows, 16, rows_per_cell=25).first().share_compared)
+    assert shares[1] < shares[0] / 4
+
+
+def test_search_plans_no_cartesian_product(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "article_id bigint, vector array<double>")
+    asked = rows.withColumnRenamed("article_id", "query_id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1024")
+    try:
+        for found in (retrieval.top_k(asked, rows, 3), retrieval.top_k_hashed(asked, rows, 3, 2)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_list_ids_may_hold_any_sign(spark):
+    intents = spark.createDataFrame(
+        [("a#1", 1, "x", 1.0, [1.0, 0.0]), ("a", 2, "y", 1.0, [0.0, 1.0])],
+        "list_id string, intent_rank int, label string, weight double, vector array<double>",
+    )
+    stock = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "article_id bigint, vector array<double>")
+    seen = spark.createDataFrame([("a#1", 2)], "list_id string, article_id bigint")
+    got = sorted((r.list_id, r.query_pos, r.article_id, r.label) for r in candidates.intent_results(intents, stock, seen, 2).collect())
+    assert got == [("a", 2, 1, "y"), ("a", 2, 2, "y"), ("a#1", 1, 1, "x")]
+
+
+def test_price_percentile_keeps_rows_with_nulls(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), (None, 3.0)], "kind string, price double")
+    got = sorted((str(r.kind), str(r.price), r.price_percentile) for r in price_percentile(rows, ["kind"]).collect())
+    assert got == [("None", "3.0", 0.5), ("a", "1.0", 0.0), ("a", "2.0", 1.0), ("a", "None", None)]
+
+
+def test_projected_vectors(spark):
+    rows = spark.createDataFrame([(1, "x", 1.0), (1, "y", 2.0), (2, "x", 5.0)], "article_id bigint, token string, weight double")
+    got = {r.article_id: r.vector for r in learning.projected(rows, "article_id", "token", "weight", 16).collect()}
+
+    def plain(pairs):
+        v = np.zeros(16)
+        for token, w in pairs:
+            h = hashlib.md5(token.encode()).hexdigest()
+            v[int(h[:8], 16) % 16] += w if int(h[8], 16) < 8 else -w
+        return v / np.linalg.norm(v)
+
+    assert np.allclose(got[1], plain([("x", 1), ("y", 2)])) and np.allclose(got[2], plain([("x", 5)]))
+
+
+def test_auc_counts_ties_half(spark):
+    rows = spark.createDataFrame([(0.1, 0), (0.5, 0), (0.5, 1), (0.9, 1)], "score double, click int")
+    assert np.isclose(learning.auc_of(rows, "score", ("click",))["click"], 0.875)
+
+
 def test_merge(spark):
     rows = [("l", 1, "a", 1, 0.9), ("l", 1, "a", 2, 0.5), ("l", 2, "b", 1, 0.95), ("l", 2, "b", 3, 0.7)]
     df = spark.createDataFrame(rows, "list_id string, query_pos int, label string, article_id bigint, score double")
