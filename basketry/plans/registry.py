@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,16 +116,22 @@ def remembered(name: str, sf_dir: str, make: Callable[[], object]):
     return held[name, sf_dir]
 
 
+@contextmanager
+def together() -> Iterator[None]:
+    """Queries run inside share what they have in common, as the parts of one query do."""
+    token = _RUN.set({}) if _RUN.get() is None else None
+    try:
+        yield
+    finally:
+        if token is not None:
+            _RUN.reset(token)
+
+
 def _in_one_run(fn: Query) -> Query:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if _RUN.get() is not None:
+        with together():
             return fn(spark, sf_dir)
-        token = _RUN.set({})
-        try:
-            return fn(spark, sf_dir)
-        finally:
-            _RUN.reset(token)
 
     return run
 
