@@ -13,7 +13,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from basketry.llm.bpe import Remembered, byte_letters
@@ -25,7 +25,9 @@ END_ID = 0
 LINEAR = 1.0
 QUADRATIC = 1.0 / 1024
 # Documents whose pieces are packed with one another: this many characters, or one longer document.
-POOL_CHARS = 4_000_000
+POOL_CHARS = 2_000_000
+# Words whose ids a task remembers.
+REMEMBERED = 250_000
 # Sequences of the lowest cost that are asked for room before a piece is cut.
 TRIES = 64
 
@@ -52,7 +54,7 @@ class ByteCoder:
         self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.unusual = re.compile(f"[^{KNOWN_LETTERS}]")
         self.borders = regex.compile(r"(?<=\S)(?= \S)")
-        self.words_seen = Remembered(self._ids)
+        self.words_seen = Remembered(self._ids, REMEMBERED)
 
     def _ids(self, word: str) -> list[int]:
         return self.ranked.encode_ordinary(word)
@@ -144,6 +146,7 @@ def pack_documents(
     length: int = SEQUENCE,
     carry: Sequence[str] | None = None,
     pool_chars: int = POOL_CHARS,
+    as_bytes: bool = False,
 ) -> DataFrame:
     """The columns `carry` of `docs` (all if not given) once per piece, with ids, start, doc_tokens, sequence_id and offset.
 
@@ -151,10 +154,12 @@ def pack_documents(
     its rows in pools of `pool_chars` characters as they come: nothing is shuffled, and a pool is all that a task holds.
     sequence_id joins the number of the partition and a count, so it repeats when a lost task runs again. Repeated rows are
     packed each. An empty table gives an empty result. Columns of these names are replaced.
+
+    ids is an array of int, or with `as_bytes` binary, as shards for training hold them: unsigned 32-bit, little-endian.
     """
     columns = list(docs.columns if carry is None else carry)
     rows = packed(docs, id_col, text_col, columns).select("_row", "_text")
-    made = {"ids": ArrayType(IntegerType()), "start": LongType(), "doc_tokens": LongType(), "sequence_id": LongType(), "offset": LongType()}
+    made = {"ids": BinaryType() if as_bytes else ArrayType(IntegerType()), "start": LongType(), "doc_tokens": LongType(), "sequence_id": LongType(), "offset": LongType()}
     schema = StructType([rows.schema["_row"], *[StructField(name, kind) for name, kind in made.items()]])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +171,13 @@ def pack_documents(
                 ids = [np.append(x, np.int32(END_ID)) for x in coder.encode(texts[first:stop])]
                 pieces = pack([len(x) for x in ids], length)
                 item, start, size, sequence, offset = np.array(pieces, np.int64).reshape(-1, 5).T
-                listed = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
-                    pa.array(np.concatenate([ids[i][a : a + n] for i, a, n in zip(item, start, size)])),
-                )
+                joined = np.concatenate([ids[i][a : a + n] for i, a, n in zip(item, start, size)])
+                bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                if as_bytes:
+                    raw = pa.py_buffer(joined.astype("<u4"))
+                    listed = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds * 4), raw])
+                else:
+                    listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(joined))
                 whole = np.array([len(x) for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(item + first)), listed, *[pa.array(x) for x in (start, whole[item], base + sequence, offset)]],

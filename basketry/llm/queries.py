@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from basketry.llm import bpe, hmm, line_dedup, neighbours, packing, quality, sharding, simhash, substring_dedup, toxicity
 from basketry.llm.common import LOWER, UPPER, table
@@ -117,20 +114,15 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    return pd.Series([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], dtype="int64")
-
-
 @query("op10_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"])
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"], as_bytes=True)
     return pieces.select(
         "doc_id",
         "start",
-        F.size("ids").cast("bigint").alias("length"),
-        ids_crc32("ids").alias("ids_crc32"),
+        (F.octet_length("ids") / 4).cast("bigint").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
         "doc_tokens",
         "sequence_id",
         "offset",
