@@ -51,7 +51,18 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
-@query("op2_substring_dedup")
+@query(
+    "op2_substring_dedup",
+    """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+        r AS (SELECT doc_id, i FROM s JOIN (SELECT w FROM s GROUP BY w HAVING count(*) > 1) USING (w)),
+        p AS (SELECT d.doc_id, k.i, d.ws[k.i] AS word, last_value(r.i IGNORE NULLS) OVER (PARTITION BY d.doc_id ORDER BY k.i) AS near
+              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) k JOIN d USING (doc_id)
+              LEFT JOIN r ON r.doc_id = k.doc_id AND r.i = k.i)
+        SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+          FROM (SELECT *, near IS NOT NULL AND i - near < 35 AS gone FROM p) GROUP BY doc_id) USING (doc_id)""",
+)
 def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.drop_repeated(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return kept.select("doc_id", "n_words", "n_removed", sha256(F.col("kept_text")).alias("kept_sha256"))
@@ -80,9 +91,32 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-@query("op7_quality_rules")
+@query(
+    "op7_quality_rules",
+    """WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (
+              SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n
+              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+        c AS (SELECT doc_id, sum(least(3, i - coalesce(before, i - 3)))::BIGINT AS n_repeat_words FROM (
+              SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g WHERE n > 1) GROUP BY 1),
+        m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+                coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+        f AS (SELECT *, base_failed OR word_chars / greatest(n_words, 1) < 2 OR word_chars / greatest(n_words, 1) > 20
+                OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * greatest(n_lines, 1) AS failed FROM b),
+        h AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INTEGER)::DOUBLE AS k FROM f GROUP BY 1),
+        o AS (SELECT sum(k) / sum(n) AS mean, coalesce(var_samp(k / n), 0) AS spread, avg(1 / n) AS inv, avg(n) AS size FROM h),
+        v AS (SELECT mean, greatest(CASE WHEN e > 0 THEN mean * (1 - mean) / e - 1 ELSE 1 END, 1) AS weight FROM (
+              SELECT mean, greatest(spread - mean * (1 - mean) * inv, mean * (1 - mean) / (size + 1)) AS e FROM o)),
+        q AS (SELECT source, greatest(mean * weight, 1e-6) + k AS a, greatest((1 - mean) * weight, 1e-6) + n - k AS z FROM h, v),
+        j AS (SELECT source, a / (a + z) - 2 * sqrt(a * z / ((a + z) * (a + z) * (a + z + 1))) > 0.9 AS rejected FROM q)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+        FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source""",
+)
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("host_rate")
 
 
 def _slots_in_sql() -> str:
