@@ -22,6 +22,8 @@ SEED = 7
 # size, a larger bucket becomes several tasks.
 BLOCK_ROWS = 32_768
 BLOCK_QUERIES = 4096
+# Where all rows are compared, a task holds this share of a block, so that a table of one block is not one task.
+WHOLE_PARTS = 16
 TABLE_BIT = 20
 
 
@@ -128,13 +130,30 @@ def _best(k: int):
     return best
 
 
-def _blocked(own: DataFrame, sizes: DataFrame, mine: str, other: str, key: str, block: int, other_block: int) -> DataFrame:
+def _blocked(own: DataFrame, sizes: DataFrame, place: list[str], mine: str, other: str, key: str, block: int, other_block: int) -> DataFrame:
     """Rows of a group of buckets dealt to blocks by hash, once for each block of the other side."""
     n, m = (F.ceil(F.col(c) / b) for c, b in ((f"n_{mine}", block), (f"n_{other}", other_block)))
-    met = own.join(sizes, ["dim", "bucket"])
+    met = own.join(sizes, place)
     return met.withColumn(mine, F.pmod(F.xxhash64(key), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), m - 1)))
 
 
+def _met(looks: DataFrame, index: DataFrame, place: list[str], k: int, block_rows: int, block_queries: int) -> DataFrame:
+    """(query, rep, score): the best k rows of each block for each query (codes, query, vector) that looks at it."""
+    sizes = index.groupBy(*place).agg(F.count(F.lit(1)).alias("n_row"))
+    sizes = durable(sizes.join(looks.groupBy(*place).agg(F.count(F.lit(1)).alias("n_query_block")), place))
+    keys = [*place, "row", "query_block"]
+    left = _blocked(looks, sizes, place, "query_block", "row", "query", block_queries, block_rows).select(*keys, "codes", "query", "vector")
+    right = _blocked(index, sizes, place, "row", "query_block", "rep", block_rows, block_queries).select(*keys, "code", "rep", "vector")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k), "query bigint, rep bigint, score double")
+
+
+def _met_whole(queries: DataFrame, rows: DataFrame, k: int, block_rows: int, block_queries: int) -> DataFrame:
+    """The same for queries (dim, query, vector) and all rows (dim, rep, vector) of their length."""
+    code = F.lit(0).cast("bigint")
+    looks = queries.select("dim", F.array(code).alias("codes"), "query", "vector")
+    return _met(looks, rows.select("dim", code.alias("code"), "rep", "vector"), ["dim"], k, block_rows, block_queries)
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -150,8 +169,9 @@ def search(
 
     A row is never its own neighbour (rows are told apart by id; further rows of an id are dropped). Vectors that are null,
     empty, zero or hold null or non-finite components take no part; vectors of another length than the query's are not
-    compared. Fewer rows than `k` are all returned if found; ties go to the smaller id. Every row is in every table; a
-    query looks at its `probes` nearest axes in each and compares all rows there, whole.
+    compared. Where there are fewer rows than `k`, all are returned; ties go to the smaller id. Every row is in every table;
+    a query looks at its `probes` nearest axes in each and compares all rows there, whole. Rows of a length of vector that
+    has no more than `block_rows` are all compared, and so are all rows for a query that met too few to fill its list.
 
     Equal vectors are indexed once, as their smallest id. Of each, the smallest k + 1 ids can be among a query's k nearest,
     so these are kept as its members; equal queries are asked once. Small buckets of a table share a task and large ones are
@@ -173,13 +193,14 @@ def search(
         grouped.select(F.get("members", F.lit(0)).alias("rep"), F.size("vector").alias("dim"), "vector", "members")
     )
     asking = durable(clean(queries))
-    asked = asking.groupBy("vector").agg(F.min("id").alias("query")).withColumn("dim", F.size("vector"))
+    asked = durable(asking.groupBy("vector").agg(F.min("id").alias("query")).withColumn("dim", F.size("vector")))
 
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     n_axes = (2 * F.pow(F.lit(2), F.length(F.bin("dim")))).cast("bigint")
     sides = distinct.groupBy("dim").agg((F.max(norm) * (1 + 1e-9)).alias("largest"), F.count(F.lit(1)).alias("n"))
     groups = F.least(n_axes, F.ceil(F.col("n") / block_rows)).cast("bigint")
-    sides = durable(sides.select("dim", "largest", n_axes.alias("axes"), groups.alias("groups")))
+    hashed = (F.col("n") > block_rows).alias("hashed")
+    sides = durable(sides.select("dim", "largest", n_axes.alias("axes"), groups.alias("groups"), hashed))
 
     def bucket(look: Column) -> Column:
         """Table, and which group of its axes."""
@@ -187,23 +208,30 @@ def search(
         axis = look.bitwiseAND(F.lit((1 << TABLE_BIT) - 1).cast("bigint"))
         return F.shiftleft(table, TABLE_BIT) + F.floor(axis * F.col("groups") / F.col("axes"))
 
-    index = distinct.join(sides, "dim").withColumn("code", F.explode(_hasher(tables, 1, False, SEED)("vector", "largest")))
+    index = distinct.join(sides.filter("hashed"), "dim").withColumn("code", F.explode(_hasher(tables, 1, False, SEED)("vector", "largest")))
     index = durable(index.select("dim", bucket(F.col("code")).alias("bucket"), "code", "rep", "vector"))
-    looks = asked.join(sides, "dim").withColumn("looks", _hasher(tables, probes, True, SEED)("vector", "largest"))
+    looks = asked.join(sides.filter("hashed"), "dim").withColumn("looks", _hasher(tables, probes, True, SEED)("vector", "largest"))
     looks = looks.withColumn("bucket", F.explode(F.array_distinct(F.transform("looks", bucket))))
     looks = looks.withColumn("codes", F.filter("looks", lambda c: bucket(c) == F.col("bucket")))
     looks = durable(looks.select("dim", "bucket", "codes", "query", "vector"))
-    sizes = index.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n_row"))
-    sizes = durable(sizes.join(looks.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n_query_block")), ["dim", "bucket"]))
-
-    keys = ["dim", "bucket", "row", "query_block"]
-    left = _blocked(looks, sizes, "query_block", "row", "query", block_queries, 2 * block_rows).select(*keys, "codes", "query", "vector")
-    right = _blocked(index, sizes, "row", "query_block", "rep", 2 * block_rows, block_queries).select(*keys, "code", "rep", "vector")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k + 1), "query bigint, rep bigint, score double")
+    met = _met(looks, index, ["dim", "bucket"], k + 1, 2 * block_rows, block_queries)
+    whole = sides.filter(~F.col("hashed")).select("dim")
+    part = max(1, block_rows // WHOLE_PARTS)
+    met = met.union(_met_whole(asked.join(whole, "dim"), distinct.join(whole, "dim"), k + 1, part, block_queries))
 
     order = W.partitionBy("query").orderBy(F.desc("score"), F.asc("rep"))
-    found = met.dropDuplicates(["query", "rep"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
-    found = durable(found.select(F.col("query").alias("asked"), "rep", "score"))
+
+    def best_met(met: DataFrame) -> DataFrame:
+        return met.dropDuplicates(["query", "rep"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).drop("nth")
+
+    met = durable(best_met(met))
+    # A query itself may be among the rows that it met.
+    enough = met.join(distinct.select("rep", F.size("members").alias("n")), "rep").groupBy("query").agg(F.sum("n").alias("n"))
+    enough = enough.filter(F.col("n") > k).select("query")
+    rest = sides.filter("hashed").select("dim")
+    short = durable(asked.join(rest, "dim").join(enough, "query", "left_anti"))
+    met = met.union(_met_whole(short, distinct.join(rest, "dim"), k + 1, 2 * block_rows, block_queries))
+    found = durable(best_met(met).select(F.col("query").alias("asked"), "rep", "score"))
     members = found.join(distinct.select("rep", "members"), "rep").select("asked", "score", F.explode("members").alias("vec_id"))
     # Equal queries have equal candidates; of k + 1, no more than the query itself falls away.
     best = W.partitionBy("asked").orderBy(F.desc("score"), F.asc("vec_id"))

@@ -168,6 +168,16 @@ def test_neighbours_against_all(spark):
     assert neighbours.search(frame.limit(0), asked).count() == 0
 
 
+def test_short_lists_are_filled(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").limit(21).collect()
+    for n in (1, 10, 21):
+        frame = spark.createDataFrame([(r["vec_id"], r["embedding"]) for r in table[:n]], "vec_id bigint, embedding array<float>")
+        for block_rows in {neighbours.BLOCK_ROWS, 12 if n > 12 else neighbours.BLOCK_ROWS}:  # all compared at once, and by hash first
+            found = neighbours.search(frame, frame, block_rows=block_rows).collect()
+            assert Counter(r["query_id"] for r in found) == {r["vec_id"]: n - 1 for r in table[: n if n > 1 else 0]}
+            assert all(r["query_id"] != r["vec_id"] for r in found) and len({r[:2] for r in found}) == len(found)
+
+
 def test_neighbours_recall_on_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
     x = np.array([r["embedding"] for r in table], np.float64)
