@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ BLOCK_ROWS = 32_768
 BLOCK_QUERIES = 4096
 # Where all rows are compared, a task holds this share of a block, so that a table of one block is not one task.
 WHOLE_PARTS = 16
+# Rows whose lengths differ by less than this factor are hashed with one another.
+BAND = 1.25
 TABLE_BIT = 20
 
 
@@ -60,7 +64,7 @@ def axes(x: np.ndarray, table: int, probes: int, seed: int = SEED) -> np.ndarray
 def lifted(vectors: np.ndarray, largest: np.ndarray, as_query: bool) -> np.ndarray:
     """Unit vectors whose angles order rows as their inner products with the query do, padded to a power of two.
 
-    A row is scaled by the largest length of all and gets one more component that makes its length 1; a query gets 0 there.
+    A row is scaled by the largest length of its band and gets one more component that makes its length 1; a query gets 0 there.
     """
     n, dim = vectors.shape
     out = np.zeros((n, 1 << dim.bit_length()))
@@ -164,14 +168,17 @@ def search(
     probes: int = PROBES,
     block_rows: int = BLOCK_ROWS,
     block_queries: int = BLOCK_QUERIES,
+    band: float = BAND,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` rows of the largest inner product found for each row of `queries`.
 
     A row is never its own neighbour (rows are told apart by id; further rows of an id are dropped). Vectors that are null,
     empty, zero or hold null or non-finite components take no part; vectors of another length than the query's are not
     compared. Where there are fewer rows than `k`, all are returned; ties go to the smaller id. Every row is in every table;
-    a query looks at its `probes` nearest axes in each and compares all rows there, whole. Rows of a length of vector that
-    has no more than `block_rows` are all compared, and so are all rows for a query that met too few to fill its list.
+    a query looks at its `probes` nearest axes in each and compares all rows there, whole. Tables are kept for each band of
+    Euclidean lengths (a factor of `band`), so that long vectors do not push short ones together; a query looks in all of
+    them. Rows of a band that has no more than `block_rows` are all compared, and so are all rows for a query that met too
+    few to fill its list.
 
     Equal vectors are indexed once, as their smallest id. Of each, the smallest k + 1 ids can be among a query's k nearest,
     so these are kept as its members; equal queries are asked once. Small buckets of a table share a task and large ones are
@@ -189,18 +196,19 @@ def search(
     place = W.partitionBy("vector").orderBy("id")
     rows = clean(vectors).withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k + 1)
     grouped = rows.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    distinct = durable(
-        grouped.select(F.get("members", F.lit(0)).alias("rep"), F.size("vector").alias("dim"), "vector", "members")
-    )
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    # The middle of a band, not its edge, is at length 1, where scaled vectors are.
+    steps = F.log(F.greatest(F.lit(sys.float_info.min), F.least(F.col("norm"), F.lit(sys.float_info.max)))) / math.log(band)
+    distinct = grouped.select(F.get("members", F.lit(0)).alias("rep"), F.size("vector").alias("dim"), "vector", "members", norm.alias("norm"))
+    distinct = durable(distinct.withColumn("band", F.floor(steps + 0.5)))
     asking = durable(clean(queries))
     asked = durable(asking.groupBy("vector").agg(F.min("id").alias("query")).withColumn("dim", F.size("vector")))
 
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     n_axes = (2 * F.pow(F.lit(2), F.length(F.bin("dim")))).cast("bigint")
-    sides = distinct.groupBy("dim").agg((F.max(norm) * (1 + 1e-9)).alias("largest"), F.count(F.lit(1)).alias("n"))
+    sides = distinct.groupBy("dim", "band").agg((F.max("norm") * (1 + 1e-9)).alias("largest"), F.count(F.lit(1)).alias("n"))
     groups = F.least(n_axes, F.ceil(F.col("n") / block_rows)).cast("bigint")
     hashed = (F.col("n") > block_rows).alias("hashed")
-    sides = durable(sides.select("dim", "largest", n_axes.alias("axes"), groups.alias("groups"), hashed))
+    sides = durable(sides.select("dim", "band", "largest", n_axes.alias("axes"), groups.alias("groups"), hashed))
 
     def bucket(look: Column) -> Column:
         """Table, and which group of its axes."""
@@ -208,16 +216,16 @@ def search(
         axis = look.bitwiseAND(F.lit((1 << TABLE_BIT) - 1).cast("bigint"))
         return F.shiftleft(table, TABLE_BIT) + F.floor(axis * F.col("groups") / F.col("axes"))
 
-    index = distinct.join(sides.filter("hashed"), "dim").withColumn("code", F.explode(_hasher(tables, 1, False, SEED)("vector", "largest")))
-    index = durable(index.select("dim", bucket(F.col("code")).alias("bucket"), "code", "rep", "vector"))
+    index = distinct.join(sides.filter("hashed"), ["dim", "band"]).withColumn("code", F.explode(_hasher(tables, 1, False, SEED)("vector", "largest")))
+    index = durable(index.select("dim", "band", bucket(F.col("code")).alias("bucket"), "code", "rep", "vector"))
     looks = asked.join(sides.filter("hashed"), "dim").withColumn("looks", _hasher(tables, probes, True, SEED)("vector", "largest"))
     looks = looks.withColumn("bucket", F.explode(F.array_distinct(F.transform("looks", bucket))))
     looks = looks.withColumn("codes", F.filter("looks", lambda c: bucket(c) == F.col("bucket")))
-    looks = durable(looks.select("dim", "bucket", "codes", "query", "vector"))
-    met = _met(looks, index, ["dim", "bucket"], k + 1, 2 * block_rows, block_queries)
-    whole = sides.filter(~F.col("hashed")).select("dim")
+    looks = durable(looks.select("dim", "band", "bucket", "codes", "query", "vector"))
+    met = _met(looks, index, ["dim", "band", "bucket"], k + 1, 2 * block_rows, block_queries)
+    whole, rest = sides.filter(~F.col("hashed")).select("dim", "band"), sides.filter("hashed").select("dim", "band")
     part = max(1, block_rows // WHOLE_PARTS)
-    met = met.union(_met_whole(asked.join(whole, "dim"), distinct.join(whole, "dim"), k + 1, part, block_queries))
+    met = met.union(_met_whole(asked.join(whole.select("dim").distinct(), "dim"), distinct.join(whole, ["dim", "band"]), k + 1, part, block_queries))
 
     order = W.partitionBy("query").orderBy(F.desc("score"), F.asc("rep"))
 
@@ -228,9 +236,8 @@ def search(
     # A query itself may be among the rows that it met.
     enough = met.join(distinct.select("rep", F.size("members").alias("n")), "rep").groupBy("query").agg(F.sum("n").alias("n"))
     enough = enough.filter(F.col("n") > k).select("query")
-    rest = sides.filter("hashed").select("dim")
-    short = durable(asked.join(rest, "dim").join(enough, "query", "left_anti"))
-    met = met.union(_met_whole(short, distinct.join(rest, "dim"), k + 1, 2 * block_rows, block_queries))
+    short = durable(asked.join(rest.select("dim").distinct(), "dim").join(enough, "query", "left_anti"))
+    met = met.union(_met_whole(short, distinct.join(rest, ["dim", "band"]), k + 1, 2 * block_rows, block_queries))
     found = durable(best_met(met).select(F.col("query").alias("asked"), "rep", "score"))
     members = found.join(distinct.select("rep", "members"), "rep").select("asked", "score", F.explode("members").alias("vec_id"))
     # Equal queries have equal candidates; of k + 1, no more than the query itself falls away.

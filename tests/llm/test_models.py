@@ -178,6 +178,21 @@ def test_short_lists_are_filled(spark):
             assert all(r["query_id"] != r["vec_id"] for r in found) and len({r[:2] for r in found}) == len(found)
 
 
+def test_recall_beside_a_few_very_long_vectors(spark):
+    x = np.random.RandomState(5).normal(size=(1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::400] *= 5
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    found = neighbours.search(frame, frame.filter("vec_id % 20 = 7"), block_rows=400).collect()
+    hits = 0
+    for q in range(7, 1200, 20):
+        want = [i for i in np.argsort(-(x @ x[q])) if i != q][:20]
+        got = {r["vec_id"] for r in found if r["query_id"] == q}
+        assert len(got) == 20
+        hits += len(got & set(want))
+    assert hits / 1200 >= 0.9
+
+
 def test_neighbours_recall_on_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
     x = np.array([r["embedding"] for r in table], np.float64)
