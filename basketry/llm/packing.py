@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -28,8 +29,6 @@ QUADRATIC = 1.0 / 1024
 POOL_CHARS = 2_000_000
 # Words whose ids a task remembers.
 REMEMBERED = 250_000
-# Sequences of the lowest cost that are asked for room before a piece is cut.
-TRIES = 64
 
 # Fixed value: how the byte-level vocabulary splits text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -83,7 +82,8 @@ def pack(sizes: Sequence[int], length: int = SEQUENCE, linear: float = LINEAR, q
     """Pieces (item, start, size, sequence, offset) of items of the given sizes.
 
     Items are taken from the longest down. What fills whole sequences by itself is cut off first; the rest goes to the
-    sequence of the lowest cost among those with room for it. Where none has, it is cut over the emptiest ones. There are
+    sequence of the lowest cost among all with room for it. Only where none has, it is cut: the cheapest with any room is
+    filled up and what is left looks for room again. There are
     as many sequences as the tokens fill; the tokens left over make sequences of falling powers of two, which need no
     padding either.
     """
@@ -104,37 +104,51 @@ def pack(sizes: Sequence[int], length: int = SEQUENCE, linear: float = LINEAR, q
         room.append(1 << (left.bit_length() - 1))
         left -= room[-1]
     used, spent = [0] * len(room), [0.0] * len(room)
-    by_cost = [(0.0, s) for s in range(len(room))]
-    heapq.heapify(by_cost)
+    # (cost, sequence) heaps by the room left, and a tree of their least entries over ranges of room.
+    none, width = (math.inf, -1), 1 << length.bit_length()
+    by_room = [[] for _ in range(length + 1)]
+    least = [none] * (2 * width)
+
+    def renew(size: int) -> None:
+        at = width + size
+        least[at] = by_room[size][0] if by_room[size] else none
+        while at > 1:
+            at >>= 1
+            least[at] = min(least[2 * at], least[2 * at + 1])
+
+    def cheapest(size: int) -> int:
+        """The sequence of the lowest cost, then the first, of all that have room for `size`; -1 if none has."""
+        found, low, high = none, width + size, 2 * width
+        while low < high:
+            if low & 1:
+                found = min(found, least[low])
+                low += 1
+            low, high = low >> 1, high >> 1
+        return found[1]
 
     def put(s: int, item: int, start: int, size: int) -> None:
         out.append((item, start, size, n + s, used[s]))
+        left = room[s] - used[s]
+        heapq.heappop(by_room[left])  # a cheapest sequence is the least of its heap
+        renew(left)
         used[s] += size
         spent[s] += cost(size, linear, quadratic)
-
+        if left > size:
+            heapq.heappush(by_room[left - size], (spent[s], s))
+            renew(left - size)
+
+    for s, size in enumerate(room):
+        by_room[size].append((0.0, s))
+    for size in set(room):
+        renew(size)
     for size, item, start in rests:
-        aside = []
-        while by_cost:
-            spent_then, s = heapq.heappop(by_cost)
-            if room[s] - used[s] >= size:
-                put(s, item, start, size)
-                if room[s] > used[s]:
-                    heapq.heappush(by_cost, (spent[s], s))
-                size = 0
-                break
-            aside.append((spent_then, s))
-            if len(aside) >= TRIES:
-                break
-        # What was passed over has the lowest cost; a piece that fits none of it is cut over the first of it.
         while size:
-            _, s = aside.pop(0) if aside else heapq.heappop(by_cost)
+            s = cheapest(size)
+            if s < 0:
+                s = cheapest(1)
             some = min(size, room[s] - used[s])
             put(s, item, start, some)
             start, size = start + some, size - some
-            if room[s] > used[s]:
-                aside.append((spent[s], s))
-        for entry in aside:
-            heapq.heappush(by_cost, entry)
     return out
 
 

@@ -123,6 +123,27 @@ def test_cheapest_sequence_takes_the_next_longest():
     assert at[0] != at[1]  # the second goes to the sequence that has cost nothing yet
 
 
+def test_no_piece_is_cut_while_a_sequence_has_room():
+    r = random.Random(2)
+    for median in (60, 150, 400):
+        sizes = [max(1, round(r.lognormvariate(math.log(median), 1))) for _ in range(240_000 // median)]
+        pieces = [p for p in packing.pack(sizes, 1024) if p[2] < 1024]
+        room = {}
+        for _, _, size, sequence, _ in pieces:
+            room[sequence] = room.get(sequence, 0) + size
+        costs = dict.fromkeys(sorted(room), 0.0)
+        assert len(room) > 64
+        ends = {}
+        for item, start, size, sequence, _ in pieces:
+            rest = sizes[item] - start
+            open_to = [s for s in costs if room[s] >= rest] or [s for s in costs if room[s]]
+            assert sequence == min(open_to, key=lambda s: (costs[s], s)) and size == min(rest, room[sequence])
+            assert start == ends.get(item, sizes[item] // 1024 * 1024)
+            ends[item] = start + size
+            room[sequence] -= size
+            costs[sequence] += packing.cost(size)
+
+
 def test_packed_query(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None), (2, ""), (None, "x " * 3000), (1, "a b c")], "doc_id bigint, text string")
     theirs = Tokenizer.from_file(BYTES_FILE)
