@@ -441,14 +441,19 @@ def checked_ranks(found, allowed):
     return rows.select("user_id", "rank", F.coalesce("_in", F.lit(False)).alias("retrieved"), ordered.alias("in_order"))
 
 
+@query("K4_retrieve_then_rank")
+def k4(spark, sf):
+    return retrieve_then_rank(spark, sf)[0].select("user_id", "article_id", "score", "rank")
+
+
 # The order depends on fitted trees; what must hold of every list is compared.
 @query(
-    "K4_retrieve_then_rank",
+    "K4_ranked_rules",
     """SELECT user_id, unnest(range(1, least(20, n) + 1))::INTEGER AS rank, true AS retrieved, true AS in_order FROM (
          SELECT user_id, count(*) AS n FROM retrieved GROUP BY 1)""",
     "retrieved",
 )
-def k4(spark, sf):
+def k4_rules(spark, sf):
     ranked, found = retrieve_then_rank(spark, sf)
     return checked_ranks(ranked, found.withColumnRenamed("list_id", "user_id"))
 
@@ -502,23 +507,34 @@ view(
 )
 
 
-# As above: the fitted order is beyond SQL, the places of each list and the rules that its items keep are not.
-@query("K10_feed_ranked", places_sql("feed_ranked_left", 20), "feed_ranked_left")
+@query("K10_feed_ranked")
 def k10_ranked(spark, sf):
-    items = feed_of(spark, sf, fitted(spark, sf)[0])["items"].select("list_id", "article_id", "position")
+    items = feed_of(spark, sf, fitted(spark, sf)[0])["items"]
+    return items.select("list_id", "article_id", "score", "position", "intent", "reason_code")
+
+
+# As above: the fitted order is beyond SQL, the places of each list and the rules that its items keep are not.
+@query("K10_ranked_rules", places_sql("feed_ranked_left", 20), "feed_ranked_left")
+def k10_rules(spark, sf):
+    items = k10_ranked(spark, sf).select("list_id", "article_id", "position")
     seen = sessions(spark, sf).select("list_id", "article_id")
     return checked_lists(items, contexts(spark, sf), catalogue_of(spark, sf), seen)
 
 
-@query("K9_search_ranked", places_sql("search_named", 20).replace("list_id,", "list_id AS query,", 1), "search_named")
+@query("K9_search_ranked")
 def k9_ranked(spark, sf):
     cat = catalogue_of(spark, sf)
     middles = durable(I.category_centroids(cat.stock, cat.vectors))
     models, _ = fitted(spark, sf)
     items = surfaces.search(T.search_queries(spark, sf), middles, I.global_centroid(cat.vectors), cat, 20, models)["items"]
-    listed = durable(items.select(F.col("query").alias("list_id"), "article_id", "position"))
+    return items.select("query", "article_id", "score", "position", "reason_text")
+
+
+@query("K9_ranked_rules", places_sql("search_named", 20).replace("list_id,", "list_id AS query,", 1), "search_named")
+def k9_rules(spark, sf):
+    listed = durable(k9_ranked(spark, sf).select(F.col("query").alias("list_id"), "article_id", "position"))
     lists = listed.select("list_id", F.lit(UNKNOWN).alias("age_band")).distinct()
-    return checked_lists(listed, lists, cat).withColumnRenamed("list_id", "query")
+    return checked_lists(listed, lists, catalogue_of(spark, sf)).withColumnRenamed("list_id", "query")
 
 
 # ---- streams --------------------------------------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """Results of the fitted rankers, which SQL cannot check."""
 
+from collections import defaultdict
+
 from basketry.operators import learning
 from basketry.plans import catalogue
-from basketry.plans.models_and_streams import fitted
+from basketry.plans.models_and_streams import fitted, retrieve_then_rank
 from basketry.plans.registry import together
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,3 +29,28 @@ def test_probabilities_and_auc_of_all_validation_rows(spark):
         assert all(0 <= r[f"p_{o}"] <= 1 for r in scored) and judged[o]["trees"] >= 1
         rows = [(r[f"p_{o}"], by_pair[r["list_id"], r["article_id"]][o]) for r in scored]
         assert abs(judged[o]["auc"] - auc(rows)) < 0.005  # probabilities are rounded
+
+
+def test_ranked_lists_hold_their_items(spark):
+    queries = catalogue.queries()
+    with together():
+        ranked = queries["K4_retrieve_then_rank"](spark, SMALL).collect()
+        allowed = {tuple(r) for r in retrieve_then_rank(spark, SMALL)[1].select("list_id", "article_id").collect()}
+        found = queries["K9_search_ranked"](spark, SMALL).collect()
+        feed = queries["K10_feed_ranked"](spark, SMALL).collect()
+        rules = [r for name in ("K9_ranked_rules", "K10_ranked_rules") for r in queries[name](spark, SMALL).collect()]
+    assert rules and all(r["allowed"] and r["within_share"] for r in rules)
+    assert {(r["user_id"], r["article_id"]) for r in ranked} <= allowed
+    assert all(r["reason_text"] for r in found) and all(r["reason_code"] for r in feed)
+    for rows, key, place, first in ((ranked, "user_id", "rank", 1), (found, "query", "position", 0), (feed, "list_id", "position", 0)):
+        lists = defaultdict(list)
+        for r in rows:
+            lists[r[key]].append(r)
+        assert lists
+        for held in lists.values():
+            held.sort(key=lambda r: r[place])
+            assert [r[place] for r in held] == list(range(first, first + len(held)))
+            assert len({r["article_id"] for r in held}) == len(held)
+            if place == "rank":
+                order = [(-r["score"], r["article_id"]) for r in held]
+                assert order == sorted(order)
