@@ -176,3 +176,18 @@ class Words:
             out[first:last] = np.add.reduceat(terms, before) + some.astype(np.uint64)
             first = last
         return mixed(out)
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of `counts` (n) met at least so often that no more than `most` are. How often is read off a histogram of
+    counts in steps of a sixteenth of an octave, which is small whatever the corpus; no task sorts, and only these rows come
+    to the driver."""
+    step = F.floor(F.log2("n") * 16)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"))
+    held, least = 0, None
+    for row in sorted(sizes.collect(), key=lambda r: -r["step"]):
+        held += row["words"]
+        if held > most:
+            break
+        least = row["step"]
+    return counts.filter(F.lit(False) if least is None else step >= least)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import Words, column, crc_of_id, packed, slices, unpacked
+from basketry.llm.common import frequent as common_words
 from basketry.session import durable
 
 STATES = 8
@@ -51,20 +52,6 @@ def _count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"word": word, "kind": kinds[at], "n": n})
 
 
-def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words met at least so often that no more than `most` are. How often is read off a histogram of counts in steps of
-    a sixteenth of an octave, which is small whatever the corpus; no task sorts, and only these words come to the driver."""
-    step = F.floor(F.log2("n") * 16)
-    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"))
-    held, least = 0, None
-    for row in sorted(sizes.collect(), key=lambda r: -r["step"]):
-        held += row["words"]
-        if held > most:
-            break
-        least = row["step"]
-    return counts.filter(F.lit(False) if least is None else step >= least)
-
-
 class Vocabulary:
     """What every task needs of the counts; its size does not depend on the corpus."""
 
@@ -241,7 +228,7 @@ def score_documents(
     learned = rows.filter(~F.col("_held")).select("_text")
     counts = learned.mapInPandas(_count, "word bigint, kind int, n bigint").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
     counts = durable(counts)
-    frequent = _frequent(counts, held_counts).toPandas()
+    frequent = common_words(counts, held_counts).toPandas()
     ends = counts.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
     kinds = counts.groupBy(F.when(F.col("word") == END, -1).otherwise(F.col("kind")).alias("kind"))
     kinds = kinds.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).toPandas()

@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, hmm, line_dedup, neighbours, packing, quality, sharding, simhash, substring_dedup, toxicity
+from basketry.llm import (
+    alignment,
+    bpe,
+    hard_negatives,
+    hmm,
+    language,
+    line_dedup,
+    neighbours,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from basketry.llm.common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +175,35 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+@query(
+    "op11_hard_negatives",
+    """WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+              list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+              FROM r a JOIN r b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 50 = 0),
+        p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+          n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score
+        QUALIFY rank <= 3""",
+)
+def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_cross_tokenizer")
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(sha256(F.col("groups")))
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, *files, carry=["doc_id"], outputs=["groups"], digests={"groups_sha256": digest})
+
+
+@query("op13_language")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), carry=["doc_id"])

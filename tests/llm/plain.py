@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 import string
 import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -94,3 +96,108 @@ def measures(text):
 
 def ids_crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def hard_negatives(rows, is_anchor, positives=5, negatives=3, floor=50, ceiling=95):
+    held = {i: (label, [math.floor(256 * x) for x in v]) for i, v, label in rows}
+    out = []
+    for a in sorted(held):
+        if not is_anchor(a):
+            continue
+        label, mine = held[a]
+        score = {i: sum(x * y for x, y in zip(mine, v)) for i, (_, v) in held.items() if i != a and len(v) == len(mine)}
+        order = sorted(score, key=lambda i: (-score[i], i))
+        for p in [i for i in order if held[i][0] == label][:positives]:
+            inside = [i for i in order if held[i][0] != label and floor * score[p] <= 100 * score[i] <= ceiling * score[p]]
+            out += [(a, p, k + 1, n, score[p], score[n]) for k, n in enumerate(inside[:negatives])]
+    return sorted(out)
+
+
+def overlaps(a_sizes, b_sizes):
+    ranges = lambda sizes: [(sum(sizes[:i]), sum(sizes[: i + 1])) for i in range(len(sizes))]
+    return {(i, k) for i, (s, e) in enumerate(ranges(a_sizes)) for k, (t, f) in enumerate(ranges(b_sizes)) if max(s, t) < min(e, f)}
+
+
+def aligned(texts, a_coder, b_coder):
+    letters = {c: b for b, c in byte_letters().items()}
+    a_bytes = lambda i: bytes(letters[c] for c in a_coder.id_to_token(i)) if i != 50256 else b"<|endoftext|>"
+
+    def b_bytes(i):
+        piece = b_coder.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if b_coder.is_byte(i) else piece.replace("▁", " ").encode()
+
+    found = []
+    for text in texts:
+        a = a_coder.encode(" " + (text or ""), add_special_tokens=False).ids
+        b = b_coder.encode(text or "")
+        a_parts, b_parts, whole = [a_bytes(i) for i in a], [b_bytes(i) for i in b], b" " + (text or "").encode()
+        if not text or b"".join(a_parts) != whole or b"".join(b_parts) != whole:
+            found.append(([], [], [], []))
+            continue
+        groups, links, i, k, at, bt, g = [], [], 0, 0, 0, 0, ([], [])
+        while i < len(a):  # both lists side by side; the one that is behind goes on
+            links.append((a[i], b[k]))
+            a_end, b_end = at + len(a_parts[i]), bt + len(b_parts[k])
+            if a_end <= b_end:
+                g[0].append(a[i])
+            if b_end <= a_end:
+                g[1].append(b[k])
+            if a_end == b_end:
+                groups.append(g)
+                g = ([], [])
+            if a_end <= b_end:
+                i, at = i + 1, a_end
+            if b_end <= a_end:
+                k, bt = k + 1, b_end
+        found.append((a, b, groups, links))
+    count = Counter(x for f in found for x in f[3])
+    best = defaultdict(int)
+    for (_, b), n in count.items():
+        best[b] = max(best[b], n)
+    return [
+        {
+            "n_a": len(a),
+            "n_b": len(b),
+            "n_groups": len(groups),
+            "n_links": len(links),
+            "n_best": sum(count[x] == best[x[1]] for x in links),
+            "count_sum": sum(count[x] for x in links),
+            "groups": ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups),
+        }
+        for a, b, groups, links in found
+    ]
+
+
+def byte_letters():
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def grams(text, letters, longest):
+    """Grams that hold a letter; other letters than `letters` are one kind, a run of anything else is a blank."""
+    signs = "".join(" " if not c.isalpha() else c.lower()[0] if c.lower()[0] in letters else "\1" for c in text)
+    signs = " " + " ".join(signs.split(" ")) + " "
+    signs = re.sub(" +", " ", signs)
+    return {signs[i : i + n] for n in range(1, longest + 1) for i in range(len(signs) - n + 1)} - {" "}
+
+
+def shared_grams(a, b):
+    return len(a & b) / math.sqrt(max(1, len(a)) * max(1, len(b)))
+
+
+def ridge(near, names, languages, between, penalty, asked):
+    """Kernel ridge regression in the landmarks' space, every language weighing the same, by the dual of the features."""
+    weights, directions = np.linalg.eigh(between)
+    kept = weights > 1e-6 * weights.max()
+    root = directions[:, kept] @ np.diag(weights[kept] ** -0.5)
+    f = np.hstack([near @ root, np.ones((len(near), 1))])
+    n = Counter(names)
+    share = np.array([1 / n[x] / len(n) for x in names])
+    gram = f @ f.T
+    out = []
+    for lang in languages:
+        y = np.array([1.0 if x == lang else -1.0 for x in names])
+        out.append(np.hstack([asked @ root, np.ones((len(asked), 1))]) @ f.T @ np.linalg.solve(gram + penalty * np.diag(1 / share), y))
+    return np.array(out).T
