@@ -18,7 +18,7 @@ UNDETERMINED = "und"
 # Grams of 1 to this many characters.
 LONGEST = 3
 # Bounds of the fit: training texts of each language, and how many of these are landmarks.
-FITTED = 1024
+FITTED = 1000
 LANDMARKS = 48
 RIDGE = 1e-3
 # Of the landmarks' kernel matrix, directions with less than this share of the largest one's weight are left out.
@@ -201,15 +201,18 @@ def train(
 ) -> Classifier | None:
     """Fit on `labelled` (_id, _h, _text, _lang): of each language the `fitted` texts that come first by a hash of id and
     text, of these the first `landmarks` as landmarks. None where no row has a language and a letter."""
-    order = [F.xxhash64("_id", "_h"), F.col("_id"), F.col("_h")]
-    keys = labelled.select("_id", "_h", "_lang").withColumn("_nth", F.row_number().over(W.partitionBy("_lang").orderBy(*order)))
-    keys = keys.filter(F.col("_nth") <= fitted).select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), F.col("_lang").alias("_lang2"), "_nth")
-    same = labelled["_id"].eqNullSafe(F.col("_id2")) & (labelled["_h"] == F.col("_h2")) & (labelled["_lang"] == F.col("_lang2"))
-    # A row that is repeated comes several times on both sides; each place is taken once.
-    chosen = durable(labelled.join(keys, same).select("_text", "_lang", "_nth").dropDuplicates(["_lang", "_nth"]))
-    marks = chosen.filter(F.col("_nth") <= landmarks)
+    labelled = labelled.withColumn("_place", F.xxhash64("_id", "_h"))
+    places = labelled.select("_lang", "_place").distinct()
+    places = places.withColumn("_nth", F.row_number().over(W.partitionBy("_lang").orderBy("_place"))).filter(F.col("_nth") <= fitted)
+    # One row for each language: up to which place its texts are taken, and up to which as landmarks.
+    ends = places.groupBy(F.col("_lang").alias("_lang2")).agg(
+        F.max("_place").alias("_last"), F.max(F.when(F.col("_nth") <= landmarks, F.col("_place"))).alias("_mark")
+    )
+    chosen = labelled.join(durable(ends), (F.col("_lang") == F.col("_lang2")) & (F.col("_place") <= F.col("_last")))
+    chosen = durable(chosen.select("_text", "_lang", "_place", "_mark").dropDuplicates(["_lang", "_place"]))
+    marks = chosen.filter(F.col("_place") <= F.col("_mark"))
     # A few texts of each language; their own letters are the alphabet.
-    held = sorted((r["_lang"], r["_nth"], r["_text"]) for r in marks.select("_lang", "_nth", "_text").toLocalIterator())
+    held = sorted((r["_lang"], r["_place"], r["_text"]) for r in marks.select("_lang", "_place", "_text").toLocalIterator())
     if not held:
         return None
     alphabet = sorted(r["letter"] for r in marks.select("_text").mapInPandas(_letters, "letter string").distinct().collect())
@@ -256,7 +259,8 @@ def identify(
     the others; the language of the largest value is the prediction, and (1 + value) / 2, kept inside 0 to 1, the score.
 
     Learned from rows with a language and a letter whose crc32(id as text) mod 3 is not 1 (held_out tells those that are; a
-    null id is not): of each language the first `fitted` texts by a hash of id and text, a bound on the fit alone. Whole texts
+    null id is not): of each language the first `fitted` texts by a hash of id and text, a bound on the fit alone; a repeated
+    row is learned from once. Whole texts
     are scored, also very long ones, one at a time. A null text, or one without a letter, is 'und' with score 0, and so is
     every text where nothing could be learned; ties go to the first language in order. Repeated rows are scored each. An
     empty table gives an empty result.
