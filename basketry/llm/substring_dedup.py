@@ -3,7 +3,8 @@
 A window is `window` words in a row. Each window belongs to its smallest gram (a hash of a few words in it), so equal
 windows share it; windows in a row of one text with the gram at the same place form a segment. Grams that only one segment
 has end there. The other segments are dealt by gram to shards of a set number of words, where every distinct segment, with
-the number of its occurrences, goes into one FM-index, and all are streamed through it.
+the number of its occurrences, goes into one FM-index, and all are streamed through it. Where a gram has more words than a
+shard, its windows are dealt one by one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ WINDOW = 35
 GRAM = 8
 SHARD_WORDS = 150_000
 SLICE_CHARS = 2_000_000
+# Words of segments that a task has in hand before it sends them to their shards.
+SENT_WORDS = 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -149,16 +152,18 @@ class Index:
             ok[ok] &= (text[a[ok]] == text[b[ok]]) & (text[a[ok]] > 0)
             alive = alive[ok]
         common[0] = common[n] = -1
-        self.common = common
-        # Where the suffixes that share at least d words with one begin and end.
-        places = np.arange(n + 1)
-        self.from_ = np.empty((window, n), np.int32)
-        self.to = np.empty((window, n), np.int32)
-        for d in range(window):
-            border = common < d
-            border[0] = border[n] = True
-            self.from_[d] = np.maximum.accumulate(np.where(border[:n], places[:n], 0))
-            self.to[d] = np.minimum.accumulate(np.where(border[1:], places[1:], n)[::-1])[::-1]
+        self.common = common.astype(np.int32)
+        # Of each place, the nearest places before and after where neighbours share fewer words: the interval of suffixes
+        # that share what the place and its neighbour do. And the runs of suffixes that share a window but its last word.
+        places = np.arange(n + 1, dtype=np.int32)
+        self.before, self.after = np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
+        for d in np.unique(common)[1:]:
+            here = common == d
+            self.before[here] = np.maximum.accumulate(np.where(common < d, places, 0))[here]
+            self.after[here] = np.minimum.accumulate(np.where(common < d, places, n)[::-1])[::-1][here]
+        border = common < window - 1
+        self.first = np.maximum.accumulate(np.where(border, places, 0))[:n]
+        self.last = np.minimum.accumulate(np.where(border, places, n)[::-1])[::-1][1:]
 
     def repeated(self) -> np.ndarray:
         """At which places of the text a window starts that occurs at least twice. Matching statistics of every piece.
@@ -177,16 +182,17 @@ class Index:
             new_low, new_high = both[: len(at)], both[len(at) :]
             grows = self.weight[new_high] - self.weight[new_low] >= 2
             shrinks = ~grows & (length > 0)
-            depth = np.maximum(np.maximum(self.common[low], self.common[high]), 0)
-            low, high = np.where(grows, new_low, low), np.where(grows, new_high, high)
-            length = np.where(grows, length + 1, length)
+            left, right = self.common[low], self.common[high]
+            depth = np.maximum(left, right)
+            wide_low, wide_high = np.where(left == depth, self.before[low], low), np.where(right == depth, self.after[high], high)
+            low = np.where(grows, new_low, np.where(shrinks, wide_low, low))
+            high = np.where(grows, new_high, np.where(shrinks, wide_high, high))
+            length = np.where(grows, length + 1, np.where(shrinks, np.maximum(depth, 0), length))
             whole = grows & (length == window)
             found[at[whole]] = True
             length[whole] = window - 1
-            length[shrinks] = depth[shrinks]
-            moved = whole | shrinks
-            inside = low[moved]
-            low[moved], high[moved] = self.from_[length[moved], inside], self.to[length[moved], inside]
+            inside = low[whole]
+            low[whole], high[whole] = self.first[inside], self.last[inside]
             at = np.where(shrinks, at, at - 1)
             going = at >= stop
             at, stop, low, high, length = at[going], stop[going], low[going], high[going], length[going]
@@ -204,6 +210,11 @@ def shrunk(name: str) -> Column:
     return F.pandas_udf(of, "binary")(name)
 
 
+def sizes_of(blobs: list[bytes | None]) -> list[int]:
+    """Sizes of the texts, without taking them out."""
+    return [0 if b is None else zstandard.frame_content_size(b) for b in blobs]
+
+
 def grown(blobs: list[bytes | None]) -> list[bytes]:
     press = zstandard.ZstdDecompressor()
     return [b"" if b is None else press.decompress(b) for b in blobs]
@@ -218,23 +229,52 @@ def _search(window: int):
         edges = np.diff(np.concatenate([[False], hits, [False]]).view(np.int8))  # the end of a piece parts runs
         begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1 + window
         piece = owner[begin]
-        shift = rows["skip"].to_numpy()[piece] - index.starts[piece]
+        shift = index.starts[piece]
         return pd.DataFrame(
             {
                 "gram": rows["gram"].to_numpy()[piece],
                 "seg": rows["seg"].to_numpy()[piece],
-                "begin": (begin + shift).astype(np.int32),
-                "end": (end + shift).astype(np.int32),
+                "begin": (begin - shift).astype(np.int32),
+                "end": (end - shift).astype(np.int32),
             }
         )
 
     return search
 
 
-def repeated_spans(
+def _texts_with(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_h, _z, wants) for each text (_h) of `wanted`; one row of a text stands for its copies."""
+    holder = rows.groupBy("_h").agg(F.min("_id").alias("_id"))
+    wanted = durable(holder.join(wanted, "_h").select("_id", "_h", "wants"))
+    sources = by_row(rows.select("_id", "_h", shrunk("_text").alias("_z")), wanted, "inner")
+    return sources.dropDuplicates(["_id", "_h"]).select("_h", "_z", "wants")
+
+
+def _wanted_of(batch: pd.DataFrame, window: int) -> Iterator[tuple[int, np.ndarray, Ranges, int, dict]]:
+    """(text hash, word hashes, runs, first word, segment) of each segment asked for (at, held, seg). A text of equal hash
+    with other words has another segment at its place, and is left out."""
+    blobs, names = batch["_z"].tolist(), batch["_h"].to_numpy()
+    for start, stop in slices(sizes_of(blobs), SLICE_CHARS // 2):
+        words = Words(grown(blobs[start:stop]))
+        hashes = words.hashes()
+        runs = Ranges(hashes)
+        for name, first, wants in zip(names[start:stop], words.first, batch["wants"].iloc[start:stop]):
+            for w in wants:
+                begin = first + w["at"]
+                end = begin + w["held"] + window - 1
+                if int(runs.of(np.array([begin]), np.array([end])).view(np.int64)[0]) == w["seg"]:
+                    yield int(name), hashes, runs, int(begin), w
+
+
+def pieces_by_shard(
     docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS
-) -> DataFrame:
-    """(_h, spans): for each text that holds repeated windows, the runs of words they cover, begin to before end."""
+) -> tuple[DataFrame, DataFrame]:
+    """(segments, pieces): where each segment that may be repeated lies (_h, at, gram, seg), copies of a row included; and
+    each distinct segment once (shard, gram, seg, n, words), dealt to shards of about `shard_words` words.
+
+    All segments of a gram share a shard. Where they have more words than a shard, as those of many near copies do, each of
+    their windows becomes a segment of its own: equal ones are counted once, and the distinct ones are dealt by their hash.
+    """
     rows = keyed(docs, id_col, text_col)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,53 +289,68 @@ def repeated_spans(
     found = durable(rows.select("_text", "_h").mapInPandas(cut, "_h bigint, at int, held int, gram bigint, seg bigint"))
     shared = durable(found.groupBy("gram").count().filter(F.col("count") > 1).select("gram"))
     met = durable(found.join(shared, "gram", "left_semi"))
-    distinct = durable(
-        met.groupBy("gram", "seg").agg(F.min(F.struct("_h", "at", "held")).alias("one"), F.count(F.lit(1)).alias("n")).select("gram", "seg", "n", "one.*")
-    )
-    size = F.sum(F.col("held") + window - 1)
-    shards = max(1, -(-(distinct.agg(size).first()[0] or 0) // shard_words))
-    # A gram with more words than a shard: its windows are dealt one by one, by their own hash.
-    large = durable(distinct.groupBy("gram").agg(size.alias("words")).filter(F.col("words") > shard_words))
-    large = large.select("gram", F.ceil(F.col("words") * window / shard_words).cast("int").alias("slices"))
-    wanted = distinct.join(large, "gram", "left").withColumn("slices", F.coalesce("slices", F.lit(0)))
-    wanted = wanted.groupBy("_h").agg(F.collect_list(F.struct("at", "held", "gram", "seg", "n", "slices")).alias("wants"))
-    # One row of each text stands for its copies.
-    holder = rows.groupBy("_h").agg(F.min("_id").alias("_id"))
-    wanted = durable(holder.join(wanted, "_h").select("_id", "_h", "wants"))
-    sources = by_row(rows.select("_id", "_h", shrunk("_text").alias("_z")), wanted, "inner")
-    sources = sources.dropDuplicates(["_id", "_h"]).select("_z", "wants")
+    one = F.min(F.struct("_h", "at", "held")).alias("one")
+    distinct = durable(met.groupBy("gram", "seg").agg(one, F.count(F.lit(1)).alias("n")).select("gram", "seg", "n", "one.*"))
+    words = F.sum(F.col("held") + window - 1).alias("words")
+    sizes = durable(distinct.groupBy("gram").agg(words))
+    large = durable(sizes.filter(F.col("words") > shard_words).select("gram"))
+
+    # Windows of the large grams, each with the number of rows that hold it there.
+    wide = met.join(large, "gram", "left_semi").groupBy("_h", "at", "held", "gram", "seg").agg(F.count(F.lit(1)).alias("n"))
+    wide = wide.groupBy("_h").agg(F.collect_list(F.struct("at", "held", "gram", "seg", "n")).alias("wants"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, held = [[np.zeros(0, np.int64)] * 5], 0
+            for name, _, runs, begin, w in _wanted_of(batch, window):
+                ones = np.arange(begin, begin + w["held"])
+                fixed = (np.full(len(ones), x, np.int64) for x in (name, w["gram"], w["n"]))
+                out.append([*fixed, w["at"] + ones - begin, runs.of(ones, ones + window).view(np.int64)])
+                held += len(ones)
+                if held > SENT_WORDS:
+                    yield pd.DataFrame(dict(zip(("_h", "gram", "n", "at", "seg"), map(np.concatenate, zip(*out)))))
+                    out, held = [[np.zeros(0, np.int64)] * 5], 0
+            yield pd.DataFrame(dict(zip(("_h", "gram", "n", "at", "seg"), map(np.concatenate, zip(*out)))))
+
+    windows = durable(_texts_with(rows, wide).mapInPandas(part, "_h bigint, gram bigint, n bigint, at int, seg bigint"))
+    single = F.min(F.struct("_h", "at", F.lit(1).alias("held"))).alias("one")
+    apart = durable(windows.groupBy("gram", "seg").agg(single, F.sum("n").alias("n")).select("gram", "seg", "n", "one.*"))
+    dealt = apart.groupBy("gram").agg((F.count(F.lit(1)) * window).alias("words"))
+    dealt = durable(dealt.select("gram", "words", F.ceil(F.col("words") / shard_words).alias("slices")))
+    total = lambda df: df.agg(F.sum("words")).first()[0] or 0
+    shards = max(1, -(-(total(sizes.filter(F.col("words") <= shard_words)) + total(dealt)) // shard_words))
+
+    apart = apart.join(dealt.select("gram", "slices"), "gram").withColumn("slice", F.pmod("seg", "slices")).drop("slices")
+    wanted = distinct.join(large, "gram", "left_anti").withColumn("slice", F.lit(-1).cast("bigint")).unionByName(apart)
+    wanted = wanted.withColumn("shard", F.pmod(F.xxhash64("gram", "slice"), F.lit(int(shards))))
+    wanted = wanted.groupBy("_h").agg(F.collect_list(F.struct("at", "held", "gram", "seg", "n", "shard")).alias("wants"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["shard", "gram", "seg", "n", "words"]
         for batch in batches:
-            texts = grown(batch["_z"].tolist())
-            for start, stop in slices([len(t) for t in texts], SLICE_CHARS // 2):
-                words = Words(texts[start:stop])
-                hashes = words.hashes()
-                runs, out = Ranges(hashes), []
-                for first, wants in zip(words.first, batch["wants"].iloc[start:stop]):
-                    for w in wants:
-                        begin = first + w["at"]
-                        end = begin + w["held"] + window - 1
-                        # A text of equal hash with other words has another segment here.
-                        if int(runs.of(np.array([begin]), np.array([end])).view(np.int64)[0]) != w["seg"]:
-                            continue
-                        if not w["slices"]:
-                            out.append((w["gram"], -1, w["seg"], 0, w["n"], hashes[begin:end].view(np.int64)))
-                            continue
-                        ones = np.arange(begin, begin + w["held"])
-                        dealt = (runs.of(ones, ones + window) % np.uint64(w["slices"])).astype(np.int64)
-                        out += [
-                            (w["gram"], int(s), w["seg"], int(a - begin), w["n"], hashes[a : a + window].view(np.int64))
-                            for a, s in zip(ones, dealt)
-                        ]
-                yield pd.DataFrame(out, columns=["gram", "slice", "seg", "skip", "n", "words"])
-
-    pieces = sources.mapInPandas(fetch, "gram bigint, slice bigint, seg bigint, skip int, n bigint, words array<bigint>")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("gram", "slice"), F.lit(int(shards))))
-    hits = dealt.groupBy("shard").applyInPandas(_search(window), "gram bigint, seg bigint, begin int, end int")
-    hits = durable(hits)
+            out, held = [], 0
+            for _, hashes, _, begin, w in _wanted_of(batch, window):
+                own = hashes[begin : begin + w["held"] + window - 1]
+                out.append((w["shard"], w["gram"], w["seg"], w["n"], own.view(np.int64)))
+                held += len(own)
+                if held > SENT_WORDS:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
+
+    pieces = _texts_with(rows, wanted).mapInPandas(fetch, "shard bigint, gram bigint, seg bigint, n bigint, words array<bigint>")
+    spots = met.join(large, "gram", "left_anti").select("_h", "at", "gram", "seg").unionByName(windows.select("_h", "at", "gram", "seg"))
+    return spots, pieces
+
+
+def repeated_spans(
+    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS
+) -> DataFrame:
+    """(_h, spans): for each text that holds repeated windows, the runs of words they cover, begin to before end."""
+    spots, pieces = pieces_by_shard(docs, id_col, text_col, window, gram, shard_words)
+    hits = durable(pieces.groupBy("shard").applyInPandas(_search(window), "gram bigint, seg bigint, begin int, end int"))
     span = F.struct((F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end"))
-    return met.join(hits, ["gram", "seg"]).groupBy("_h").agg(F.collect_set(span).alias("spans"))
+    return spots.join(hits, ["gram", "seg"]).groupBy("_h").agg(F.collect_set(span).alias("spans"))
 
 
 def drop_repeated(
@@ -312,7 +367,7 @@ def drop_repeated(
     Every word inside a window whose words also start anywhere else, in the same text or another, is removed; windows are
     judged on the input. kept_text is the other words, joined by one blank. A null or empty text has no words; texts
     shorter than a window keep all. Repeated rows hold each other's windows and lose them; null ids are rows like others.
-    An empty table gives an empty result. Words, segments and equal texts are told apart by 64-bit hashes (segments by two).
+    An empty table gives an empty result; a very long text is read whole, alone. Words, segments and equal texts are told apart by 64-bit hashes (segments by two).
     """
     columns = list(docs.columns if carry is None else carry)
     spans = durable(repeated_spans(docs, id_col, text_col, window, gram, shard_words))
@@ -324,12 +379,13 @@ def drop_repeated(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cuts = grown(batch.column(1).to_pylist()), batch.column(2).to_pylist()
-            given = batch.column(1).is_valid().to_pylist()
-            for start, stop in slices([len(t) for t in texts], SLICE_CHARS):
-                words = Words(texts[start:stop])
+            blobs = batch.column(1).to_pylist()
+            for start, stop in slices(sizes_of(blobs), SLICE_CHARS):
+                texts, given = grown(blobs[start:stop]), [b is not None for b in blobs[start:stop]]
+                cuts = batch.column(2).slice(start, stop - start).to_pylist()
+                words = Words(texts)
                 steps = np.zeros(len(words) + 1, np.int64)
-                for first, some in zip(words.first, cuts[start:stop]):
+                for first, some in zip(words.first, cuts):
                     for s in some or ():
                         steps[first + s["begin"]] += 1
                         steps[first + s["end"]] -= 1
@@ -345,7 +401,7 @@ def drop_repeated(
                 bounds = bounds - np.concatenate([[0], np.cumsum(held)])
                 text = pa.StringArray.from_buffers(stop - start, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw))
                 n = np.diff(words.first)
-                raw_text = [t.decode() if with_raw and ok else None for t, ok in zip(texts[start:stop], given[start:stop])]
+                raw_text = [t.decode() if with_raw and ok else None for t, ok in zip(texts, given)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, stop - start), pa.array(raw_text, pa.string()), pa.array(n), pa.array(n - np.diff(upto)), text],
                     schema.names,

@@ -205,3 +205,23 @@ def test_pipeline(spark):
 
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+
+
+def test_near_copies_do_not_fill_a_shard(spark):
+    """Segments of many near copies share one gram; a shard stays near its size, and equal windows are held once."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(r.randint(0, 2)):
+            own[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spots, pieces = substring_dedup.pieces_by_shard(docs, "doc_id", "text", 10, 4, 500)
+    sizes = pieces.groupBy("shard").agg(F.sum(F.size("words")).alias("n"), F.max(F.size("words")).alias("longest")).collect()
+    assert len(sizes) > 4 and max(s["n"] for s in sizes) < 4 * 500
+    assert pieces.groupBy("gram", "seg").count().filter("count > 1").count() == 0
+    got = substring_dedup.drop_repeated(docs, window=10, gram=4, shard_words=500).collect()
+    want = {w[0]: w[1:] for w in plain.repeated(rows, 10)}
+    assert all((x["n_words"], x["n_removed"], x["kept_text"]) == want[x["doc_id"]] for x in got)
