@@ -24,6 +24,8 @@ CLASSES = 256
 HELD_COUNTS = 65_536
 SMOOTH = 0.1
 SLICE_CHARS = 8_000_000
+# Bytes of coded texts (two a token) whose steps are worked out side by side.
+SLICE_BYTES = 1_200_000
 END = -1  # the hash that stands for the end of a text
 
 
@@ -111,52 +113,57 @@ class Model:
         move = (1 - stay) * move / move.sum(axis=1, keepdims=True) + stay * np.eye(states)
         return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
+    def _forward(self, symbols: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(alpha, scales, emissions) of all steps side by side; a step multiplies all sequences that go on at once."""
+        emitted = self.emit[symbols]
+        alpha, scales = np.empty_like(emitted), np.empty((len(symbols), 1))
+        at, before = 0, None
+        for n in active.tolist():
+            here, scale = alpha[at : at + n], scales[at : at + n]
+            if before is None:
+                np.multiply(self.start, emitted[:n], out=here)
+            else:
+                np.matmul(before[:n], self.move, out=here)
+                here *= emitted[at : at + n]
+            np.add.reduce(here, axis=1, keepdims=True, out=scale)
+            here /= scale
+            before, at = here, at + n
+        return alpha, scales[:, 0], emitted
+
     def likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log10 of each sequence's probability, by the forward recursion with scaling."""
         order, symbols, active = _by_time(sequences)
-        out, at = np.zeros(len(sequences)), 0
-        alpha = np.tile(self.start, (len(sequences), 1))
-        for t, n in enumerate(active):
-            alpha = (alpha[:n] @ self.move if t else alpha[:n]) * self.emit[symbols[at : at + n]]
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            out[:n] += np.log10(scale)
-            at += n
-        result = np.empty_like(out)
-        result[order] = out
+        _, scales, _ = self._forward(symbols, active)
+        # Step by step, so each sequence's terms are added in the order of its tokens.
+        rank = np.arange(len(symbols)) - np.repeat(np.cumsum(active) - active, active)
+        result = np.empty(len(sequences))
+        result[order] = np.bincount(rank, np.log10(scales), len(sequences))
         return result
 
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of starts, moves and emissions, and the log10 likelihood of all."""
-        states, total = len(self.start), 0.0
         _, symbols, active = _by_time(sequences)
-        alpha, scales = np.empty((len(symbols), states)), np.empty(len(symbols))
-        ends = np.cumsum(active)
-        for t, n in enumerate(active):
-            at = ends[t] - n
-            before = self.start if not t else alpha[at - active[t - 1] : at - active[t - 1] + n] @ self.move
-            here = before * self.emit[symbols[at : at + n]]
-            scales[at : at + n] = scale = here.sum(axis=1)
-            alpha[at : at + n] = here / scale[:, None]
-        total = float(np.log10(scales).sum())
-        moves = np.zeros((states, states))
-        beta = np.ones((0, states))
-        for t in range(len(active) - 1, -1, -1):
-            n, at = active[t], ends[t] - active[t]
-            if len(beta) < n:  # sequences that end here
-                beta = np.concatenate([beta, np.ones((n - len(beta), states))])
-            own = alpha[at : at + n]
-            if t:
-                back = self.emit[symbols[at : at + n]] * beta / scales[at : at + n, None]
-                m = active[t - 1]
-                moves += alpha[at - m : at - m + n].T @ back
-                alpha[at : at + n] = own * beta
-                beta = back @ self.move.T
-            else:
-                alpha[at : at + n] = own * beta
+        states = len(self.start)
+        if not len(symbols):
+            return np.zeros(states), np.zeros((states, states)), np.zeros((len(self.emit), states)), 0.0
+        alpha, scales, emitted = self._forward(symbols, active)
+        emitted /= scales[:, None]
+        # beta of every step; a sequence's last step has ones, which no later step overwrites.
+        beta, back = np.ones_like(alpha), self.move.T.copy()
+        first = (np.cumsum(active) - active).tolist()
+        sizes = active.tolist()
+        for t in range(len(sizes) - 1, 0, -1):
+            at, n = first[t], sizes[t]
+            here = emitted[at : at + n]
+            here *= beta[at : at + n]
+            np.matmul(here, back, out=beta[first[t - 1] : first[t - 1] + n])
+        # What each token's next one sends back, times where the token is likely to be; all moves in one product.
+        later = np.arange(sizes[0], len(symbols))
+        own = later - np.repeat(np.array(sizes[:-1], np.int64), sizes[1:]) if len(sizes) > 1 else later
+        moves = alpha[own].T @ emitted[sizes[0] :]
+        alpha *= beta
         emits = np.stack([np.bincount(symbols, alpha[:, k], len(self.emit)) for k in range(states)], axis=1)
-        starts = alpha[: active[0]].sum(axis=0) if len(active) else np.zeros(states)
-        return starts, moves * self.move, emits, total
+        return alpha[: sizes[0]].sum(axis=0), moves * self.move, emits, float(np.log10(scales).sum())
 
     def updated(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, frequency: np.ndarray) -> Model:
         """The next round's model; a little of each symbol's overall frequency keeps every probability above 0."""
@@ -166,9 +173,11 @@ class Model:
         )
 
 
-def _sequences(symbols: Sequence[bytes]) -> Iterator[list[np.ndarray]]:
-    for start, stop in slices([len(s) for s in symbols], 2_400_000):
-        yield [np.frombuffer(s, np.uint16) for s in symbols[start:stop]]
+def _sequences(symbols: Sequence[bytes]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(places, sequences) of similar length together, so that a step works on many of them."""
+    order = np.argsort([-len(s) for s in symbols], kind="stable")
+    for start, stop in slices([len(symbols[i]) for i in order], SLICE_BYTES):
+        yield order[start:stop], [np.frombuffer(symbols[i], np.uint16) for i in order[start:stop]]
 
 
 def baum_welch(
@@ -185,7 +194,7 @@ def baum_welch(
             own = Model(*sent.value)
             sums = np.zeros((size + states + 1, states))
             for batch in batches:
-                for sequences in _sequences(batch["symbols"].tolist()):
+                for _, sequences in _sequences(batch["symbols"].tolist()):
                     starts, moves, emits, _ = own.expected(sequences)
                     sums += np.concatenate([emits, moves, starts[None]])
             at = np.flatnonzero(sums.any(axis=1))
@@ -284,8 +293,10 @@ def score_documents(
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            parts = [Model(*trained_model.value).likelihood(s) for s in _sequences(batch.tolist())]
-            yield pd.Series(np.concatenate([*parts, np.zeros(0)]))
+            own, found = Model(*trained_model.value), np.zeros(len(batch))
+            for places, sequences in _sequences(batch.tolist()):
+                found[places] = own.likelihood(sequences)
+            yield pd.Series(found)
 
     hidden = F.pandas_udf(of, "double")("symbols")
     scored = coded.select("_row", "_id", "_held", "_nr", "tokens", "known", "log", "inner", hidden.alias("hidden"))
