@@ -11,6 +11,9 @@ from typing import TypeVar
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
+
+from basketry.session import durable
 
 # The white space of every word and line rule, and the ASCII letters that get lower-cased.
 WHITE = " \t\n\x0b\x0c\r"
@@ -191,3 +194,20 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
             break
         least = row["step"]
     return counts.filter(F.lit(False) if least is None else step >= least)
+
+
+def in_blocks(
+    left: DataFrame, right: DataFrame, place: str, key_left: str, key_right: str, most_left: int, most_right: int
+) -> tuple[GroupedData, GroupedData]:
+    """Both sides dealt by hash to blocks of about so many rows, for each value of `place` apart, and each block once for
+    each of the other side's: grouped by (place, left, right), to be grouped together. How many blocks there are follows
+    from counts, one small row a place."""
+    n = lambda df, most, name: df.groupBy(place).agg(F.ceil(F.count(F.lit(1)) / most).alias(name))
+    sizes = durable(n(left, most_left, "_left").join(n(right, most_right, "_right"), place))
+
+    def dealt(own: DataFrame, key: str, mine: str, other: str) -> GroupedData:
+        spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_{other}") - 1))
+        held = own.join(sizes, place).withColumn(mine, F.pmod(F.xxhash64(key), F.col(f"_{mine}"))).withColumn(other, spread)
+        return held.drop("_left", "_right").groupBy(place, "left", "right")
+
+    return dealt(left, key_left, "left", "right"), dealt(right, key_right, "right", "left")

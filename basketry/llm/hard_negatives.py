@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basketry.llm.common import column
+from basketry.llm.common import column, in_blocks
 from basketry.session import durable
 
 POSITIVES = 5
@@ -163,19 +163,6 @@ def cleaned(vectors: DataFrame, id_col: str, label_col: str, vector_col: str, sc
     return own.select("id", F.struct("label", floors.alias("vector")).alias("held")).groupBy("id").agg(F.min("held").alias("held")).select("id", "held.*")
 
 
-def _paired(left: DataFrame, right: DataFrame, block_anchors: int, block_rows: int):
-    """Both sides cut to blocks by hash within a length of vector, each block once for each of the other side's."""
-    sizes = right.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_row"))
-    sizes = durable(sizes.join(left.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block_anchors).alias("n_anchor")), "dim"))
-
-    def dealt(own: DataFrame, mine: str, other: str) -> DataFrame:
-        spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{other}") - 1))
-        return own.join(sizes, "dim").withColumn(mine, F.pmod(F.xxhash64("id"), F.col(f"n_{mine}"))).withColumn(other, spread).drop("n_row", "n_anchor")
-
-    keys = ["dim", "row", "anchor"]
-    return dealt(left, "anchor", "row").groupBy(*keys), dealt(right, "row", "anchor").groupBy(*keys)
-
-
 def mine(
     vectors: DataFrame,
     is_anchor: Column,
@@ -210,12 +197,12 @@ def mine(
     rows = durable(cleaned(vectors, id_col, label_col, vector_col, scale).withColumn("dim", F.size("vector")))
     chosen = durable(rows.join(vectors.filter(is_anchor).select(column(id_col).cast("bigint").alias("id")).distinct(), "id", "left_semi"))
     kinds = "anchor bigint, score bigint, row bigint"
-    left, right = _paired(chosen, rows, block_anchors, block_rows)
+    left, right = in_blocks(chosen, rows, "dim", "id", "id", block_anchors, block_rows)
     near = durable(left.cogroup(right).applyInPandas(_nearest_of_label(positives), kinds))
     order = W.partitionBy("anchor").orderBy(F.desc("score"), F.asc("row"))
     first = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= positives)
     highs = first.groupBy(F.col("anchor").alias("id")).agg(F.collect_list("score").alias("highs"))
-    left, right = _paired(durable(chosen.join(highs, "id")), rows, block_anchors, block_rows)
+    left, right = in_blocks(durable(chosen.join(highs, "id")), rows, "dim", "id", "id", block_anchors, block_rows)
     far = left.cogroup(right).applyInPandas(_in_windows(negatives, floor, ceiling), kinds)
     pairs = durable(near.withColumn("negative", F.lit(False)).union(far.withColumn("negative", F.lit(True))))
 

@@ -193,12 +193,23 @@ def test_short_lists_are_filled(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").limit(21).collect()
     for n in (1, 10, 21):
         frame = spark.createDataFrame([(r["vec_id"], r["embedding"]) for r in table[:n]], "vec_id bigint, embedding array<float>")
-        for block_rows in {neighbours.BLOCK_ROWS, 12 if n > 12 else neighbours.BLOCK_ROWS}:  # all compared at once, and by hash first
-            found = neighbours.search(frame, frame, block_rows=block_rows).collect()
+        for how in ({}, {"block_rows": 12}, {"probes": 1}):
+            found = neighbours.search(frame, frame, **how).collect()
             assert Counter(r["query_id"] for r in found) == {r["vec_id"]: n - 1 for r in table[: n if n > 1 else 0]}
             assert all(r["query_id"] != r["vec_id"] for r in found) and len({r[:2] for r in found}) == len(found)
 
 
+def test_repeated_ids_count_as_their_smallest_vector(spark):
+    x = vectors(60, 8, 3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    again = [(i, (v + 1).tolist()) for i, v in enumerate(x[:20])]  # larger in the first component, so these are not taken
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    both = spark.createDataFrame(again + rows + rows[:5], "vec_id bigint, embedding array<double>").withColumns({c: F.lit("x") for c in ("id", "query", "codes", "a.b")})
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    want = key(neighbours.search(frame, frame.filter("vec_id < 30"), k=5))
+    assert key(neighbours.search(both, both.filter("vec_id < 30"), k=5)) == want
+
+
 def test_recall_beside_a_few_very_long_vectors(spark):
     x = np.random.RandomState(5).normal(size=(1200, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -215,10 +226,12 @@ def test_recall_beside_a_few_very_long_vectors(spark):
 
 
 def test_neighbours_recall_on_the_table(spark):
-    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
-    x = np.array([r["embedding"] for r in table], np.float64)
-    ids = np.array([r["vec_id"] for r in table])
-    found = QUERIES["op5_nearest_neighbours"](spark, "/root/testdata/sf0.01").collect()
+    """Of the hashed search: the probes are few enough that a query meets well under all rows."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    ids = np.array([r["vec_id"] for r in rows])
+    found = QUERIES["op5_nearest_neighbours"](spark, "/root/testdata/sf0.1").collect()
     hits = total = 0
     for q in np.flatnonzero(ids % 20 == 0):
         s = x @ x[q]
@@ -227,6 +240,19 @@ def test_neighbours_recall_on_the_table(spark):
         hits += len(want & {r["vec_id"] for r in found if r["query_id"] == ids[q]})
         total += 20
     assert hits / total >= 0.9
+    held = neighbours.index(table, "vec_id", "embedding", 20, neighbours.TABLES, neighbours.BAND)
+    assert held.count() == len(rows) and all(len(r["codes"]) == neighbours.TABLES for r in held.limit(5).collect())
+    asked = neighbours._asked(neighbours.cleaned(table.filter("vec_id % 20 = 0"), "vec_id", "embedding"))
+    probes = neighbours.probes_for(asked, held, 20, neighbours.TABLES, neighbours.RECALL, neighbours.SAMPLE, neighbours.BLOCK_ROWS).first()
+    assert probes["measured"] >= neighbours.RECALL
+    unit = neighbours.lifted(x, np.ones(len(x)) * (1 + 1e-9), False)
+    asks = neighbours.lifted(x[ids % 20 == 0], np.ones(len(x)), True)
+    met = np.zeros((len(asks), len(x)), bool)
+    for t in range(neighbours.TABLES):
+        looks = neighbours.axes(asks, t, probes["probes"])
+        met |= (looks[:, :, None] == neighbours.axes(unit, t, 1)[None, None, :, 0]).any(axis=1)
+    print("probes", probes, "met", met.mean(), "recall", hits / total)
+    assert met.mean() < 0.6
 
 
 def test_pseudo_rotation_keeps_lengths():
