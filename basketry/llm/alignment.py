@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 from sentencepiece import SentencePieceProcessor
 
-from basketry.llm.bpe import byte_letters
+from basketry.llm.bpe import byte_letters, ragged
 from basketry.llm.common import frequent, once, packed, slices, unpacked
 from basketry.llm.packing import ByteCoder
 from basketry.session import durable
@@ -22,7 +23,9 @@ from basketry.session import durable
 HELD_PAIRS = 262_144
 # Bytes of the texts that a task has in hand as lists of ids, or one longer text; and links as arrays.
 SLICE_BYTES = 1_000_000
-SLICE_TOKENS = 2_000_000
+SLICE_TOKENS = 250_000
+# Slots of the table that finds a held pair at once, where no other pair has taken the slot.
+SLOTS = 1 << 20
 # Distinct pairs that a task adds up before it hands them on.
 COUNTED_PAIRS = 2_000_000
 SPACE = "▁"
@@ -44,14 +47,28 @@ class Coders:
             bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)
         ]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        self.a_joined, self.b_joined = Joined(self.a_bytes), Joined(self.b_bytes)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both, or none where a text is empty or the joined bytes of either are not those of blank + text."""
         ours = self.a.encode([" " + t for t in texts])
-        theirs = self.b.encode(texts, num_threads=1)
+        theirs = [np.array(b, np.int64) for b in self.b.encode(texts, num_threads=1)]
+        none = np.zeros(0, np.int64)
         for text, a, b in zip(texts, ours, theirs):
-            a, whole = a.tolist(), b" " + text.encode()
-            same = text and b"".join([self.a_bytes[i] for i in a]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
-            yield (a, b) if same else ([], [])
+            whole = b" " + text.encode()
+            yield (a, b) if text and self.a_joined.spell(a) == whole and self.b_joined.spell(b) == whole else (none, none)
+
+
+class Joined:
+    """The bytes of all tokens in one array."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.raw = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        return ragged(self.raw, self.starts[ids], self.sizes[ids]).tobytes()
 
 
 def coders(byte_file: str, piece_file: str) -> Coders:
@@ -62,8 +79,8 @@ def cuts(a_ends: Sequence[int], b_ends: Sequence[int]) -> tuple[list[int], list[
     """At which tokens of each list (their indexes) both lists end: one dictionary from end to index for each list, and
     the sorted ends that are keys of both."""
     a_at, b_at = dict(zip(a_ends, range(len(a_ends)))), dict(zip(b_ends, range(len(b_ends))))
-    common = sorted(a_at.keys() & b_at.keys())
-    return [a_at[e] for e in common], [b_at[e] for e in common]
+    common = list(filter(b_at.__contains__, a_at))  # a dictionary keeps its keys in the order of the text, so these are sorted
+    return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
 
 
 def links(a_ends: np.ndarray, b_ends: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +141,17 @@ class Batch:
         return [";".join(all_of[i:j]) for i, j in zip(first, first[1:])]
 
 
+def slot_of(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+
+
+def slotted(table: np.ndarray) -> np.ndarray:
+    """For each slot the place of a pair that falls there, 0 for none."""
+    out = np.zeros(SLOTS, np.int64)
+    out[slot_of(table)] = np.arange(len(table))
+    return out
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(keys, return_inverse=True)
     return keys, np.bincount(at, n, len(keys)).astype(np.int64)
@@ -138,19 +166,18 @@ def store(rows: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, press = coders(byte_file, piece_file), zstandard.ZstdCompressor(level=1)
         kind = np.uint16 if max(len(both.a_bytes), len(both.b_bytes)) <= 1 << 16 else np.uint32
-        a_sizes, b_sizes = (np.array([len(t) for t in tokens]) for tokens in (both.a_bytes, both.b_bytes))
+        a_sizes, b_sizes = both.a_joined.sizes, both.b_joined.sizes
         for batch in batches:
             for start, stop in slices(pc.binary_length(batch.column(1)).to_pylist(), SLICE_BYTES):
                 texts = batch.column(1).slice(start, stop - start).to_pylist()
                 out = []
-                for a, b in both.encode(texts):
-                    a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+                for a_ids, b_ids in both.encode(texts):
                     a_cut, b_cut = cuts(np.cumsum(a_sizes[a_ids]).tolist(), np.cumsum(b_sizes[b_ids]).tolist())
-                    marks = np.zeros(len(a) + len(b), np.uint8)
+                    marks = np.zeros(len(a_ids) + len(b_ids), np.uint8)
                     marks[a_cut] = 1
-                    marks[np.array(b_cut, np.int64) + len(a)] = 1
-                    ids = press.compress(np.concatenate([a_ids, b_ids]).astype(kind).tobytes()) if a else b""
-                    out.append((len(a), len(b), len(a_cut), ids, np.packbits(marks).tobytes()))
+                    marks[np.array(b_cut, np.int64) + len(a_ids)] = 1
+                    ids = press.compress(np.concatenate([a_ids, b_ids]).astype(kind).tobytes()) if len(a_ids) else b""
+                    out.append((len(a_ids), len(b_ids), len(a_cut), ids, np.packbits(marks).tobytes()))
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), batch_types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *columns], schema.names)
 
@@ -197,10 +224,9 @@ def align(
         n_a, n_b = (batch.column(batch.num_columns - k).to_pylist() for k in (4, 3))
         ids, marks = (batch.column(batch.num_columns - k) for k in (2, 1))
         both = coders(*files)
-        a_sizes, b_sizes = once(("sizes", *files), lambda: [np.array([len(t) for t in x]) for x in (both.a_bytes, both.b_bytes)])
         for start, stop in slices([x + y for x, y in zip(n_a, n_b)], SLICE_TOKENS):
             part = [c.slice(start, stop - start).to_pylist() for c in (ids, marks)]
-            yield start, stop, Batch(list(zip(n_a[start:stop], n_b[start:stop], *part)), a_sizes, b_sizes)
+            yield start, stop, Batch(list(zip(n_a[start:stop], n_b[start:stop], *part)), both.a_joined.sizes, both.b_joined.sizes)
 
     last = ["n_a", "n_b", "ids", "marks"]
 
@@ -228,13 +254,20 @@ def align(
     held = frequent(counts, held_pairs).toPandas().sort_values("pair")
     sent = context.broadcast((held["pair"].to_numpy(np.int64), held["n"].to_numpy(np.int64), held["best"].to_numpy(bool)))
 
+    token = uuid.uuid4().hex
+
     def known(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each pair in what is held, and whether it is."""
         table = sent.value[0]
         if not len(table):
             return np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
-        at = np.minimum(np.searchsorted(table, pairs), len(table) - 1)
-        return at, table[at] == pairs
+        slots = once(("slots", token), lambda: slotted(table))
+        at = slots[slot_of(pairs)]
+        ours = table[at] == pairs
+        others = np.flatnonzero(~ours)
+        at[others] = np.minimum(np.searchsorted(table, pairs[others]), len(table) - 1)
+        ours[others] = table[at[others]] == pairs[others]
+        return at, ours
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_size = len(coders(*files).b_bytes)
