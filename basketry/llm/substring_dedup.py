@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +26,10 @@ from basketry.session import durable
 
 WINDOW = 35
 GRAM = 8
-SHARD_WORDS = 150_000
-SLICE_CHARS = 2_000_000
+SHARD_WORDS = 100_000
+SLICE_CHARS = 1_000_000
 # Words of segments that a task has in hand before it sends them to their shards.
-SENT_WORDS = 1_000_000
+SENT_WORDS = 500_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -243,27 +244,30 @@ def _search(window: int):
 
 
 def _texts_with(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_h, _z, wants) for each text (_h) of `wanted`; one row of a text stands for its copies."""
+    """(_h, _z, and wants' fields as arrays) for each text (_h) of `wanted`; one row of a text stands for its copies."""
+    fields = wanted.schema["wants"].dataType.elementType.names
     holder = rows.groupBy("_h").agg(F.min("_id").alias("_id"))
     wanted = durable(holder.join(wanted, "_h").select("_id", "_h", "wants"))
     sources = by_row(rows.select("_id", "_h", shrunk("_text").alias("_z")), wanted, "inner")
-    return sources.dropDuplicates(["_id", "_h"]).select("_h", "_z", "wants")
+    return sources.dropDuplicates(["_id", "_h"]).select("_h", "_z", *[F.col(f"wants.{c}").alias(c) for c in fields])
 
 
-def _wanted_of(batch: pd.DataFrame, window: int) -> Iterator[tuple[int, np.ndarray, Ranges, int, dict]]:
-    """(text hash, word hashes, runs, first word, segment) of each segment asked for (at, held, seg). A text of equal hash
-    with other words has another segment at its place, and is left out."""
+def _wanted_of(batch: pd.DataFrame, window: int) -> Iterator[tuple[int, np.ndarray, Ranges, np.ndarray, dict[str, np.ndarray]]]:
+    """(text hash, word hashes, runs, first words, segments) of the segments asked for in each text, as arrays. A text of
+    equal hash with other words has another segment at a place; that one is left out."""
     blobs, names = batch["_z"].tolist(), batch["_h"].to_numpy()
+    fields = {c: batch[c].tolist() for c in batch.columns if c not in ("_h", "_z")}
     for start, stop in slices(sizes_of(blobs), SLICE_CHARS // 2):
         words = Words(grown(blobs[start:stop]))
         hashes = words.hashes()
         runs = Ranges(hashes)
-        for name, first, wants in zip(names[start:stop], words.first, batch["wants"].iloc[start:stop]):
-            for w in wants:
-                begin = first + w["at"]
-                end = begin + w["held"] + window - 1
-                if int(runs.of(np.array([begin]), np.array([end])).view(np.int64)[0]) == w["seg"]:
-                    yield int(name), hashes, runs, int(begin), w
+        for i, first in zip(range(start, stop), words.first):
+            own = {c: np.asarray(x[i], np.int64) for c, x in fields.items()}
+            begin = first + own["at"]
+            end = begin + own["held"] + window - 1
+            ok = end <= len(hashes)
+            ok[ok] = runs.of(begin[ok], end[ok]).view(np.int64) == own["seg"][ok]
+            yield int(names[i]), hashes, runs, begin[ok], {c: x[ok] for c, x in own.items()}
 
 
 def pieces_by_shard(
@@ -303,9 +307,11 @@ def pieces_by_shard(
         for batch in batches:
             out, held = [[np.zeros(0, np.int64)] * 5], 0
             for name, _, runs, begin, w in _wanted_of(batch, window):
-                ones = np.arange(begin, begin + w["held"])
-                fixed = (np.full(len(ones), x, np.int64) for x in (name, w["gram"], w["n"]))
-                out.append([*fixed, w["at"] + ones - begin, runs.of(ones, ones + window).view(np.int64)])
+                n = w["held"]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                ones = np.repeat(begin, n) + step
+                wide = runs.of(ones, ones + window).view(np.int64)
+                out.append([np.full(len(ones), name), np.repeat(w["gram"], n), np.repeat(w["n"], n), np.repeat(w["at"], n) + step, wide])
                 held += len(ones)
                 if held > SENT_WORDS:
                     yield pd.DataFrame(dict(zip(("_h", "gram", "n", "at", "seg"), map(np.concatenate, zip(*out)))))
@@ -330,9 +336,10 @@ def pieces_by_shard(
         for batch in batches:
             out, held = [], 0
             for _, hashes, _, begin, w in _wanted_of(batch, window):
-                own = hashes[begin : begin + w["held"] + window - 1]
-                out.append((w["shard"], w["gram"], w["seg"], w["n"], own.view(np.int64)))
-                held += len(own)
+                sizes = (w["held"] + window - 1).tolist()
+                own = [hashes[a : a + size].view(np.int64) for a, size in zip(begin.tolist(), sizes)]
+                out += zip(w["shard"].tolist(), w["gram"].tolist(), w["seg"].tolist(), w["n"].tolist(), own)
+                held += sum(sizes)
                 if held > SENT_WORDS:
                     yield pd.DataFrame(out, columns=names)
                     out, held = [], 0
@@ -372,7 +379,7 @@ def drop_repeated(
     columns = list(docs.columns if carry is None else carry)
     spans = durable(repeated_spans(docs, id_col, text_col, window, gram, shard_words))
     rows = movable(docs, id_col, text_col, columns).withColumn("_z", shrunk("_raw"))
-    rows = rows.join(spans.withColumnRenamed("_h", "_h2"), rows["_h"] == F.col("_h2"), "left").select("_row", "_z", "spans")
+    rows = rows.join(spans.withColumnRenamed("_h", "_h2"), rows["_h"] == F.col("_h2"), "left").select("_row", "_z", F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end"))
     made = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
     schema = StructType([rows.schema["_row"], StructField("_raw", StringType()), *made])
     with_raw = text_col in columns
@@ -382,13 +389,12 @@ def drop_repeated(
             blobs = batch.column(1).to_pylist()
             for start, stop in slices(sizes_of(blobs), SLICE_CHARS):
                 texts, given = grown(blobs[start:stop]), [b is not None for b in blobs[start:stop]]
-                cuts = batch.column(2).slice(start, stop - start).to_pylist()
                 words = Words(texts)
                 steps = np.zeros(len(words) + 1, np.int64)
-                for first, some in zip(words.first, cuts):
-                    for s in some or ():
-                        steps[first + s["begin"]] += 1
-                        steps[first + s["end"]] -= 1
+                for k, step in ((2, 1), (3, -1)):
+                    spots = batch.column(k).slice(start, stop - start)
+                    places = words.first[pc.list_parent_indices(spots).to_numpy()] + pc.list_flatten(spots).to_numpy()
+                    np.add.at(steps, places, step)
                 kept = np.cumsum(steps[:-1]) == 0
                 upto = np.concatenate([[0], np.cumsum(kept)])[words.first]
                 sizes = (words.ends - words.starts + 1)[kept]  # with the white space after it, which becomes a blank
