@@ -46,8 +46,11 @@ def head(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    return df.dtypes
+def shape_and_types(df: DataFrame) -> DataFrame:
+    """(position, column, type, n_rows, n_columns): one row per column, the rows counted once."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(t).alias("type")) for i, (c, t) in enumerate(df.dtypes)])
+    counted = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(kinds).alias("_c"), "n_rows")
+    return counted.select("_c.*", "n_rows", F.lit(len(df.columns)).alias("n_columns"))
 
 
 def split_report(frames: dict[str, DataFrame], dated: tuple[str, ...] = ("train", "val")) -> DataFrame:

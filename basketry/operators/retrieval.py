@@ -7,13 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from basketry.operators import lists
 from basketry.operators.skew import newest
+from basketry.session import durable
 
-QUERY_BLOCK = 8192
+# The most rows of either side that a task multiplies.
+QUERY_BLOCK = 32_768
 ITEM_BLOCK = 8192
+# Where the queries are few, they are still dealt to about as many tasks as run at once.
+LEAST_QUERIES = 1024
 SCORE_PLACES = 9
 # Of the hashed form: items per cell, about; tables; and the most bits a cell has.
 ROWS_PER_CELL = 64
@@ -50,9 +56,12 @@ def _best_of_block(by: list[str]):
     return best
 
 
-def _blocks(df: DataFrame, block: int) -> Column:
-    """How many blocks of `block` rows, at least 1; worked out once, when the plan runs."""
-    return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1))).scalar()
+def _blocks(df: DataFrame, block: int, spread: bool = False) -> Column:
+    """How many blocks of `block` rows, at least 1, and to `spread` rows enough that all cores have some; worked out once,
+    when the plan runs."""
+    rows = F.count(F.lit(1))
+    tasks = F.least(F.lit(df.sparkSession.sparkContext.defaultParallelism), F.ceil(rows / min(block, LEAST_QUERIES))) if spread else F.lit(1)
+    return df.agg(F.greatest(F.ceil(rows / block), tasks, F.lit(1))).scalar()
 
 
 def _met(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -65,7 +74,7 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> D
 
 def _best_of_all(queries: DataFrame, items: DataFrame, by: list[str], query_block: int, item_block: int) -> DataFrame:
     """Every query meets every item: both sides are cut to blocks by hash, and each pair of blocks is one task."""
-    n_query, n_item = _blocks(queries, query_block), _blocks(items, item_block)
+    n_query, n_item = _blocks(queries, query_block, True), _blocks(items, item_block)
     left = queries.withColumn("_qb", F.pmod(F.xxhash64(*by), n_query))
     left = left.withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("bigint"), n_item - 1)))
     right = items.withColumn("_ib", F.pmod(F.xxhash64("article_id"), n_item))
@@ -102,6 +111,26 @@ def _keep_best(found: DataFrame, exclude: DataFrame | None, k: int, by: list[str
     return newest(found, by, [F.desc("score"), F.asc("article_id")], k, "rank")
 
 
+def _best_within_bounds(queries: DataFrame, held: lists.Lists, by: list[str], query_block: int, item_block: int) -> DataFrame:
+    """Exact: each query searches the lists of the best bounds until they hold enough items, and then every other list that
+    can still hold one as good as its last."""
+    queries = durable(queries.select(*by, F.col("vector").cast("array<double>").alias("vector"), "fetch"))
+    looks = durable(queries.withColumn("cell", F.explode(held.first()("vector", "fetch"))))
+    first = durable(_best_in_cells(looks, held.items, by, query_block, item_block))
+    # A query that met too few so far takes every list.
+    left = queries.join(_last_scores(first, queries, by), by, "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    more = left.withColumn("cell", F.explode(held.within()("vector", "floor"))).drop("floor")
+    more = durable(more.join(looks.select(*by, "cell"), [*by, "cell"], "left_anti"))
+    return first.unionByName(_best_in_cells(more, held.items, by, query_block, item_block))
+
+
+def _last_scores(found: DataFrame, queries: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., floor): the score in the last place that a query asks for, of those that have found so many."""
+    place = W.partitionBy(*by).orderBy(F.desc("score"), F.asc("article_id"))
+    ranked = found.withColumn("_nth", F.row_number().over(place)).join(queries.select(*by, "fetch"), by)
+    return ranked.filter(F.col("_nth") == F.col("fetch")).select(*by, F.col("score").alias("floor"))
+
+
 def top_k(
     queries: DataFrame,
     items: DataFrame,
@@ -111,13 +140,81 @@ def top_k(
     item_block: int = ITEM_BLOCK,
     by: tuple[str, ...] = ("query_id",),
 ) -> DataFrame:
-    """Exact: queries (by..., vector), items (article_id, vector), exclude (by..., article_id)."""
+    """Exact: queries (by..., vector), items (article_id, vector), exclude (by..., article_id).
+
+    Items of more than one block are dealt to lists of about a block, and a query meets only lists whose bound can reach its
+    results."""
     names = list(by)
     asked = _with_fetch(queries.select(*names, "vector"), exclude, k, names)
-    found = _best_of_all(asked, items.select("article_id", "vector"), names, query_block, item_block)
+    stock = items.select("article_id", "vector")
+    n_lists = -(-stock.count() // item_block)
+    if n_lists > 1:
+        found = _best_within_bounds(asked, lists.build(stock, n_lists), names, query_block, item_block)
+    else:
+        found = _best_of_all(asked, stock, names, query_block, item_block)
     return _keep_best(found, exclude, k, names)
 
 
+def pairs_within_bounds(queries: DataFrame, held: lists.Lists, k: int) -> DataFrame:
+    """(pairs, everything): products that the exact search works out for `queries` (query_id, vector), and all there are."""
+    asked = durable(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(k).alias("fetch")))
+    found = top_k_of_lists(asked, held, k)
+    last = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    first = asked.select("query_id", F.explode(held.first()("vector", "fetch")).alias("cell"))
+    rest = asked.join(last, "query_id").select("query_id", F.explode(held.within()("vector", "floor")).alias("cell"))
+    sizes = held.items.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    pairs = first.unionByName(rest).distinct().join(sizes, "cell").agg(F.sum("n").alias("pairs"))
+    everything = asked.select(F.count(F.lit(1))).scalar() * sizes.select(F.sum("n")).scalar()
+    return pairs.select("pairs", everything.alias("everything"))
+
+
+def top_k_of_lists(asked: DataFrame, held: lists.Lists, k: int) -> DataFrame:
+    """The exact search over lists that are built already; `asked` has query_id, vector and fetch."""
+    return _keep_best(_best_within_bounds(asked, held, ["query_id"], QUERY_BLOCK, ITEM_BLOCK), None, k, ["query_id"])
+
+
+def top_k_listed(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    exclude: DataFrame | None = None,
+    recall: float = lists.RECALL,
+    judged: int = lists.JUDGED,
+    held: lists.Lists | None = None,
+    probes: int | None = None,
+) -> DataFrame:
+    """Approximate: a query searches its `probes` nearest lists, whole. If not given, they are the fewest that hold the share
+    `recall` of the true first k of `judged` queries, chosen by a hash of the id and searched exactly; queries that find
+    fewer than they ask for there search all lists."""
+    names = ["query_id"]
+    stock = items.select("article_id", "vector")
+    held = held or lists.build(stock, lists.lists_for(stock.count()))
+    asked = durable(_with_fetch(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")), exclude, k, names))
+    if probes is None:
+        probes = probes_of(asked, held, k, recall, judged)
+    near = asked.withColumn("cell", F.explode(held.nearest(probes)("vector")))
+    found = durable(_best_in_cells(near, held.items, names, QUERY_BLOCK, ITEM_BLOCK))
+    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(asked.select("query_id", "fetch"), "query_id")
+    short = durable(asked.join(enough.filter(F.col("n") >= F.col("fetch")).select("query_id"), "query_id", "left_anti"))
+    every = short.withColumn("cell", F.explode(held.nearest(len(held.centres))("vector")))
+    all_found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(_best_in_cells(every, held.items, names, QUERY_BLOCK, ITEM_BLOCK))
+    return _keep_best(all_found, exclude, k, names)
+
+
+def probes_of(asked: DataFrame, held: lists.Lists, k: int, recall: float = lists.RECALL, judged: int = lists.JUDGED) -> int:
+    """How many of its nearest lists a query has to search for the wanted recall, by the exact results of some queries."""
+    some = durable(asked.orderBy(F.xxhash64("query_id"), "query_id").limit(judged).select("query_id", "vector").withColumn("fetch", F.lit(k)))
+    return lists.probes_for(durable(top_k_of_lists(some, held, k)), some, held, recall)
+
+
+def listed_share(queries: DataFrame, held: lists.Lists, probes: int) -> DataFrame:
+    """Pairs that the search of the `probes` nearest lists compares, over all pairs."""
+    sizes = held.items.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    near = queries.select(F.explode(held.nearest(probes)(F.col("vector").cast("array<double>"))).alias("cell")).join(sizes, "cell")
+    everything = queries.select(F.count(F.lit(1))).scalar() * sizes.select(F.sum("n")).scalar()
+    return near.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).select(F.try_divide(F.col("pairs"), everything).alias("share_compared"))
+
+
 def planes(dim: int, tables: int = TABLES, bits: int = MAX_BITS, seed: int = 0) -> np.ndarray:
     """Random hyperplanes (table, bit, component); the first bits are the same whatever their number."""
     return np.round(np.random.RandomState(seed).normal(size=(tables, bits, dim)), PLANE_PLACES)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from basketry.functions.columns import UNKNOWN
 from basketry.operators import items as I
-from basketry.operators import candidates, guardrails, intents, learning, retrieval, sampling, sequences, vocab
+from basketry.operators import candidates, covisit, evaluation, factors, guardrails, intents, learning, retrieval, sampling, sequences, vocab
 from basketry.operators.features import build_features
 from basketry.plans import surfaces
 from basketry.plans.lists_and_people import capped_sql, feed_of
@@ -392,6 +392,34 @@ def j9(spark, sf):
     return rows[0].unionByName(rows[1])
 
 
+def factor_vectors(spark, sf):
+    train, _ = split(spark, sf)
+    return shared("factors", sf, lambda: factors.item_vectors(covisit.covisit_counts(train), DIM))
+
+
+# Eigenvectors are beyond SQL; tests hold them against a dense solver.
+@query("J9_factorised_embeddings")
+def j9_factorised(spark, sf):
+    return _components(factor_vectors(spark, sf))
+
+
+@query("P3_vector_kinds")
+def p3_kinds(spark, sf):
+    """The same recommender over each kind of item vector, on the same split."""
+    train, val = split(spark, sf)
+    stock = T.items(spark, sf)
+    collaborative, content = item_vectors(spark, sf)
+    learned = factor_vectors(spark, sf)
+    kinds = {
+        "projected": collaborative,
+        "factorised": learned,
+        "projected_blend": blended_vectors(spark, sf),
+        "factorised_blend": learning.blend_cold_items(content, learned, stock),
+    }
+    models = {name: candidates.vector_recommend(train, vectors) for name, vectors in kinds.items()}
+    return evaluation.compare(models, train, val, T.articles(spark, sf))
+
+
 @query(
     "J10_cold_item_blend",
     "SELECT article_id, pos::INTEGER AS pos, round(vector[pos + 1], 6) AS x FROM blend, (SELECT unnest(range(0, 64)) AS pos)",

@@ -329,17 +329,17 @@ def k11(spark, sf):
 
 @query(
     "K12_degradation_flag",
-    """SELECT k.list_id, p.article_id, 1.0::DOUBLE AS score, 'popularity_fallback' AS label, 'retrieval' AS degraded
-       FROM (SELECT * FROM keys WHERE list_id % 3 = 0) k JOIN popular p USING (region, age_band) WHERE p.rank <= 500
-       UNION ALL SELECT * FROM routed WHERE list_id % 3 <> 0""",
+    """SELECT list_id, article_id, score, label, degraded FROM routed
+       UNION ALL SELECT k.list_id, p.article_id, 1.0::DOUBLE, 'popularity_fallback', 'retrieval'
+       FROM (SELECT * FROM keys WHERE list_id NOT IN (SELECT list_id FROM routed)) k JOIN popular p USING (region, age_band)
+       WHERE p.rank <= 500""",
     "keys popular routed",
 )
 def k12(spark, sf):
-    # Every third list has no query that could reach an item, so it falls back; the others are served as ever.
+    # Which lists fall back follows from the data: those whose intents reach no item.
     seen = sessions(spark, sf).select("list_id", "article_id").distinct()
-    asked = session_intents(spark, sf).filter(F.col("list_id") % 3 != 0)
     return candidates.feed_candidates(
-        contexts(spark, sf), asked, T.vectors(spark, sf), seen, popular_items(spark, sf)
+        contexts(spark, sf), session_intents(spark, sf), T.vectors(spark, sf), seen, popular_items(spark, sf)
     ).drop("rank")
 
 

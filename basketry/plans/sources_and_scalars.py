@@ -160,6 +160,28 @@ def a5(spark, sf):
     return reports.profile(tx, ["price", "quantity", "article_id", "age"])
 
 
+@query(
+    "A5_shape_and_types",
+    """SELECT position::INTEGER AS position, "column", type, (SELECT count(*) FROM tx) AS n_rows, 7 AS n_columns FROM (VALUES
+         (0, 'order_id', 'bigint'), (1, 'article_id', 'bigint'), (2, 'line_no', 'int'), (3, 'paid', 'double'), (4, 'quantity', 'double'),
+         (5, 'price', 'double'), (6, 'customer_id', 'bigint')) t(position, "column", type)""",
+    "tx",
+)
+def a5_shape(spark, sf):
+    names = ["order_id", "article_id", "line_no", "paid", "quantity", "price", "customer_id"]
+    return reports.shape_and_types(T.transactions(spark, sf).select(*names))
+
+
+@query(
+    "A5_head",
+    """SELECT order_id, line_no, customer_id, article_id, round(paid, 6) AS paid FROM tx ORDER BY order_id, line_no, article_id, paid LIMIT 5""",
+    "tx",
+)
+def a5_head(spark, sf):
+    rows = reports.head(T.transactions(spark, sf), ["order_id", "line_no", "article_id", "paid"])
+    return rows.select("order_id", "line_no", "customer_id", "article_id", F.round("paid", 6).alias("paid"))
+
+
 @query("A6_split_report", REPORT_SQL, "s_train s_val s_items s_users")
 def a6(spark, sf):
     return reports.split_report(samples(spark, sf))
