@@ -23,7 +23,7 @@ from basketry.session import durable
 HELD_PAIRS = 262_144
 # Bytes of the texts that a task has in hand as lists of ids, or one longer text; and links as arrays.
 SLICE_BYTES = 1_000_000
-SLICE_TOKENS = 250_000
+SLICE_TOKENS = 125_000
 # Slots of the table that finds a held pair at once, where no other pair has taken the slot.
 SLOTS = 1 << 20
 # Distinct pairs that a task adds up before it hands them on.
@@ -128,17 +128,22 @@ class Batch:
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n_a)), np.diff(self.link_first))
 
-    def groups(self, a_names: list[str], b_names: list[str]) -> list[str]:
-        """'a1,a2|b1;a3|b2,b3' of each document: ids in order, groups in order."""
-        a, b = [a_names[i] for i in self.a.tolist()], [b_names[i] for i in self.b.tolist()]
-        a_stop, b_stop = (self.a_last + 1).tolist(), (self.b_last + 1).tolist()
-        a_start, b_start = [0, *a_stop[:-1]], [0, *b_stop[:-1]]
-        all_of = [
-            (a[i] if j == i + 1 else ",".join(a[i:j])) + "|" + (b[k] if m == k + 1 else ",".join(b[k:m]))
-            for i, j, k, m in zip(a_start, a_stop, b_start, b_stop)
-        ]
-        first = self.group_first.tolist()
-        return [";".join(all_of[i:j]) for i, j in zip(first, first[1:])]
+    def groups(self, numerals: Joined) -> list[str]:
+        """'a1,a2|b1;a3|b2,b3' of each document: ids in order, groups in order. `numerals` spells ids, with room for a sign."""
+        a_own = np.searchsorted(self.a_last, np.arange(len(self.a)))
+        b_own = np.searchsorted(self.b_last, np.arange(len(self.b)))
+        # A group's tokens of the first list, then those of the second.
+        a_at = np.arange(len(self.a)) + np.concatenate([[0], self.b_last + 1])[a_own]
+        b_at = np.arange(len(self.b)) + self.a_last[b_own] + 1
+        ids, signs = np.empty(len(self.a) + len(self.b), np.int64), np.full(len(self.a) + len(self.b), ord(","), np.uint8)
+        ids[a_at], ids[b_at] = self.a, self.b
+        signs[a_at[self.a_last]], signs[b_at[self.b_last]] = ord("|"), ord(";")
+        sizes = numerals.sizes[ids]
+        raw, ends = ragged(numerals.raw, numerals.starts[ids], sizes), np.cumsum(sizes)
+        raw[ends - 1] = signs
+        stops = np.concatenate([[0], ends])[self.a_first + self.b_first].tolist()
+        text = raw.tobytes().decode("ascii")
+        return [text[i : max(i, j - 1)] for i, j in zip(stops, stops[1:])]
 
 
 def slot_of(pairs: np.ndarray) -> np.ndarray:
@@ -299,7 +304,8 @@ def align(
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = coders(*files)
-        a_names, b_names = once(("names", *files), lambda: [[str(i) for i in range(len(x))] for x in (both.a_bytes, both.b_bytes)])
+        most = max(len(both.a_bytes), len(both.b_bytes))
+        numerals = once(("numerals", most), lambda: Joined([f"{i} ".encode() for i in range(most)]))
         b_size = len(both.b_bytes)
         for batch in batches:
             for start, stop, part in batches_of(batch):
@@ -309,7 +315,7 @@ def align(
                 made = {
                     "a_ids": lambda: pa.ListArray.from_arrays(pa.array(part.a_first, pa.int32()), pa.array(part.a, pa.int32())),
                     "b_ids": lambda: pa.ListArray.from_arrays(pa.array(part.b_first, pa.int32()), pa.array(part.b, pa.int32())),
-                    "groups": lambda: pa.array(part.groups(a_names, b_names), pa.string()),
+                    "groups": lambda: pa.array(part.groups(numerals), pa.string()),
                 }
                 figures = [part.n_a, part.n_b, np.diff(part.group_first), np.diff(part.link_first), *map(np.diff, sums)]
                 kept = [batch.column(k).slice(start, stop - start) for k in (0, 1)]
