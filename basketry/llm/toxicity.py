@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,8 +30,6 @@ RIDGE = 1e-5
 SWAP_WEIGHT = 4.0
 ROUNDS = 400
 SLICE_CHARS = 2_000_000
-# Sentences with a group term that one text gives to the fit; they are spread over the text.
-SWAPS_PER_TEXT = 16
 
 # Terms for groups of people beside neutral ones. Terms of a set may stand for one another in a sentence.
 IDENTITY_SETS = (
@@ -88,12 +88,36 @@ def present(texts: Sequence[str], wanted: np.ndarray | None = None) -> tuple[np.
     return feature, owner
 
 
-def swapped(text: str, most: int = SWAPS_PER_TEXT) -> list[tuple[str, str]]:
-    """Sentences with a group term, beside the same with the next term of its set."""
-    following = {t: s[(i + 1) % len(s)] for s in IDENTITY_SETS for i, t in enumerate(s)}
-    held = [s for s in SENTENCE.findall(text.lower()) if any(t in following for t in TERM.findall(s))]
-    step = max(1, -(-len(held) // most))
-    return [(s, TERM.sub(lambda m: following.get(m[0], m[0]), s)) for s in held[::step]]
+FOLLOWING = {t: s[(i + 1) % len(s)] for s in IDENTITY_SETS for i, t in enumerate(s)}
+
+
+def swapped(text: str) -> list[tuple[str, str]]:
+    """Every sentence with a group term, beside the same with the next term of its set."""
+    held = [s for s in SENTENCE.findall(text.lower()) if any(t in FOLLOWING for t in TERM.findall(s))]
+    return [(s, TERM.sub(lambda m: FOLLOWING.get(m[0], m[0]), s)) for s in held]
+
+
+def differences(text: str, wanted: np.ndarray) -> dict[tuple[tuple[int, ...], tuple[int, ...]], float]:
+    """(features lost, features gained) by a swap -> its share of the text's sentences that change at all.
+
+    A change of score depends on these features alone, so that sentences with equal ones count as one, and the shares of
+    a text add up to 1 whatever its length.
+    """
+    pairs = swapped(text)
+    times: Counter = Counter()
+    for start, stop in slices([len(a) + len(b) for a, b in pairs], SLICE_CHARS):
+        sides = []
+        for side in (0, 1):
+            feature, owner = present([p[side] for p in pairs[start:stop]], wanted)
+            sides.append(set(zip(owner.tolist(), feature.tolist())))
+        lost, gained = defaultdict(list), defaultdict(list)
+        for into, found in ((lost, sides[0] - sides[1]), (gained, sides[1] - sides[0])):
+            for owner, feature in found:
+                into[owner].append(feature)
+        for owner in lost.keys() | gained.keys():
+            times[tuple(sorted(lost[owner])), tuple(sorted(gained[owner]))] += 1
+    total = times.total()
+    return {d: n / total for d, n in times.items()}
 
 
 def fit(
@@ -101,12 +125,14 @@ def fit(
     toxic: np.ndarray,
     weight: np.ndarray,
     swaps: list[tuple[np.ndarray, np.ndarray]],
+    share: np.ndarray,
     chosen: np.ndarray,
     ridge: float = RIDGE,
     swap_weight: float = SWAP_WEIGHT,
 ) -> tuple[np.ndarray, float]:
     """Logistic weights of the chosen features, and the bias. Loss: weighted log loss + ridge * |w|^2 + swap_weight *
-    mean squared change of a sentence's log odds when its group terms are swapped. Full-batch Adam, always the same."""
+    mean squared change of a sentence's log odds when its group terms are swapped; `share` says how much each swap
+    (features lost, features gained) counts in that mean. Full-batch Adam, always the same."""
     place = np.full(FEATURES, -1)
     place[chosen] = np.arange(len(chosen))
     item = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -117,6 +143,7 @@ def fit(
     sign = np.repeat([-1.0, 1.0], [sum(len(s[k]) for s in swaps) for k in (0, 1)])
     pair, sign, other = pair[other >= 0].astype(np.int64), sign[other >= 0], other[other >= 0]
     n, total = len(chosen), max(weight.sum(), 1e-9)
+    share = share / max(share.sum(), 1e-9)
     rate = np.clip((weight * toxic).sum() / total, 1e-3, 1 - 1e-3)
     w, bias = np.zeros(n), float(np.log(rate / (1 - rate)))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -126,7 +153,7 @@ def fit(
         slope = np.bincount(feature, wrong[item], n) + 2 * ridge * w
         if swaps:
             change = np.bincount(pair, sign * w[other], len(swaps))
-            slope += swap_weight * 2 / len(swaps) * np.bincount(other, sign * change[pair], n)
+            slope += swap_weight * 2 * np.bincount(other, sign * (share * change)[pair], n)
         g = np.append(slope, wrong.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -161,12 +188,24 @@ def _evidence(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Colum
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str, sample_docs: int = SAMPLE_DOCS):
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str,
+    text_col: str,
+    toxic_col: str,
+    sample_docs: int = SAMPLE_DOCS,
+    most_features: int = CHOSEN,
+    min_docs: int = MIN_DOCS,
+    min_g: float = MIN_G,
+):
     """(weight of every feature, bias) from labelled documents; None if the labels do not hold both classes.
 
     About `sample_docs` documents of each class are used, all if there are fewer; a document with any label 1 is toxic.
-    Features are chosen by how surely they tell the classes apart. What reaches the driver is bounded by the sample and by
-    CHOSEN features of each document.
+    Features are chosen by how surely they tell the classes apart: the `most_features` best of those in `min_docs`
+    documents or more with a G of at least `min_g`. All sentences with a group term are swapped, and a text counts
+    for the same however many it has. What reaches the driver is bounded by the sample, by `most_features` of each
+    document and by the different swaps of its sentences.
     """
     marks = labels.filter(column(id_col).isNotNull() & column(toxic_col).isin(0, 1))
     marks = durable(marks.groupBy(column(id_col).alias("_lid")).agg(F.max(column(toxic_col)).cast("int").alias("toxic")))
@@ -184,8 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_
     if len(held) < 2:
         return None
     strong = counted.withColumn("g", _evidence(F.col("clean"), F.col("toxic"), held[0], held[1]))
-    strong = strong.filter((F.col("clean") + F.col("toxic") >= MIN_DOCS) & (F.col("g") >= MIN_G))
-    best = strong.orderBy(F.desc("g"), "feature").limit(CHOSEN).select("feature").toPandas()
+    strong = strong.filter((F.col("clean") + F.col("toxic") >= min_docs) & (F.col("g") >= min_g))
+    best = strong.orderBy(F.desc("g"), "feature").limit(most_features).select("feature").toPandas()
     chosen = np.sort(best["feature"].to_numpy())
     wanted = np.zeros(FEATURES, bool)
     wanted[chosen] = True
@@ -194,16 +233,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_
         for batch in batches:
             out = []
             for text, toxic in zip(batch["_text"], batch["toxic"]):
-                pairs = [[present([s], wanted)[0].tolist() for s in both] for both in swapped(text)]
-                out.append((toxic, present([text], wanted)[0].tolist(), [p for p in pairs if p[0] != p[1]]))
-            yield pd.DataFrame(out, columns=["toxic", "features", "swaps"])
+                changes = differences(text, wanted)
+                out.append((toxic, present([text], wanted)[0].tolist(), list(changes), list(changes.values())))
+            yield pd.DataFrame(out, columns=["toxic", "features", "swaps", "shares"])
 
-    found = sample.mapInPandas(reduce, "toxic int, features array<bigint>, swaps array<array<array<bigint>>>").collect()
+    shape = "toxic int, features array<bigint>, swaps array<array<array<bigint>>>, shares array<double>"
+    found = sample.mapInPandas(reduce, shape).collect()
     found.sort(key=lambda r: (r["toxic"], r["features"]))
     toxic = np.array([r["toxic"] for r in found], float)
     weight = np.where(toxic == 1, sizes[1] / held[1], sizes[0] / held[0])
-    swaps = [tuple(np.array(x, np.int64) for x in pair) for r in found for pair in r["swaps"]]
-    w, bias = fit([np.array(r["features"], np.int64) for r in found], toxic, weight, swaps, chosen)
+    shares = defaultdict(list)
+    for r in found:
+        for (lost, gained), share in zip(r["swaps"], r["shares"]):
+            shares[tuple(lost), tuple(gained)].append(share)
+    swaps = [tuple(np.array(x, np.int64) for x in d) for d in sorted(shares)]
+    share = np.array([math.fsum(shares[d]) for d in sorted(shares)])
+    w, bias = fit([np.array(r["features"], np.int64) for r in found], toxic, weight, swaps, share, chosen)
     full = np.zeros(FEATURES, np.float32)
     full[chosen] = w
     return full, bias
@@ -229,15 +274,17 @@ def score_documents(
     carry: Sequence[str] | None = None,
     threshold: float = THRESHOLD,
     sample_docs: int = SAMPLE_DOCS,
+    **choice,
 ) -> DataFrame:
     """The columns `carry` of `docs` (all if not given) with held_out, score and predicted added (replacing such names).
 
     Learns from `labels` (id, 0/1) of documents that are not held out; the score depends on the text alone. Words are cut
     to stems by their first bytes, so inflected forms count together. Null and empty texts get the score of no evidence;
     without labels of both classes every score is 0. A null id is not held out. Repeated rows are scored alike; an empty
-    table gives an empty result.
+    table gives an empty result. A text of any length is read whole, in one slice of its own beyond SLICE_CHARS.
+    `choice` goes to `train` (most_features, min_docs, min_g).
     """
-    model = train(docs, labels.filter(~held_out(column(id_col))), id_col, text_col, toxic_col, sample_docs)
+    model = train(docs, labels.filter(~held_out(column(id_col))), id_col, text_col, toxic_col, sample_docs, **choice)
     columns = list(docs.columns if carry is None else carry)
     rows = packed(docs, id_col, text_col, columns)
     if model is None:

@@ -201,3 +201,22 @@ def ridge(near, names, languages, between, penalty, asked):
         y = np.array([1.0 if x == lang else -1.0 for x in names])
         out.append(np.hstack([asked @ root, np.ones((len(asked), 1))]) @ f.T @ np.linalg.solve(gram + penalty * np.diag(1 / share), y))
     return np.array(out).T
+
+
+def toxicity_features(text):
+    """The classifier's features of one text, word by word."""
+    from basketry.llm import toxicity
+    from basketry.llm.common import Words
+
+    def code(part):
+        return int(Words([part]).hashes()[0])
+
+    seen = Counter()
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", text.lower().encode()):
+        word = word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        if word:
+            seen[code(word) % toxicity.BUCKETS] += 1
+        for n in toxicity.STEMS:
+            if len(word) > n:
+                seen[((code(word[:n]) >> 2 * n) ^ n * 0x9E37) % toxicity.BUCKETS] += 1
+    return {b + level * toxicity.BUCKETS for b, n in seen.items() for level in range(toxicity.LEVELS) if n > level}

@@ -380,6 +380,58 @@ def test_swaps_keep_the_rest():
     assert all(len(a.split()) == len(b.split()) for a, b in pairs)
 
 
+def test_toxicity_features_and_score_beside_plain():
+    texts = ["", "Hello, (HELLO) hello... helloing", "-- ?! !", "éclair's ÉCLAIR a\tb\x0cc", "one two " * 40, "x" * 30_000]
+    feature, owner = toxicity.present(texts)
+    for i, text in enumerate(texts):
+        assert set(feature[owner == i].tolist()) == plain.toxicity_features(text)
+    r = np.random.default_rng(3)
+    weights = np.where(r.random(toxicity.FEATURES) < 0.5, r.normal(size=toxicity.FEATURES), 0).astype(np.float32)
+    got = toxicity.scores(texts, weights, -0.25)
+    for text, score in zip(texts, got):
+        z = -0.25 + math.fsum(float(weights[f]) for f in plain.toxicity_features(text))
+        assert math.isclose(score, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_toxicity_fit_reaches_the_least_loss():
+    r = np.random.default_rng(5)
+    chosen = np.array([2, 7, 11, 40])
+    rows = [chosen[r.random(4) < 0.5] for _ in range(60)]
+    toxic = np.array([float(7 in x) if r.random() < 0.9 else float(r.random() < 0.5) for x in rows])
+    weight = r.uniform(0.5, 2, 60)
+    swaps, share = [(np.array([7, 3]), np.array([11])), (np.array([2]), np.array([], np.int64))], np.array([3.0, 1.0])
+    w, bias = toxicity.fit(rows, toxic, weight, swaps, share, chosen, 0.01, 0.5)
+
+    def loss(w, bias):
+        of = dict(zip(chosen.tolist(), w))
+        z = [bias + sum(of[f] for f in x) for x in rows]
+        log_loss = sum(u * math.log(1 + math.exp(-v if y else v)) for u, v, y in zip(weight, z, toxic)) / weight.sum()
+        moved = [sum(of.get(f, 0) for f in b) - sum(of.get(f, 0) for f in a) for a, b in swaps]
+        return log_loss + 0.01 * sum(x * x for x in w) + 0.5 * sum(s * m * m for s, m in zip(share, moved)) / share.sum()
+
+    least = loss(w, bias)
+    for i in range(5):
+        for step in (-0.05, 0.05):
+            other = np.append(w, bias)
+            other[i] += step
+            assert loss(other[:4], other[4]) > least
+
+
+def test_all_swaps_of_a_text_count_as_one_text():
+    wanted = np.ones(toxicity.FEATURES, bool)
+    texts = ["", "no group here.", "A woman left.", "A woman left. " * 50 + "The people stay! A woman, a woman."]
+    for text in texts:
+        pairs = toxicity.swapped(text)
+        moved = Counter()
+        for a, b in pairs:
+            a, b = plain.toxicity_features(a), plain.toxicity_features(b)
+            moved[tuple(sorted(a - b)), tuple(sorted(b - a))] += 1
+        got = toxicity.differences(text, wanted)
+        assert got == {d: n / moved.total() for d, n in moved.items()}
+        assert not got or math.isclose(sum(got.values()), 1)
+    assert len(toxicity.swapped(texts[-1])) == 52 and len(got) == 3
+
+
 @pytest.mark.parametrize("operate", [lambda d: bpe.encode(d, WORDS_FILE), lambda d: packing.pack_documents(d, BYTES_FILE)])
 def test_empty_table(spark, operate):
     assert operate(spark.createDataFrame([], SCHEMA)).count() == 0
