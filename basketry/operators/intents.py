@@ -117,8 +117,12 @@ def intent_vectors(events: DataFrame, vectors: DataFrame, key: str = "list_id",
 
 
 def infer_intents(keys: DataFrame, events: DataFrame, vectors: DataFrame, dim: int, key: str = "list_id") -> DataFrame:
-    """Intents of every key. No event, or none with a vector: one cold start with a zero vector and weight 1."""
-    heads = intent_vectors(events, vectors, key)
+    """Intents of every key, by category. No event, or none with a vector: one cold start with a zero vector and weight 1."""
+    return labelled_intents(keys, events, intent_vectors(events, vectors, key), dim, key)
+
+
+def labelled_intents(keys: DataFrame, events: DataFrame, heads: DataFrame, dim: int, key: str = "list_id") -> DataFrame:
+    """Heads (key, intent_rank, weight, vector) with the session's label of the same rank; keys without one start cold."""
     labels = ranked_labels(label_scores(events, key), key).select(key, F.col("label_rank").alias("intent_rank"), "label")
     warm = heads.join(labels, [key, "intent_rank"])
     found = keys.select(key).join(warm, key, "left")

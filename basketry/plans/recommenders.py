@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import COLD_START
-from basketry.operators import candidates, covisit, evaluation, intents
+from basketry.operators import candidates, clusters, covisit, evaluation, intents
 from basketry.operators.features import build_features
 from basketry.plans import surfaces
 from basketry.plans.joins_and_reports import serving_meta
@@ -134,6 +134,32 @@ def l5(spark, sf):
     return out.withColumn("x", F.round("x", 6))
 
 
+def clustered_heads(spark, sf):
+    rows = shared("history session", sf, lambda: history_session(spark, sf))
+    return shared("clustered heads", sf, lambda: clusters.clustered_intents(rows, T.vectors(spark, sf), DIM))
+
+
+def clustered_history_intents(spark, sf):
+    rows = shared("history session", sf, lambda: history_session(spark, sf))
+    return intents.labelled_intents(rows.select("list_id").distinct(), rows, clustered_heads(spark, sf), DIM)
+
+
+# Clusters are beyond SQL; tests/test_clusters.py holds the whole result of this query against a plain loop.
+@query("L5_clustered_intents")
+def l5_clustered(spark, sf):
+    return clustered_heads(spark, sf).select("list_id", "intent_rank", "article_id", "events", F.round("weight", 6).alias("weight"))
+
+
+# What SQL can hold of it: each session's mapped events are shared out among its heads, all of them once.
+@query(
+    "L5_clustered_events",
+    "SELECT list_id, count(*) AS events, 1.0::DOUBLE AS weight FROM h_events SEMI JOIN vectors USING (article_id) GROUP BY 1",
+    "h_events vectors",
+)
+def l5_clustered_events(spark, sf):
+    return clustered_heads(spark, sf).groupBy("list_id").agg(F.sum("events").alias("events"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
 @query(
     "L6_history_session_rows",
     "SELECT list_id, article_id, ts, price, category_l1 FROM h_events",
@@ -186,6 +212,12 @@ def i6_report(spark, sf):
     return found.withColumn("mean_cosine", F.round("mean_cosine", 6)).withColumn("max_cosine", F.round("max_cosine", 6))
 
 
+@query("I6_clustered_collapse")
+def i6_clustered(spark, sf):
+    found = intents.collapse_report(intents.pairwise_cosine(clustered_heads(spark, sf)))
+    return found.withColumn("mean_cosine", F.round("mean_cosine", 6)).withColumn("max_cosine", F.round("max_cosine", 6))
+
+
 @query(
     "K1_covisit_recommend",
     "SELECT user_id, article_id, score, rank FROM covisit_recs",
@@ -256,6 +288,13 @@ def k3(spark, sf):
     return candidates.multi_intent_recommend(history_intents(spark, sf), T.vectors(spark, sf), seen)
 
 
+@query("K3_clustered_recommend")
+def k3_clustered(spark, sf):
+    train, _ = split(spark, sf)
+    seen = candidates.seen_by(train).withColumnRenamed("customer_id", "list_id")
+    return candidates.multi_intent_recommend(clustered_history_intents(spark, sf), T.vectors(spark, sf), seen)
+
+
 def popular_items(spark, sf):
     return shared("popular", sf, lambda: candidates.popularity(split(spark, sf)[0], T.users(spark, sf)))
 
@@ -402,6 +441,14 @@ def p3(spark, sf):
     return evaluation.compare(models, train, val, T.articles(spark, sf))
 
 
+@query("P3_intent_kinds")
+def p3_intents(spark, sf):
+    """The same recommender over both kinds of session intents, on the same split."""
+    train, val = split(spark, sf)
+    models = {"category_intents": k3(spark, sf), "clustered_intents": k3_clustered(spark, sf)}
+    return evaluation.compare(models, train, val, T.articles(spark, sf))
+
+
 @query(
     "G2_recommended_items",
     "SELECT count(DISTINCT article_id) AS recommended FROM (SELECT article_id FROM covisit_recs UNION SELECT article_id FROM vector_recs)",
