@@ -640,6 +640,56 @@ def o5(spark, sf):
     return S.update_to(S.rolling_popularity(stream), "popularity", shape, keys).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
+def segment_panes(spark, sf):
+    shape = "pane timestamp, region string, age_band string, article_id bigint, n bigint"
+
+    def made():
+        counted = S.segment_panes(S.typed(S.event_stream(spark, sf)), T.users(spark, sf))
+        return S.update_to(counted, "panes", shape, ["pane", "region", "age_band", "article_id"])
+
+    return shared("segment panes", sf, made)
+
+
+view(
+    "panes",
+    ("clicks", "banded"),
+    """SELECT time_bucket(INTERVAL '10 minutes', ts) AS pane, coalesce(region, 'unknown') AS region,
+         coalesce(age_band, 'unknown') AS age_band, article_id, count(*) AS n
+       FROM clicks LEFT JOIN banded ON customer_id = user_id GROUP BY 1, 2, 3, 4""",
+)
+view(
+    "sellers",
+    ("panes",),
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, region, age_band ORDER BY n DESC, article_id) AS rank FROM (
+         SELECT as_of, region, age_band, article_id, sum(n)::BIGINT AS n FROM (
+           SELECT pane + to_minutes(10 * k) AS as_of, region, age_band, article_id, n FROM panes, (SELECT unnest(range(1, 7)) AS k)
+             WHERE region <> 'unknown' OR age_band <> 'unknown'
+           UNION ALL SELECT pane + to_minutes(10 * k), 'unknown', 'unknown', article_id, n
+             FROM panes, (SELECT unnest(range(1, 7)) AS k)) GROUP BY 1, 2, 3, 4)) WHERE rank <= 20""",
+)
+
+
+@query(
+    "O5_segment_best_sellers",
+    "SELECT as_of::TIMESTAMP AS as_of, region, age_band, article_id, n, rank::INTEGER AS rank FROM sellers",
+    "sellers",
+)
+def o5_segments(spark, sf):
+    return S.best_sellers(segment_panes(spark, sf), 20).withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
+
+
+@query(
+    "O5_live_lists",
+    """SELECT list_id, article_id, rank::INTEGER AS rank FROM keys JOIN (SELECT * FROM sellers
+         WHERE as_of = (SELECT max(pane) + INTERVAL '10 minutes' FROM panes)) USING (region, age_band)""",
+    "keys sellers panes",
+)
+def o5_live(spark, sf):
+    """Every customer's list from the best sellers of the last hour of the stream."""
+    stock = S.live_best_sellers(segment_panes(spark, sf), 20)
+    return candidates.popular_for(contexts(spark, sf), stock, 20, "live").select("list_id", "article_id", "rank")
+
+
 @query(
     "O6_latency_counters",
     "SELECT event_type AS stage, count(*) AS latency_count, round(sum(value), 3) AS latency_sum FROM events GROUP BY 1",

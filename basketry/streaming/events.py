@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from basketry.functions.columns import UNKNOWN, session_key
+from basketry.functions.columns import UNKNOWN, age_band, session_key
+from basketry.operators.skew import newest
 from basketry.session import scratch_path
 
 # Fixed values
 SESSION_EVENTS = 20
 IDLE_SECONDS = 1800
 WATERMARK = "10 minutes"
+# Best sellers of the last hour are summed from panes of this length.
+PANE_MINUTES = 10
+LIVE_MINUTES = 60
+# Folders of updates that are folded into one.
+FAN = 8
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 STATE = "article_ids array<bigint>, micros array<bigint>, event_ids array<bigint>"
@@ -86,26 +92,59 @@ def append_to(stream: DataFrame, label: str) -> str:
     return out
 
 
-def update_to(stream: DataFrame, label: str, schema: str, keys: list[str]) -> DataFrame:
+def folds(count: int, fan: int = FAN) -> list[tuple[int, int]]:
+    """(level, last batch) of the tables to be made once `count` batches are in: level l holds fan**l batches."""
+    return [(level, count) for level in range(1, 64) if fan**level <= count and count % fan**level == 0]
+
+
+def cover(count: int, fan: int = FAN) -> list[tuple[int, int]]:
+    """(level, last batch) of the fewest tables that hold the first `count` batches."""
+    out, upto, level = [], 0, 0
+    while fan ** (level + 1) <= count:
+        level += 1
+    while level >= 0:
+        if upto + fan**level <= count:
+            upto += fan**level
+            out.append((level, upto))
+        else:
+            level -= 1
+    return out
+
+
+def last_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the newest batch for each key, null keys included."""
+    rest = [c for c in rows.columns if c not in keys and c != "_batch"]
+    newest = F.max_by(F.struct(*rest), "_batch").alias("_last")
+    return rows.groupBy(*keys).agg(newest, F.max("_batch").alias("_batch")).select(*keys, "_last.*", "_batch")
+
+
+def update_to(stream: DataFrame, label: str, schema: str, keys: list[str], fan: int = FAN) -> DataFrame:
     """Run an update stream and return the last row of each key.
 
-    Every micro-batch rewrites the table of last rows into one of two folders by turns, from the other one and its own
-    updates, so a replayed batch writes the same again, and no more than two copies exist however many batches there are.
+    A micro-batch writes its own updates alone, to a folder named by its number. Each `fan` folders are folded into one of the
+    next level, which keeps the last row of each key, so a row is written once and again once per level, and a read
+    meets fewer than `fan` folders of each. A replayed batch writes the same folders with the same rows. Folders that
+    were folded stay until their parent folder goes.
     """
     spark = stream.sparkSession
     out = scratch_path(spark, label)
+    full = f"{schema}, _batch bigint"
+    names = spark.createDataFrame([], schema).columns
     done: list[int] = []
 
+    def read(parts: list[tuple[int, int]], session: SparkSession) -> DataFrame:
+        return last_rows(session.read.schema(full).parquet(*[f"{out}/{level}/{end}" for level, end in parts]), keys)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*[F.col(f.name) for f in shape])
-        if batch_id:
-            before = batch.sparkSession.read.schema(schema).parquet(f"{out}/{(batch_id - 1) % 2}")
-            same = [before[k].eqNullSafe(rows[k]) for k in keys]
-            rows = rows.unionByName(before.join(rows.select(*keys), same, "left_anti"))
-        rows.write.mode("overwrite").parquet(f"{out}/{batch_id % 2}")
-        done.append(batch_id)
-
-    shape = spark.createDataFrame([], schema).schema
+        count = batch_id + 1
+        rows = batch.select(*names, F.lit(batch_id).cast("bigint").alias("_batch"))
+        rows.write.mode("overwrite").parquet(f"{out}/0/{count}")
+        for level, end in folds(count, fan):
+            size = fan ** (level - 1)
+            parts = [(level - 1, end - k * size) for k in range(fan)]
+            read(parts, batch.sparkSession).select(*names, "_batch").write.mode("overwrite").parquet(f"{out}/{level}/{end}")
+        done.append(count)
+
     started = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", scratch_path(spark, f"{label}-progress"))
@@ -114,7 +153,7 @@ def update_to(stream: DataFrame, label: str, schema: str, keys: list[str]) -> Da
         .start()
     )
     finish(started)
-    return spark.read.schema(schema).parquet(f"{out}/{done[-1] % 2}") if done else spark.createDataFrame([], schema)
+    return read(cover(done[-1], fan), spark).select(*names) if done else spark.createDataFrame([], schema)
 
 
 def _newest_per_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,5 +221,53 @@ def rolling_popularity(events: DataFrame, window: str = "1 hour") -> DataFrame:
     return counted.agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "article_id", "n")
 
 
+def segment_panes(events: DataFrame, users: DataFrame, pane_minutes: int = PANE_MINUTES) -> DataFrame:
+    """Events per pane of time, region, age band and article: a stream (ts, user_id, article_id) beside a static table.
+
+    Customers that the table lacks count under 'unknown'. Counts combine map-side, and state holds the panes that the
+    watermark has not passed.
+    """
+    who = users.select(F.col("customer_id").alias("user_id"), "region", age_band(F.col("age")).alias("age_band"))
+    placed = events.select("user_id", "article_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", WATERMARK)
+    segment = [F.coalesce(c, F.lit(UNKNOWN)).alias(c) for c in ("region", "age_band")]
+    counted = placed.join(who, "user_id", "left").groupBy(F.window("ts", f"{pane_minutes} minutes"), *segment, "article_id")
+    return counted.agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("window.start").alias("pane"), "region", "age_band", "article_id", "n"
+    )
+
+
+def best_sellers(
+    panes: DataFrame, limit: int, pane_minutes: int = PANE_MINUTES, live_minutes: int = LIVE_MINUTES
+) -> DataFrame:
+    """The `limit` best sellers of each segment at the end of every pane: (as_of, region, age_band, article_id, n, rank).
+
+    A pane counts for `live_minutes` and is gone afterwards; a segment without a live pane has no row. ('unknown',
+    'unknown') holds everybody. Exact: what is summed is one row per pane, segment and article, whatever the events. Equal
+    counts go to the smaller article.
+    """
+    ends = [F.make_dt_interval(mins=F.lit(m)) for m in range(pane_minutes, live_minutes + 1, pane_minutes)]
+    lived = panes.withColumn("as_of", F.explode(F.array(*[F.col("pane") + e for e in ends])))
+    return _ranked(lived, limit)
+
+
+def live_best_sellers(
+    panes: DataFrame, limit: int, pane_minutes: int = PANE_MINUTES, live_minutes: int = LIVE_MINUTES
+) -> DataFrame:
+    """As `best_sellers`, at the end of the newest pane alone."""
+    now = panes.select(F.max("pane")).scalar() + F.make_dt_interval(mins=F.lit(pane_minutes))
+    lived = panes.withColumn("as_of", now)
+    return _ranked(lived.filter(F.col("pane") >= F.col("as_of") - F.make_dt_interval(mins=F.lit(live_minutes))), limit)
+
+
+def _ranked(lived: DataFrame, limit: int) -> DataFrame:
+    counted = lived.groupBy("as_of", "region", "age_band", "article_id").agg(F.sum("n").alias("n"))
+    everybody = counted.groupBy("as_of", "article_id").agg(F.sum("n").alias("n"))
+    whole = everybody.select("as_of", F.lit(UNKNOWN).alias("region"), F.lit(UNKNOWN).alias("age_band"), "article_id", "n")
+    named = counted.filter((F.col("region") != UNKNOWN) | (F.col("age_band") != UNKNOWN))
+    return newest(
+        named.unionByName(whole), ["as_of", "region", "age_band"], [F.desc("n"), F.asc("article_id")], limit, "rank"
+    )
+
+
 def latency_counters(requests: DataFrame) -> DataFrame:
     return requests.groupBy("stage").agg(F.count(F.lit(1)).alias("latency_count"), F.sum("millis").alias("latency_sum"))

@@ -3,10 +3,13 @@
 import datetime as dt
 import random
 import time
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.functions.columns import age_band
 from basketry.operators import compliance, intents, reports, sampling
 from basketry.plans import catalogue
 from basketry.session import scratch_path
@@ -160,6 +163,63 @@ def test_shuffled_arrival_inside_the_watermark_equals_the_batch_job(spark):
     assert got == want
 
 
+def test_folders_of_updates_cover_all_batches_once():
+    for fan in (2, 3, 8):
+        made = set()
+        for count in range(1, 200):
+            made |= {(0, count), *S.folds(count, fan)}
+            held = []
+            for level, end in S.cover(count, fan):
+                assert (level, end) in made
+                held += range(end - fan**level + 1, end + 1)
+            assert held == list(range(1, count + 1))
+            assert max(Counter(level for level, _ in S.cover(count, fan)).values()) < fan
+
+
+def test_last_rows_over_many_batches_and_what_each_writes(spark):
+    rows = [(m, m, m % 5) for m in range(33)]
+    state = S.session_state(S.with_defaults(S.typed(stream_of(spark, [[r] for r in rows[:11]]))), 1800)
+    last = S.update_to(state.filter(~F.col("expired")), "few", S.SESSION, ["session_key"], fan=3)
+    assert {r.session_key: r.article_ids for r in last.collect()} == {
+        f"sess:{u}": [m for m, _, w in reversed(rows[:11]) if w == u] for u in range(5)
+    }
+    folder = Path(last.inputFiles()[0].removeprefix("file:")).parents[2]
+    for batch in (folder / "0").iterdir():
+        assert spark.read.parquet(str(batch)).count() <= 1  # its own update, not the table
+    assert {p.name for p in (folder / "1").iterdir()} >= {"3", "6", "9"} and (folder / "2" / "9").exists()
+
+
+def test_best_sellers_by_segment_expire(spark):
+    r = random.Random(6)
+    rows = [(r.randint(0, 300), r.randint(1, 9), r.choice([1, 2, 3, 4, None])) for _ in range(400)]
+    arrivals = sorted(rows, key=lambda x: x[0] + r.uniform(0, 9))  # at most nine minutes late
+    users = spark.createDataFrame([(1, 20, "north"), (2, 20, "north"), (3, 70, None)], "customer_id bigint, age int, region string")
+    bands = {u.customer_id: (u.region or "unknown", u.band) for u in users.select("*", age_band(F.col("age")).alias("band")).collect()}
+    stream = S.typed(stream_of(spark, [arrivals[i : i + 80] for i in range(0, 400, 80)]))
+    shape = "pane timestamp, region string, age_band string, article_id bigint, n bigint"
+    panes = S.update_to(S.segment_panes(stream, users), "panes", shape, ["pane", "region", "age_band", "article_id"], fan=2)
+    start, want = dt.datetime(2024, 1, 1), {}
+    for as_of in range(0, 400, 10):
+        counts = Counter()
+        for minute, article, user in rows:
+            if as_of - 60 <= minute < as_of:
+                own = bands.get(user, ("unknown", "unknown"))
+                for segment in {own, ("unknown", "unknown")}:
+                    counts[segment, article] += 1
+        for segment in {k[0] for k in counts}:
+            best = sorted((-n, a) for (s, a), n in counts.items() if s == segment)[:3]
+            want |= {(start + dt.timedelta(minutes=as_of), *segment, i + 1): (a, -n) for i, (n, a) in enumerate(best)}
+    got = {(x.as_of, x.region, x.age_band, x["rank"]): (x.article_id, x.n) for x in utc(S.best_sellers(panes, 3)).collect()}
+    assert got == want
+    last = (max(m for m, _, _ in rows) // 10 + 1) * 10
+    live = {(x.as_of, x.region, x.age_band, x["rank"]): (x.article_id, x.n) for x in utc(S.live_best_sellers(panes, 3)).collect()}
+    assert live == {k: v for k, v in want.items() if k[0] == start + dt.timedelta(minutes=last)}
+
+
+def utc(rows):
+    return rows.withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
+
+
 def test_empty_stream_gives_no_rows(spark):
     stream = stream_of(spark, [[]])
     state = S.session_state(S.with_defaults(S.typed(stream)), 1800)
