@@ -629,6 +629,14 @@ def o4(spark, sf):
     return spark.read.parquet(S.append_to(S.event_stream(spark, sf), "event-log"))
 
 
+@query("O4_event_log_once", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def o4_once(spark, sf):
+    # Every event is delivered twice.
+    twice = S.event_stream(spark, sf).unionByName(S.event_stream(spark, sf))
+    log = spark.read.parquet(S.append_to(S.each_once(twice), "event-log-once"))
+    return log.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query(
     "O5_rolling_popularity",
     "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, article_id, count(*) AS n FROM clicks GROUP BY 1, 2",

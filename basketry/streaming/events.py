@@ -72,6 +72,17 @@ def typed(events: DataFrame) -> DataFrame:
     )
 
 
+def each_once(events: DataFrame) -> DataFrame:
+    """Events (event_id, ts, ...) without those whose id came before, for repeats that arrive within the watermark.
+
+    The first arrival stays; state holds the ids that the watermark has not passed. Events without an id all stay. Meant for the
+    log that counts are read from; session state drops repeats by itself.
+    """
+    named = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
+    key = F.coalesce(F.col("event_id").cast("string"), F.concat(F.lit("-"), F.uuid()))
+    return named.withColumn("_key", key).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+
+
 def finish(query: StreamingQuery) -> None:
     """Wait until the stream has read all that was there; however long that takes."""
     query.awaitTermination()
@@ -159,7 +170,7 @@ def update_to(stream: DataFrame, label: str, schema: str, keys: list[str], fan:
 def _newest_per_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Map-side trim: only a key's newest events of a batch can be among its newest events of all."""
     for batch in batches:
-        ordered = batch.sort_values(["ts", "event_id"])
+        ordered = batch.drop_duplicates().sort_values(["ts", "event_id"])
         yield ordered.groupby("session_key", sort=False).tail(SESSION_EVENTS)
 
 
@@ -177,7 +188,7 @@ def _keep_session(idle_seconds: int):
         for batch in batches:
             micros = batch["ts"].astype("datetime64[us]").astype("int64")
             held += list(zip(batch["article_id"].tolist(), micros.tolist(), batch["event_id"].tolist()))
-            held = sorted(held, key=lambda e: (e[1], e[2]), reverse=True)[:SESSION_EVENTS]
+            held = sorted(dict.fromkeys(held), key=lambda e: (e[1], e[2]), reverse=True)[:SESSION_EVENTS]
         # The newest events are all kept, since a late one may yet join them; only what is given out is cut to the session.
         session = held[:1]
         for event in held[1:]:
@@ -207,7 +218,7 @@ def session_state(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFr
 
     events (session_key, article_id, ts, event_id). A busy key is trimmed in every map task before the shuffle, and
     its state never holds more than its 20 newest events. An event that comes late, but within the watermark, joins what it
-    lies between.
+    lies between. One that comes again counts once, however late: it is among those held, or older than all of them.
     """
     slim = events.select("session_key", "article_id", "ts", "event_id")
     trimmed = slim.mapInPandas(_newest_per_key, slim.schema).withWatermark("ts", WATERMARK)

@@ -189,6 +189,27 @@ def test_last_rows_over_many_batches_and_what_each_writes(spark):
     assert {p.name for p in (folder / "1").iterdir()} >= {"3", "6", "9"} and (folder / "2" / "9").exists()
 
 
+def test_repeated_events_count_once(spark):
+    """A stream with repeats, in the same batch and in later ones, gives what one batch job over distinct events gives."""
+    r = random.Random(8)
+    rows = [(r.randint(0, 600), e, r.randint(1, 3)) for e in range(90)]
+    sent = rows + r.sample(rows, 60) + [x for x in rows[:3] for _ in range(30)]
+    arrivals = sorted(sent, key=lambda x: x[0] + r.uniform(0, 9))
+    batches = [arrivals[i : i + 60] for i in range(0, len(arrivals), 60)]
+    log = spark.read.parquet(S.append_to(S.each_once(stream_of(spark, batches)), "once"))
+    assert sorted(x.event_id for x in log.collect()) == list(range(90))
+    state = S.session_state(S.with_defaults(S.typed(stream_of(spark, batches))), 3600)
+    last = S.update_to(state.filter(~F.col("expired")), "once", S.SESSION, ["session_key"])
+    clicks = log.withColumn("article_id", F.col("event_id"))
+    tail = intents.current_sessions(clicks, 3600).groupBy("user_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("age", "article_id"))), lambda e: e["article_id"]).alias("article_ids")
+    )
+    want = tail.select(F.concat(F.lit("sess:"), F.col("user_id")).alias("session_key"), "article_ids")
+    assert session_rows(last) == session_rows(want)
+    nameless = stream_of(spark, [[(0, 1, 7), (0, 1, 7)]]).withColumn("event_id", F.lit(None).cast("bigint"))
+    assert spark.read.parquet(S.append_to(S.each_once(nameless), "nameless")).count() == 2
+
+
 def test_best_sellers_by_segment_expire(spark):
     r = random.Random(6)
     rows = [(r.randint(0, 300), r.randint(1, 9), r.choice([1, 2, 3, 4, None])) for _ in range(400)]
