@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 
 from basketry.functions.columns import UNKNOWN
 from basketry.operators import items as I
-from basketry.operators import candidates, covisit, evaluation, factors, guardrails, intents, learning, retrieval, sampling, sequences, vocab
-from basketry.operators.features import build_features
+from basketry.operators import boosting, candidates, covisit, evaluation, factors, guardrails, intents, learning, retrieval, sampling, sequences, vocab
+from basketry.operators.features import FEATURE_NAMES, build_features
 from basketry.plans import surfaces
 from basketry.plans.lists_and_people import capped_sql, feed_of
 from basketry.plans.recommenders import DIM, UNIT, catalogue_of, contexts, sessions
@@ -294,6 +294,35 @@ def j6_fitted(spark, sf):
     return found.select("objective", F.col("auc").between(0, 1).alias("is_share"), (F.col("trees") >= 1).alias("has_trees"))
 
 
+def leafwise(spark, sf):
+    """Boosters grown leaf by leaf from every training example, stopped by every validation example, and the validation rows."""
+
+    def made():
+        placed = placed_split(spark, sf)
+        train = dataset(spark, sf, shared("examples", sf, lambda: sequences.detailed_examples(placed[0])))
+        val = durable(dataset(spark, sf, shared("val examples", sf, lambda: sequences.detailed_validation(*placed))))
+        both = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
+        return boosting.train(both, FEATURE_NAMES, learning.OBJECTIVES), val
+
+    return remembered("leafwise rankers", sf, made)
+
+
+# tests/test_boosting.py holds the trees against plain loops, and the results of these two against each other.
+@query("J5_leafwise_rankers")
+def j5_leafwise(spark, sf):
+    models, val = leafwise(spark, sf)
+    scored = boosting.probabilities(models, val, FEATURE_NAMES)
+    return scored.select("list_id", "article_id", *[F.round(f"p_{o}", 6).alias(f"p_{o}") for o in learning.OBJECTIVES])
+
+
+@query("J6_leafwise_auc")
+def j6_leafwise(spark, sf):
+    models, val = leafwise(spark, sf)
+    scored = durable(boosting.probabilities(models, val, FEATURE_NAMES))
+    out = [(o, learning.auc_of(scored, f"p_{o}", (o,))[o], len(m.trees)) for o, m in models.items()]
+    return spark.createDataFrame(out, "objective string, auc double, trees int")
+
+
 @query(
     "J7_blended_score",
     "SELECT article_id, round(0.2::DOUBLE * ctr + 0.3::DOUBLE * popularity + 0.5::DOUBLE * (1 - ctr), 6) AS score FROM meta",
