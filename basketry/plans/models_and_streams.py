@@ -295,12 +295,11 @@ def j6_fitted(spark, sf):
 
 
 def leafwise(spark, sf):
-    """Boosters grown leaf by leaf from every training example, stopped by every validation example, and the validation rows."""
+    """Boosters grown leaf by leaf, on the same bounded examples as the other rankers, and the validation rows."""
 
     def made():
-        placed = placed_split(spark, sf)
-        train = dataset(spark, sf, shared("examples", sf, lambda: sequences.detailed_examples(placed[0])))
-        val = durable(dataset(spark, sf, shared("val examples", sf, lambda: sequences.detailed_validation(*placed))))
+        train = durable(dataset(spark, sf, sampled_train(spark, sf)))
+        val = durable(dataset(spark, sf, sampled_val(spark, sf)))
         both = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
         return boosting.train(both, FEATURE_NAMES, learning.OBJECTIVES), val
 
