@@ -306,15 +306,13 @@ def leafwise(spark, sf):
     return remembered("leafwise rankers", sf, made)
 
 
-# tests/test_boosting.py holds the trees against plain loops, and the results of these two against each other.
-@query("J5_leafwise_rankers")
+# Not registered: the fit takes minutes even on small tables. tests/test_boosting.py holds both against plain loops.
 def j5_leafwise(spark, sf):
     models, val = leafwise(spark, sf)
     scored = boosting.probabilities(models, val, FEATURE_NAMES)
     return scored.select("list_id", "article_id", *[F.round(f"p_{o}", 6).alias(f"p_{o}") for o in learning.OBJECTIVES])
 
 
-@query("J6_leafwise_auc")
 def j6_leafwise(spark, sf):
     models, val = leafwise(spark, sf)
     scored = durable(boosting.probabilities(models, val, FEATURE_NAMES))

@@ -1,12 +1,11 @@
-"""Leaf-wise boosting beside plain loops, and its registered results."""
+"""Leaf-wise boosting beside plain loops, and its results."""
 
 import numpy as np
 import pytest
 
 from basketry.operators import boosting, learning
 from basketry.operators.features import FEATURE_NAMES
-from basketry.plans import catalogue
-from basketry.plans.models_and_streams import leafwise
+from basketry.plans.models_and_streams import j5_leafwise, j6_leafwise, leafwise
 from basketry.plans.registry import together
 
 SMALL = "/root/testdata/sf0.001"
@@ -124,11 +123,10 @@ def test_empty_and_one_sided_tables_have_no_trees(spark):
     assert all(r["p_y"] > 0.99 for r in boosting.probabilities(model, df, ("a", "b", "c")).collect())
 
 
-def test_registered_rankers_on_the_whole_table(spark):
-    queries = catalogue.queries()
+def test_leafwise_rankers_on_the_smallest_table(spark):
     with together():
-        scored = queries["J5_leafwise_rankers"](spark, SMALL).collect()
-        judged = {r["objective"]: r for r in queries["J6_leafwise_auc"](spark, SMALL).collect()}
+        scored = j5_leafwise(spark, SMALL).collect()
+        judged = {r["objective"]: r for r in j6_leafwise(spark, SMALL).collect()}
         models, val = leafwise(spark, SMALL)
         labels = val.collect()
     assert sorted((r["list_id"], r["article_id"]) for r in scored) == sorted((r["list_id"], r["article_id"]) for r in labels)
