@@ -51,6 +51,31 @@ def test_bounded_search_is_exact(spark, kind):
         assert got == best(x, queries[q], 12, {i for p, i in out if p == q})
 
 
+@pytest.mark.parametrize("kind", ["exact", "hashed", "listed"])
+def test_search_moves_only_queries_items_and_results(spark, kind):
+    """Results are cut where they are found: none are ranked again after a shuffle, and a query moves once."""
+    x = np.random.RandomState(5).normal(size=(300, 8))
+    asked, stock = frame(spark, np.tile(x, (40, 1)), "query_id"), frame(spark, x)
+    exclude = asked.select("query_id", (F.col("query_id") % 300).alias("article_id"))
+    found = {
+        "exact": lambda: retrieval.top_k(asked, stock, 5, exclude, 1000),
+        "hashed": lambda: retrieval.top_k_hashed(asked, stock, 5, 8, exclude),
+        "listed": lambda: retrieval.top_k_listed(asked, stock, 5, exclude, probes=4),
+    }[kind]()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "FlatMapCoGroups" not in plan and plan.count("MapInArrow") == 1
+    rows = found.filter("query_id < 300").collect()
+    assert len(rows) == 300 * 5 and not any(r["query_id"] == r["article_id"] for r in rows)
+
+
+def test_search_keeps_one_result_list_for_a_repeated_query(spark):
+    x = np.random.RandomState(6).normal(size=(50, 8))
+    asked = frame(spark, x[:9], "query_id")
+    twice = asked.unionByName(asked.withColumn("query_id", F.lit(3).cast("bigint")))
+    got = retrieval.top_k(twice, frame(spark, x), 4).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {i: 4 for i in range(9)}
+
+
 def test_bounded_search_leaves_lists_out(spark):
     x = clustered(3000, 8, 5, noise=0.02)
     held = lists.build(frame(spark, x), 40)
