@@ -217,3 +217,26 @@ def test_sessions_key_and_text(spark):
     df = spark.createDataFrame([("short",), ("x" * 41,), (None,)], "t string")
     got = [r[0] for r in df.select(C.truncate(F.col("t"))).collect()]
     assert got == ["short", "x" * 39 + "…", "Unknown item"]
+
+
+def test_lists_of_a_segment_are_marked_as_plain_rows_are(spark):
+    """Candidates of a segment are laid out per list after all joins; repeated and null lists are treated as before."""
+    shelves = spark.createDataFrame(
+        [("r", "18_25", 1, 5.0, "a", True, True), ("r", "18_25", 2, 4.0, "PROMO", True, False), ("r", "18_25", 3, 3.0, None, False, False),
+         ("r", "under_18", 1, 5.0, "a", True, True), ("r", "under_18", 4, 1.0, "b", True, False)],
+        "region string, age_band string, article_id bigint, score double, category_l1 string, in_stock boolean, age_restricted boolean",
+    )
+    contexts = spark.createDataFrame(
+        [(10, "r", "18_25"), (11, "r", "under_18"), (12, "r", "18_25"), (12, "r", "under_18"), (13, "s", "18_25"), (None, "r", "18_25"), (14, None, "18_25")],
+        "list_id bigint, region string, age_band string",
+    )
+    seen = spark.createDataFrame([(10, 1), (10, 1), (11, 4), (12, 9), (None, 1)], "list_id bigint, article_id bigint")
+    blocked = spark.createDataFrame([(12, "PROMO"), (12, "PROMO"), (10, None)], "list_id bigint, category_l1 string")
+    plain = guardrails.flagged(contexts.join(shelves, ["region", "age_band"]).drop("region", "age_band"), contexts, seen, blocked)
+    found = guardrails.flagged_by_segment(shelves, contexts, seen, blocked)
+    names = sorted(plain.columns)
+    assert sorted(map(str, found.select(names).collect())) == sorted(map(str, plain.select(names).collect()))
+    # Ranking and counting the rows of a list needs no further shuffle.
+    left = found.filter("dropped_by IS NULL").drop("dropped_by")
+    plan = guardrails.newest(left, ["list_id", "category_l1"], [F.desc("score"), F.asc("article_id")], 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
