@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from basketry.operators import candidates, covisit, evaluation, learning, retrieval, sequences, vocab
 from basketry.operators import items as I
 from basketry.operators.features import price_percentile
+from basketry.operators.skew import newest
 
 TX = "customer_id string, article_id bigint, t_dat date"
 
@@ -247,3 +248,27 @@ def test_weak_labels(spark):
     assert 0.3 < sum(r.cart for r in targets) / 400 < 0.5 and 0.12 < sum(r.wishlist for r in targets) / 400 < 0.28
     others = {r.example_id: (r.click, r.cart, r.purchase, r.wishlist) for r in got if not r.is_target}
     assert others == {"n1": (1, 0, 0, 0), "n2": (0, 0, 0, 0)}
+
+
+def test_results_merged_in_the_task_are_those_of_the_plain_merge(spark):
+    draws = np.random.RandomState(3)
+    # Components in quarters, so that scores tie; more lists than a chunk of queries holds.
+    heads = [
+        (i, r, "xyzw"[draws.randint(4)], float(draws.randint(1, 9)) / 7, [float(v) for v in draws.randint(-4, 5, 4) / 4])
+        for i in range(400) for r in range(1, 1 + draws.randint(1, 5))
+    ]
+    intents = spark.createDataFrame(heads, "list_id bigint, intent_rank int, label string, weight double, vector array<double>")
+    stock = spark.createDataFrame([(i, [float(v) for v in draws.randint(-4, 5, 4) / 4]) for i in range(60)], "article_id bigint, vector array<double>")
+    seen = spark.createDataFrame([(i, int(draws.randint(60))) for i in range(0, 400, 3)], "list_id bigint, article_id bigint")
+    plain = candidates.intent_results(intents, stock, seen, 12)
+    want = sorted(candidates.merge_results(plain, 20).select("list_id", "article_id", "score", "label", "rank").collect())
+    got = candidates.merged_results(intents, stock, seen, 12, 20).select("list_id", "article_id", "score", "label", "rank")
+    assert sorted(got.collect()) == want
+    by = F.max(F.round(F.col("score") * F.col("weight"), 9)).alias("score")
+    best = newest(plain.groupBy("list_id", "article_id").agg(by), ["list_id"], [F.desc("score"), F.asc("article_id")], 5, "rank")
+    blocks = retrieval.top_k_merged(intents, stock, 12, candidates._unwanted(intents, seen), 5, True, query_block=100, item_block=8)
+    for found in (blocks, retrieval.top_k_merged(intents, stock, 12, candidates._unwanted(intents, seen), 5, True, query_block=20)):
+        assert sorted(found.select("list_id", "article_id", "score", "rank").collect()) == sorted(best.select("list_id", "article_id", "score", "rank").collect())
+    # Results leave the search as merged lists: they are not grouped by list and item afterwards.
+    plan = retrieval.top_k_merged(intents, stock, 12, candidates._unwanted(intents, seen), 20, query_block=20)._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan
