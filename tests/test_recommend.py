@@ -272,3 +272,22 @@ def test_results_merged_in_the_task_are_those_of_the_plain_merge(spark):
     # Results leave the search as merged lists: they are not grouped by list and item afterwards.
     plan = retrieval.top_k_merged(intents, stock, 12, candidates._unwanted(intents, seen), 20, query_block=20)._jdf.queryExecution().executedPlan().toString()
     assert "min_by" not in plan
+
+
+def test_covisit_sums_move_by_customer_alone(spark):
+    train = purchases(spark, [("a", 1, "01-01"), ("a", 2, "01-02"), ("b", 2, "01-03"), ("b", 3, "01-03"), (None, 1, "01-01"), (None, 2, "01-02")])
+    near = covisit.neighbours(covisit.covisit_counts(train))
+    found = covisit.covisit_recommend(near, train)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(customer_id" in line and "candidate" in line]
+    got = sorted((str(r.user_id), r.article_id, r.score) for r in found.collect())
+    assert got == [("None", 1, 1.0), ("None", 2, 1.0), ("None", 3, 1.0), ("a", 3, 1.0), ("b", 1, 1.0)]
+
+
+def test_collaborative_vectors_count_no_pairs(spark):
+    train = purchases(spark, [("a", 1, "01-01"), ("a", 2, "01-02"), ("a", 2, "01-02"), ("b", 1, "01-03"), ("b", 3, "01-04")])
+    found = learning.collaborative_vectors(train, 8)
+    counts = covisit.covisit_counts(train).select(F.col("item").alias("article_id"), "neighbour", F.col("cnt").cast("double").alias("cnt"))
+    want = {r.article_id: r.vector for r in learning.projected(counts, "article_id", "neighbour", "cnt", 8).collect()}
+    assert {r.article_id: r.vector for r in found.collect()} == want
+    assert "hashpartitioning(a#" not in found._jdf.queryExecution().executedPlan().toString()
