@@ -240,3 +240,22 @@ def test_lists_of_a_segment_are_marked_as_plain_rows_are(spark):
     left = found.filter("dropped_by IS NULL").drop("dropped_by")
     plan = guardrails.newest(left, ["list_id", "category_l1"], [F.desc("score"), F.asc("article_id")], 7)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_candidates_move_by_list_alone(spark):
+    rows = [(i, a, float(a), "c", True, False) for i in (1, 2) for a in (1, 2, 3)] + [(1, None, 0.5, "c", True, False)]
+    found = spark.createDataFrame(rows, "list_id bigint, article_id bigint, score double, category_l1 string, in_stock boolean, age_restricted boolean")
+    contexts = spark.createDataFrame([(1, "18_25"), (2, "18_25")], "list_id bigint, age_band string")
+    seen = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (1, None)], "list_id bigint, article_id bigint")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = guardrails.flagged(found, contexts, seen)
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(list_id" in line and "article_id#" in line.split("hashpartitioning(")[1].split(")")[0]]
+        got = sorted((r.list_id, r.article_id) for r in marked.filter(F.col("dropped_by") == "filter_seen").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == [(1, 2), (2, 3)] and marked.count() == 7
+    capped = guardrails.cap_category(marked.filter(F.col("dropped_by").isNull()), 2)
+    assert "SortMergeJoin" in capped._jdf.queryExecution().executedPlan().toString()
