@@ -150,3 +150,21 @@ def test_lists_whose_intents_reach_no_item_fall_back(spark):
     popular = spark.createDataFrame([("r", "b", 12, 5, 1)], "region string, age_band string, article_id bigint, n bigint, rank int")
     got = sorted((r["list_id"], r["article_id"], r["label"], r["degraded"]) for r in candidates.feed_candidates(contexts, intents, stock, seen, popular).collect())
     assert got == [(1, 10, "complementary", None), (1, 11, "complementary", None), (2, 12, "popularity_fallback", "retrieval"), (3, 12, "cold_start", None)]
+
+
+def test_items_move_no_more_often_than_tasks_run():
+    """900,000 queries of 20 results fit into one block for each of 12 tasks; blocks for more results are smaller."""
+    assert retrieval._grid(900_000, 1_200_000, retrieval.block_for(20), 8192, 12) == (12, 1)
+    assert retrieval.block_for(150) * (150 + retrieval.EXCLUDED) <= retrieval.RESULTS < 131_072 * 170
+
+
+def test_pooled_vectors_move_as_they_are_stored(spark):
+    """No partial means move: rows move once to their customer, and all of the aggregate is worked out there."""
+    x = np.random.RandomState(11).normal(size=(30, 8))
+    rows = spark.createDataFrame([(c, (c * 7 + i) % 40) for c in range(9) for i in range(5)], "customer_id bigint, article_id bigint")
+    found = candidates.pooled_vectors(rows, frame(spark, x, "article_id"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("partial_") < plan.index("RepartitionBy") if "RepartitionBy" in plan else "REPARTITION_BY_COL" in plan
+    for r in found.collect():
+        mean = np.mean([x[a] for a in ((r["customer_id"] * 7 + i) % 40 for i in range(5)) if a < 30], axis=0)
+        assert np.allclose(r["user_vector"], mean / np.linalg.norm(mean))
