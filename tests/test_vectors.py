@@ -168,3 +168,40 @@ def test_pooled_vectors_move_as_they_are_stored(spark):
     for r in found.collect():
         mean = np.mean([x[a] for a in ((r["customer_id"] * 7 + i) % 40 for i in range(5)) if a < 30], axis=0)
         assert np.allclose(r["user_vector"], mean / np.linalg.norm(mean))
+
+
+def test_products_of_pairs_move_no_vectors_with_the_rows(spark):
+    """Repeated rows and items, null keys and missing vectors and components, beside a plain loop."""
+    rng = np.random.RandomState(12)
+    x, users = rng.normal(size=(30, 4)), rng.normal(size=(6, 4))
+    rows = [(i % 8, int(rng.randint(34)), f"r{i % 3}") for i in range(200)] + [(None, 3, "n"), (2, None, "n")]
+    asked = spark.createDataFrame(rows, "list_id bigint, article_id bigint, label string")
+    sides = spark.createDataFrame(
+        [(i, u.tolist(), None if i == 1 else (-u).tolist()) for i, u in enumerate(users)] + [(None, [1.0] * 4, [1.0] * 4)],
+        "list_id bigint, one array<double>, two array<double>",
+    )
+    held = [(i, v.tolist(), i * 10) for i, v in enumerate(x)] + [(5, x[5].tolist(), 51), (31, None, 0), (32, [1.0, None, 1.0, 1.0], 0)]
+    items = spark.createDataFrame(held, "article_id bigint, vector array<double>, price int")
+    found = retrieval.with_products(asked, sides, items)
+    want = []
+    for l, a, label in rows:
+        for i, v, price in held:
+            if a == i:
+                ok = l is not None and l < 6 and v is not None and None not in v
+                one = float(users[l] @ np.array(v)) if ok else 0.0
+                want.append((str(l), a, label, price, round(one, 9) + 0.0, (0.0 if l == 1 else round(-one, 9)) + 0.0))
+    got = [(str(r["list_id"]), r["article_id"], r["label"], r["price"], round(r["one"], 9) + 0.0, round(r["two"], 9) + 0.0) for r in found.collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_lists_of_a_segment_take_one_result(spark):
+    from basketry.plans import surfaces
+
+    rows = [(1, "r", "b"), (2, "r", "b"), (3, "r", "b"), (4, "r", "c"), (5, None, "b"), (6, "r", "b"), (6, "r", "b"), (7, "r", "b"), (None, "r", "b")]
+    contexts = spark.createDataFrame(rows, "list_id bigint, region string, age_band string")
+    asked, members = surfaces.by_segment(contexts, spark.createDataFrame([(3,)], "list_id bigint"))
+    # 1 stands for 2 and 7; lists with a session, without a segment or key, or there twice stand for themselves.
+    assert sorted(str(r[0]) for r in asked.select("list_id").collect()) == ["1", "3", "4", "5", "6", "6", "None"]
+    found = asked.select("list_id", (F.col("list_id") * 10).alias("x"))
+    got = sorted((r[0], r[1]) for r in surfaces.handed_to(members, found).collect() if r[0] is not None)
+    assert got == [(1, 10), (2, 10), (3, 30), (4, 40), (5, 50), (6, 60), (6, 60), (7, 10)]
