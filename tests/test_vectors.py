@@ -163,8 +163,8 @@ def test_pooled_vectors_move_as_they_are_stored(spark):
     x = np.random.RandomState(11).normal(size=(30, 8))
     rows = spark.createDataFrame([(c, (c * 7 + i) % 40) for c in range(9) for i in range(5)], "customer_id bigint, article_id bigint")
     found = candidates.pooled_vectors(rows, frame(spark, x, "article_id"))
-    plan = found._jdf.queryExecution().sparkPlan().toString()
-    assert plan.index("partial_") < plan.index("RepartitionBy") if "RepartitionBy" in plan else "REPARTITION_BY_COL" in plan
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [customer_id") < plan.index("RepartitionByExpression [customer_id")
     for r in found.collect():
         mean = np.mean([x[a] for a in ((r["customer_id"] * 7 + i) % 40 for i in range(5)) if a < 30], axis=0)
         assert np.allclose(r["user_vector"], mean / np.linalg.norm(mean))
@@ -205,3 +205,21 @@ def test_lists_of_a_segment_take_one_result(spark):
     found = asked.select("list_id", (F.col("list_id") * 10).alias("x"))
     got = sorted((r[0], r[1]) for r in surfaces.handed_to(members, found).collect() if r[0] is not None)
     assert got == [(1, 10), (2, 10), (3, 30), (4, 40), (5, 50), (6, 60), (6, 60), (7, 10)]
+
+
+@pytest.mark.parametrize("held", [10, 1000])
+def test_matrix_times_vectors_by_cells(spark, held, monkeypatch):
+    """Over a grid of several ranges of items and neighbours, and of one; no vector moves with a pair."""
+    monkeypatch.setattr(factors, "LEAST_ITEMS", 10)
+    rng = np.random.RandomState(13)
+    m = np.triu(rng.rand(40, 40) * (rng.rand(40, 40) < 0.3), 1)
+    m[0, 1] = 0.5
+    m = m + m.T
+    pairs = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "item bigint, neighbour bigint, weight double")
+    grid = factors.gridded(pairs, held)
+    assert (grid.n_held, grid.n_item) == ((4, 2) if held == 10 else (1, 4))
+    x = rng.normal(size=(40, 3))
+    found = factors._times(grid, frame(spark, x, "item"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["item"]: r["vector"] for r in found.collect()}
+    assert all(np.allclose(got[i], (m @ x)[i]) for i in range(40) if m[i].any()) and len(got) == int(m.any(axis=1).sum())
