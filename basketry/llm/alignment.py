@@ -83,6 +83,25 @@ def cuts(a_ends: Sequence[int], b_ends: Sequence[int]) -> tuple[list[int], list[
     return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
 
 
+def group_marks(
+    coded: Sequence[tuple[np.ndarray, np.ndarray]], a_sizes: np.ndarray, b_sizes: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text's ids of both: which tokens of either list end where one of the other ends. All texts are marked in one
+    go; both lists of a text have the same bytes, so their running ends agree over all texts."""
+    sides = [(np.concatenate(ids), sizes) for ids, sizes in zip(zip(*coded), (a_sizes, b_sizes))]
+    a_ends, b_ends = (np.cumsum(sizes[ids.astype(np.int64)]) for ids, sizes in sides)
+    at = np.zeros(int(a_ends[-1]) + 1 if len(a_ends) else 1, np.uint8)
+    at[b_ends] = 1
+    a_marks = at[a_ends]
+    at[b_ends] = 0
+    at[a_ends] = 1
+    b_marks = at[b_ends]
+    a, b = 0, 0
+    for a_ids, b_ids in coded:
+        yield a_marks[a : a + len(a_ids)], b_marks[b : b + len(b_ids)]
+        a, b = a + len(a_ids), b + len(b_ids)
+
+
 def links(a_ends: np.ndarray, b_ends: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of a, index of b) of all pairs that share bytes, from the groups' last tokens (a_last, b_last).
 
@@ -175,14 +194,12 @@ def store(rows: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
         for batch in batches:
             for start, stop in slices(pc.binary_length(batch.column(1)).to_pylist(), SLICE_BYTES):
                 texts = batch.column(1).slice(start, stop - start).to_pylist()
-                out = []
-                for a_ids, b_ids in both.encode(texts):
-                    a_cut, b_cut = cuts(np.cumsum(a_sizes[a_ids]).tolist(), np.cumsum(b_sizes[b_ids]).tolist())
-                    marks = np.zeros(len(a_ids) + len(b_ids), np.uint8)
-                    marks[a_cut] = 1
-                    marks[np.array(b_cut, np.int64) + len(a_ids)] = 1
+                coded, out = list(both.encode(texts)), []
+                marks = group_marks(coded, a_sizes, b_sizes)
+                for (a_ids, b_ids), (a_marks, b_marks) in zip(coded, marks):
                     ids = press.compress(np.concatenate([a_ids, b_ids]).astype(kind).tobytes()) if len(a_ids) else b""
-                    out.append((len(a_ids), len(b_ids), len(a_cut), ids, np.packbits(marks).tobytes()))
+                    packed_marks = np.packbits(np.concatenate([a_marks, b_marks])).tobytes()
+                    out.append((len(a_ids), len(b_ids), int(np.count_nonzero(a_marks)), ids, packed_marks))
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), batch_types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *columns], schema.names)
 

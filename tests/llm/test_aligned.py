@@ -145,6 +145,19 @@ def test_groups_spell_the_text():
         assert pairs == plain.overlaps([len(both.a_bytes[i]) for i in a], [len(both.b_bytes[i]) for i in b])
 
 
+def test_groups_of_many_texts_are_marked_at_once():
+    both = alignment.Coders(BYTES_FILE, PIECES_FILE)
+    coded = list(both.encode([*TEXTS[:4], "", "the house", ""]))
+    marks = list(alignment.group_marks(coded, both.a_joined.sizes, both.b_joined.sizes))
+    assert len(marks) == len(coded)
+    for (a, b), (a_marks, b_marks) in zip(coded, marks):
+        ends = [np.cumsum(sizes[ids]).tolist() for sizes, ids in ((both.a_joined.sizes, a), (both.b_joined.sizes, b))]
+        a_cut, b_cut = alignment.cuts(*ends)
+        assert np.flatnonzero(a_marks).tolist() == a_cut and np.flatnonzero(b_marks).tolist() == b_cut
+    nothing = list(alignment.group_marks(coded[4:5], both.a_joined.sizes, both.b_joined.sizes))
+    assert [len(x) for x in nothing[0]] == [0, 0]
+
+
 def test_alignment_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert alignment.align(empty, BYTES_FILE, PIECES_FILE).collect() == []
