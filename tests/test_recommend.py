@@ -10,6 +10,7 @@ from basketry.operators import candidates, covisit, evaluation, learning, retrie
 from basketry.operators import items as I
 from basketry.operators.features import price_percentile
 from basketry.operators.skew import newest
+from basketry.session import durable
 
 TX = "customer_id string, article_id bigint, t_dat date"
 
@@ -291,3 +292,55 @@ def test_collaborative_vectors_count_no_pairs(spark):
     want = {r.article_id: r.vector for r in learning.projected(counts, "article_id", "neighbour", "cnt", 8).collect()}
     assert {r.article_id: r.vector for r in found.collect()} == want
     assert "hashpartitioning(a#" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffled_by(df):
+    """What the plan moves rows by, one entry for each shuffle."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange " in line and "Broadcast" not in line]
+
+
+def near_rows(spark):
+    days = [(c, a, f"2024-01-{1 + (7 * c + 3 * a) % 25:02d}") for c in range(12) for a in range(9)]
+    days += [(3, 4, "2024-01-05"), (3, 4, "2024-01-05"), (None, 4, "2024-01-05"), (None, 5, "2024-01-05"), (5, None, "2024-01-06"), (6, 2, None)]
+    rows = spark.createDataFrame(days, "customer_id bigint, article_id bigint, t_dat string")
+    return durable(rows.withColumn("t_dat", F.col("t_dat").cast("date")))
+
+
+def test_near_items_are_the_counted_ones_and_move_once(spark):
+    tx = near_rows(spark)
+    plain = {}
+    rows = [r for r in tx.collect() if None not in r]
+    for x in rows:
+        for y in rows:
+            if x.customer_id == y.customer_id and x.article_id != y.article_id and abs((x.t_dat - y.t_dat).days) <= 7:
+                plain[x.article_id, y.article_id] = plain.get((x.article_id, y.article_id), 0) + 1
+    assert {(r.item, r.neighbour): r.cnt for r in covisit.covisit_counts(tx).collect()} == plain
+    assert {(r.item, r.neighbour): r.cnt for r in covisit.covisit_counts(tx, hot_rows=5).collect()} == plain
+    found = covisit.near_items(tx, 5)
+    want = sorted((item, -n, other) for (item, other), n in plain.items())
+    want = [(i, o, -n) for k, (i, n, o) in enumerate(want) if sum(w[0] == i for w in want[:k]) < 5]
+    assert sorted((r.item, r.neighbour, r.cnt) for r in found.collect()) == sorted(want)
+    assert sorted((r.item, r.neighbour, r.cnt) for r in covisit.near_items(tx, 5, hot_items=3).collect()) == sorted(want)
+    # By customer, then by item: no row per pair is moved.
+    assert len(shuffled_by(covisit.near_items(tx, 5))) == 2
+
+
+def test_collaborative_vectors_of_frequent_items_are_the_same(spark):
+    tx = near_rows(spark)
+    vectors = [{r.article_id: r.vector for r in learning.collaborative_vectors(tx, 8, hot_items=n).collect()} for n in (3, 1000)]
+    assert vectors[0].keys() == vectors[1].keys() and len(vectors[0]) == 9
+    for key, v in vectors[0].items():
+        np.testing.assert_allclose(v, vectors[1][key], atol=1e-12)
+    assert len(shuffled_by(learning.collaborative_vectors(tx, 8))) == 2
+
+
+def test_vector_lists_leave_out_what_is_seen(spark):
+    recent = durable(spark.createDataFrame([(1, 1), (1, 2), (1, 99), (2, 3), (None, 1), (4, 99)], "customer_id bigint, article_id bigint"))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, 0.5 * i * i]) for i in range(1, 7)], "article_id bigint, vector array<double>")
+    found = {}
+    for r in candidates.vector_recommend(recent, vectors, 3).collect():
+        found.setdefault(r.user_id, []).append((r["rank"], r.article_id))
+    got = {user: {a for _, a in rows} for user, rows in found.items()}
+    assert set(got) == {1, 2, None} and not got[1] & {1, 2} and 3 not in got[2]
+    assert all(sorted(k for k, _ in rows) == [1, 2, 3] for rows in found.values())
