@@ -310,7 +310,7 @@ def near_rows(spark):
 def test_near_items_are_the_counted_ones_and_move_once(spark):
     tx = near_rows(spark)
     plain = {}
-    rows = [r for r in tx.collect() if None not in r]
+    rows = [r for r in tx.collect() if None not in tuple(r)]
     for x in rows:
         for y in rows:
             if x.customer_id == y.customer_id and x.article_id != y.article_id and abs((x.t_dat - y.t_dat).days) <= 7:
