@@ -344,3 +344,10 @@ def test_vector_lists_leave_out_what_is_seen(spark):
     got = {user: {a for _, a in rows} for user, rows in found.items()}
     assert set(got) == {1, 2, None} and not got[1] & {1, 2} and 3 not in got[2]
     assert all(sorted(k for k, _ in rows) == [1, 2, 3] for rows in found.values())
+
+
+def test_vector_lists_are_full_where_a_seen_item_has_many_vectors(spark):
+    recent = durable(spark.createDataFrame([(1, 1)], "customer_id bigint, article_id bigint"))
+    rows = [(1, [1.0, 0.0])] * 6 + [(i, [1.0, float(i)]) for i in range(2, 6)]
+    found = candidates.vector_recommend(recent, spark.createDataFrame(rows, "article_id bigint, vector array<double>"), 3).collect()
+    assert len(found) == 3 and 1 not in {r.article_id for r in found}
