@@ -351,3 +351,28 @@ def test_vector_lists_are_full_where_a_seen_item_has_many_vectors(spark):
     rows = [(1, [1.0, 0.0])] * 6 + [(i, [1.0, float(i)]) for i in range(2, 6)]
     found = candidates.vector_recommend(recent, spark.createDataFrame(rows, "article_id bigint, vector array<double>"), 3).collect()
     assert len(found) == 3 and 1 not in {r.article_id for r in found}
+
+
+def test_labelled_candidates_take_no_row_per_category(spark):
+    kinds = {a: a % 3 for a in range(30)}
+    pool = durable(spark.createDataFrame([(a, a, [k]) for a, k in kinds.items()], "article_id bigint, position bigint, codes array<int>"))
+    rows = [(f"{i}-2", i % 30, [(i + 1) % 30, (i + 4) % 30], [kinds[(i + 1) % 30]]) for i in range(40)] + [("x-2", None, [3], [0])]
+    examples = durable(spark.createDataFrame(rows, "example_id string, position bigint, taken array<bigint>, kinds array<int>"))
+    made = learning.labelled_candidates(examples, pool)
+    drawn = {(r.example_id, r.article_id) for r in learning.negatives(examples.select("example_id", "taken"), pool).collect()}
+    held = {r[0]: r[3] for r in rows}
+    found = made.collect()
+    assert {(r.example_id, r.article_id) for r in found if not r.is_target} == drawn and len(found) == len(drawn) + 40
+    for r in found:
+        assert r.click == int(r.is_target or kinds[r.article_id] in held[r.example_id]) and r.purchase == int(r.is_target)
+    # The size of the pool, and the candidates and the pool by position.
+    assert len(shuffled_by(learning.labelled_candidates(examples, pool))) <= 3
+
+
+def test_lift_moves_lines_not_pairs(spark):
+    lines = [(o, a) for o in range(40) for a in range(8) if (o * (a + 3)) % 5 < 3] + [(1, 3), (None, 2), (None, 4), (7, None)]
+    tx = durable(spark.createDataFrame(lines, "order_id bigint, article_id bigint"))
+    rows = lambda **how: sorted((r.item, r.neighbour, r.together, r.lift, r.rk) for r in covisit.complements(tx, 4, **how).collect())
+    assert rows() == rows(hot_rows=2) and len(rows()) == 32
+    # Lines by item and supports, baskets, items; joins of pairs with supports would be more.
+    assert len(shuffled_by(covisit.complements(tx, 4))) <= 5
