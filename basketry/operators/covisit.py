@@ -146,10 +146,16 @@ def covisit_recommend(
 
 
 def complements(tx: DataFrame, limit: int = MAX_NEIGHBOURS, hot_rows: int = 50_000) -> DataFrame:
-    """Lift of two items sharing a basket: baskets with both x all baskets / (baskets with one x with the other)."""
+    """Lift of two items sharing a basket: baskets with both x all baskets / (baskets with one x with the other).
+
+    Each line takes its item's support to its basket and moves on to its item in one row with the rest of the basket, where
+    pairs are counted and ranked. Where a basket or an item has more lines than a task should take, pairs are counted before
+    they move, and meet both supports in joins."""
     lines = durable(tx.select("order_id", "article_id").distinct())
     support = lines.groupBy("article_id").agg(F.count(F.lit(1)).alias("support"))
     n_baskets = lines.select(F.count_distinct("order_id")).scalar()
+    if hot_keys(lines, ["order_id"], hot_rows).isEmpty() and one_task_per_item(lines):
+        return newest(_lift_at_items(lines, support, n_baskets), ["item"], [F.desc("lift"), F.asc("neighbour")], limit, "rk")
     ordered = F.col("l.article_id") < F.col("r.article_id")
     pairs = (
         paired(lines, lines, ["order_id"], ordered, "article_id", hot_rows)
@@ -164,6 +170,21 @@ def complements(tx: DataFrame, limit: int = MAX_NEIGHBOURS, hot_rows: int = 50_0
     return newest(edges, ["item"], [F.desc("lift"), F.asc("neighbour")], limit, "rk")
 
 
+def _lift_at_items(lines: DataFrame, support: DataFrame, n_baskets: Column) -> DataFrame:
+    """(item, neighbour, together, lift) of all pairs, each at its item."""
+    marked = lines.dropna().join(support, "article_id").select("order_id", F.struct("article_id", "support").alias("e"))
+    baskets = marked.groupBy("order_id").agg(F.collect_list("e").alias("all"))
+    rows = baskets.select(F.explode("all").alias("own"), "all")
+    others = F.filter("all", lambda e: e["article_id"] != F.col("own.article_id"))
+    rows = rows.select(F.col("own.article_id").alias("item"), F.col("own.support").alias("_own"), others.alias("near"))
+    met = at_items(lines, rows.filter(F.size("near") > 0)).select("item", "_own", F.explode("near").alias("e"))
+    pairs = met.groupBy("item", F.col("e.article_id").alias("neighbour")).agg(
+        F.count(F.lit(1)).alias("together"), F.first("_own").alias("_own"), F.first("e.support").alias("_other")
+    )
+    lift = F.round(F.col("together") * F.col("_n") / (F.col("_own") * F.col("_other")), 6)
+    return pairs.withColumn("_n", n_baskets).select("item", "neighbour", "together", lift.alias("lift"))
+
+
 def list_position(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """0-based place in a list that is already cut to its limit."""
     return df.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
