@@ -2,7 +2,11 @@
 
 from collections import defaultdict
 
-from basketry.operators import learning
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from basketry.operators import learning, sampling, sequences, trees
 from basketry.plans import catalogue
 from basketry.plans.models_and_streams import fitted, retrieve_then_rank
 from basketry.plans.registry import together
@@ -54,3 +58,46 @@ def test_ranked_lists_hold_their_items(spark):
             if place == "rank":
                 order = [(-r["score"], r["article_id"]) for r in held]
                 assert order == sorted(order)
+
+
+def test_trees_read_from_a_model_score_as_the_model_does(spark):
+    names = learning.FEATURE_NAMES
+    rows = spark.range(3000).select("id", *[F.round(F.rand(i), 2 if i % 2 else 12).alias(n) for i, n in enumerate(names)])
+    label = ((F.col(names[0]) + F.col(names[1]) * F.rand(99)) > 0.8).cast("int")
+    both = rows.select("*", label.alias("click"), (1 - label).alias("cart")).cache()
+    models = learning.train_rankers(both, both, 6, ("click", "cart"))
+    held = trees.forest(list(models.values()), len(names))
+    assert [len(w) for w in held.weights] == [m.getNumTrees for m in models.values()]
+    got = {r["id"]: r for r in learning.probabilities(models, both).collect()}
+    data = learning.assembled(both)
+    for o, m in models.items():
+        for r in m.transform(data).select("id", "probability").collect():
+            assert abs(got[r["id"]][f"p_{o}"] - r["probability"][1]) < 1e-12
+    both.unpersist()
+
+
+def test_a_missing_feature_is_an_error(spark):
+    held = trees.Forest([np.zeros(0)] * 2, [np.zeros((1, 1), np.uint16)] * 2, np.zeros((1, 16)), [np.ones(1)], [0])
+    rows = spark.createDataFrame([(1, 1.0, None)], "id bigint, a double, b double")
+    with pytest.raises(Exception, match="a feature is missing"):
+        trees.with_probabilities(rows, held, ("a", "b"), ["p"]).collect()
+
+
+def test_validation_examples_are_drawn_before_their_histories(spark):
+    rows = [(c, d, 10 * c + d, c * 7 + d) for c in range(40) for d in range(12)]
+    tx = spark.createDataFrame(rows, "customer_id bigint, d int, order_id bigint, article_id bigint").select(
+        "customer_id", "order_id", "article_id", F.lit(1).alias("line_no"), F.lit(1.0).alias("paid"), F.lit(1.0).alias("quantity"),
+        F.lit(2.0).alias("price"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")).alias("t_dat"),
+    )
+    train, val = tx.filter("day(t_dat) < 10 AND customer_id % 5 > 0"), tx.filter("day(t_dat) >= 10")
+    want = sampling.subsample(sequences.detailed_validation(train, val), ["example_id"], 20).collect()
+    seen = []
+
+    def detailed(part):
+        seen.append(part.count())
+        return part
+
+    found = sequences.chosen_validation(train, val, 20, detailed=detailed).collect()
+    assert sorted(found) == sorted(want) and len(found) == 20
+    # The drawn examples, and the purchases of their customers alone.
+    assert seen[0] == 20 and seen[1] == 9 * len({r["customer_id"] for r in found})
