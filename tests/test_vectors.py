@@ -223,3 +223,40 @@ def test_matrix_times_vectors_by_cells(spark, held, monkeypatch):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {r["item"]: r["vector"] for r in found.collect()}
     assert all(np.allclose(got[i], (m @ x)[i]) for i in range(40) if m[i].any()) and len(got) == int(m.any(axis=1).sum())
+
+
+def test_products_that_single_precision_cannot_tell_apart(spark):
+    # Scores differ by some 1e-8, which single precision loses, between vectors of very different lengths.
+    rs = np.random.RandomState(5)
+    base = rs.normal(size=16)
+    items = [(i, (base + 1e-8 * rs.normal(size=16)).tolist()) for i in range(300)] + [(1000, (1e3 * rs.normal(size=16)).tolist())]
+    asked = [(q, (base * s).tolist()) for q, s in enumerate((1.0, 1e-3, -1.0))]
+    queries = spark.createDataFrame(asked, "query_id bigint, vector array<double>")
+    stock = spark.createDataFrame(items, "article_id bigint, vector array<double>")
+    found = {(r["query_id"], r["rank"]): (r["article_id"], r["score"]) for r in retrieval.top_k(queries, stock, 7).collect()}
+    for q, vector in asked:
+        want = sorted(((-round(float(np.dot(vector, v)), 9), i) for i, v in items))[:7]
+        assert [found[q, n + 1] for n in range(7)] == [(i, -s) for s, i in want]
+
+
+def test_what_a_part_lacks_is_an_empty_array(spark):
+    # Null arrays make Spark's Arrow writer go over a batch again for each of its rows.
+    left = spark.createDataFrame([(1, [1.0])], "a bigint, v array<double>")
+    right = spark.createDataFrame([(2, ["x"])], "b bigint, w array<string>")
+    rows = sorted(tuple(r) for r in retrieval.united(left, right).select("v", "w", F.coalesce("a", "b")).collect())
+    assert rows == [([], ["x"], 2), ([1.0], [], 1)]
+
+
+def test_a_meeting_merges_what_it_found_at_the_end(spark):
+    rs = np.random.RandomState(6)
+    items, asked = rs.normal(size=(5000, 8)), rs.normal(size=(300, 8))
+    stock = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "article_id bigint, vector array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id bigint, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = retrieval.top_k(queries, stock, 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    scores = np.round(asked @ items.T, 9)
+    want = {(q, r + 1): int(i) for q in range(300) for r, i in enumerate(np.lexsort((np.arange(5000), -scores[q]))[:3])}
+    assert {(r["query_id"], r["rank"]): r["article_id"] for r in found} == want
