@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from basketry.operators import candidates, covisit, evaluation, learning, retrieval, sequences, vocab
+from basketry.operators import intents as sessions
 from basketry.operators import items as I
 from basketry.operators.features import price_percentile
 from basketry.operators.skew import newest
@@ -376,3 +377,50 @@ def test_lift_moves_lines_not_pairs(spark):
     assert rows() == rows(hot_rows=2) and len(rows()) == 32
     # Lines by item and supports, baskets, items; joins of pairs with supports would be more.
     assert len(shuffled_by(covisit.complements(tx, 4))) <= 5
+
+
+def test_intents_that_are_not_stored_give_the_same_lists(spark):
+    rs = np.random.RandomState(7)
+    vectors = spark.createDataFrame([(i, rs.normal(size=4).tolist()) for i in range(60)], "article_id bigint, vector array<double>")
+    heads = [(l, r, "cold_start" if l == 9 else "complementary", 1.0 / r, rs.normal(size=4).tolist()) for l in range(10) for r in range(1, 1 + l % 4)]
+    intents = spark.createDataFrame(heads, "list_id bigint, intent_rank int, label string, weight double, vector array<double>")
+    seen = spark.createDataFrame([(l, (7 * l + j) % 60) for l in range(10) for j in range(5)] * 2, "list_id bigint, article_id bigint")
+    want = sorted(tuple(r) for r in candidates.multi_intent_recommend(intents, vectors, seen, 6).collect())
+    stored = candidates.durable
+    candidates.durable = None
+    try:
+        found = candidates.multi_intent_recommend(intents, vectors, seen, 6, n_intents=40)
+    finally:
+        candidates.durable = stored
+    assert sorted(tuple(r) for r in found.collect()) == want and want
+    out = {(r["list_id"], r["article_id"]) for r in seen.collect()}
+    assert not out & {(r[0], r[1]) for r in want} and 9 not in {r[0] for r in want}
+
+
+def test_a_head_takes_the_label_of_its_rank(spark):
+    events = spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (1, 5, "a"), (2, 7, "b")], "list_id bigint, article_id bigint, category_l1 string").select(
+        "*", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit(2.0).alias("price"), F.lit(False).alias("discounted")
+    )
+    heads = spark.createDataFrame([(1, 1, 0.7, [1.0]), (1, 2, 0.3, [2.0]), (1, 9, 0.1, [3.0])], "list_id bigint, intent_rank int, weight double, vector array<double>")
+    keys = spark.createDataFrame([(1,), (2,)], "list_id bigint")
+    ranked = {(r["list_id"], r["label_rank"]): r["label"] for r in sessions.ranked_labels(sessions.label_scores(events)).collect()}
+    found = sorted((r["list_id"], r["intent_rank"], r["label"], r["vector"]) for r in sessions.labelled_intents(keys, events, heads, 1).collect())
+    assert found == [(1, 1, ranked[1, 1], [1.0]), (1, 2, ranked[1, 2], [2.0]), (2, 1, "cold_start", [0.0])]
+    # One row per session meets the heads: rows of labels would make them move.
+    plan = sessions.labelled_intents(keys, events, heads, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_labels" in plan
+
+
+def test_shuffles_go_when_rows_are_stored(spark):
+    from basketry.session import FILE_CLEANUP, durable
+
+    before = spark.conf.get(FILE_CLEANUP, None)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    held = lambda: sum(b.isShuffle() for b in iter_of(manager.diskBlockManager().getAllBlocks()))
+
+    def iter_of(blocks):
+        return [blocks.apply(i) for i in range(blocks.size())]
+
+    start = held()
+    assert durable(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert held() <= start and spark.conf.get(FILE_CLEANUP, None) == before
