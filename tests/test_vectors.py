@@ -1,10 +1,13 @@
 """Inverted lists, bounded exact search, and factorised item vectors, beside dense versions."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import candidates, factors, lists, retrieval
+from basketry.session import dropped, shared_dir
 
 ROWS = "article_id bigint, vector array<double>"
 
@@ -260,3 +263,18 @@ def test_a_meeting_merges_what_it_found_at_the_end(spark):
     scores = np.round(asked @ items.T, 9)
     want = {(q, r + 1): int(i) for q in range(300) for r, i in enumerate(np.lexsort((np.arange(5000), -scores[q]))[:3])}
     assert {(r["query_id"], r["rank"]): r["article_id"] for r in found} == want
+
+
+def test_a_round_leaves_no_earlier_ones_behind(spark, tmp_path):
+    rs = np.random.RandomState(3)
+    pairs = {(a, b): int(rs.randint(1, 9)) for a in range(30) for b in range(a) if rs.rand() < 0.4}
+    counts = spark.createDataFrame([(a, b, n) for (x, y), n in pairs.items() for a, b in ((x, y), (y, x))], "item bigint, neighbour bigint, cnt bigint")
+    shared = Path(shared_dir(spark))
+    before = set(shared.glob("stored-*"))
+    assert factors.factorised(counts, 4, 6).count() == len({a for pair in pairs for a in pair})
+    # The items, their totals and the vectors of the last round.
+    assert len(set(shared.glob("stored-*")) - before) == 3
+    spark.range(3).write.parquet(str(tmp_path / "given"))
+    with pytest.raises(ValueError, match="not a stored table"):
+        dropped(spark.read.parquet(str(tmp_path / "given")))
+    assert (tmp_path / "given").exists()
