@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from basketry.operators import intents as sessions
 from basketry.operators import items as I
 from basketry.operators.features import price_percentile
 from basketry.operators.skew import newest
-from basketry.session import durable
+from basketry.session import FILE_CLEANUP, durable
 
 TX = "customer_id string, article_id bigint, t_dat date"
 
@@ -412,15 +413,18 @@ def test_a_head_takes_the_label_of_its_rank(spark):
 
 
 def test_shuffles_go_when_rows_are_stored(spark):
-    from basketry.session import FILE_CLEANUP, durable
-
-    before = spark.conf.get(FILE_CLEANUP, None)
-    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
-    held = lambda: sum(b.isShuffle() for b in iter_of(manager.diskBlockManager().getAllBlocks()))
-
-    def iter_of(blocks):
-        return [blocks.apply(i) for i in range(blocks.size())]
-
-    start = held()
-    assert durable(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
-    assert held() <= start and spark.conf.get(FILE_CLEANUP, None) == before
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        found = blocks.getAllBlocks()
+        return {found.apply(i).name() for i in range(found.size()) if found.apply(i).isShuffle()}
+
+    before, start = spark.conf.get(FILE_CLEANUP, None), held()
+    stored = durable(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count())
+    # Files go in the background.
+    for _ in range(50):
+        if not held() - start:
+            break
+        time.sleep(0.2)
+    assert not held() - start and spark.conf.get(FILE_CLEANUP, None) == before
+    assert stored.count() == 7
